@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import GroupState, GroupStateTimeout, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.entropy import shannon_entropy
 from ..functions.scalars import MICROS, is_login, per
@@ -15,8 +16,10 @@ from ..operators.ordered import DAY_MICROS
 from ..sources.logs import parse_flow_lines, type_flows
 
 
-def file_stream(spark: SparkSession, path: str, schema, max_files: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def file_stream(spark: SparkSession, folder: str, schema, name: str = "*.parquet", max_files: int = 100) -> DataFrame:
+    """Parquet files of a folder whose name matches, as a stream."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 # --- first N rows per address ----------------------------------------------------------------------
@@ -156,7 +159,7 @@ def to_parquet(stream: DataFrame, path: str, checkpoint: str, partition_by: Sequ
     return writer.trigger(availableNow=True).start(path)
 
 
-def latest_counts(stream: DataFrame, key: str, path: str, checkpoint: str) -> StreamingQuery:
+def latest_counts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write the changed counts of each trigger as one folder per batch id.
 
     A replayed batch overwrites its own folder, so a restart after a lost executor adds nothing twice.
