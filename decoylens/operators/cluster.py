@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -39,25 +40,44 @@ def log_if_skewed(df: DataFrame, columns: Sequence[str], limit: float = 100) ->
     return df.withColumns({c: finite(F.log1p(c) if c in logged else F.col(c)) for c in columns}), logged
 
 
-def preprocess(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Scaling]:
-    """log1p if skewed, NaN and infinities to 0, standardise with the population deviation."""
-    flat, logged = log_if_skewed(df, columns)
-    moments = flat.agg(
-        *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(columns)],
-        *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(columns)],
+def preprocess(df: DataFrame, columns: Sequence[str], limit: float = 100) -> tuple[DataFrame, Scaling]:
+    """log1p if skewed, NaN and infinities to 0, standardise with the population deviation.
+
+    One pass collects maxima and the moments of both the plain and the logged columns.
+    """
+    plain = {c: finite(F.col(c)) for c in columns}
+    logs = {c: finite(F.log1p(c)) for c in columns}
+    found = df.agg(
+        *[F.max(c).alias(f"max_{i}") for i, c in enumerate(columns)],
+        *[
+            F.struct(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std")).alias(f"{kind}_{i}")
+            for kind, table in (("plain", plain), ("log", logs))
+            for i, x in enumerate(table.values())
+        ],
     ).first()
-    mean = {c: moments[f"m_{i}"] or 0.0 for i, c in enumerate(columns)}
-    std = {c: moments[f"s_{i}"] or 1.0 for i, c in enumerate(columns)}
-    scaled = flat.withColumns({c: (F.col(c) - mean[c]) / std[c] for c in columns})
+    logged = {c for i, c in enumerate(columns) if found[f"max_{i}"] is not None and found[f"max_{i}"] > limit}
+    moments = {c: found[f"log_{i}" if c in logged else f"plain_{i}"] for i, c in enumerate(columns)}
+    mean = {c: m["mean"] or 0.0 for c, m in moments.items()}
+    std = {c: m["std"] or 1.0 for c, m in moments.items()}
+    scaled = df.withColumns({c: ((logs if c in logged else plain)[c] - mean[c]) / std[c] for c in columns})
     return scaled, Scaling(tuple(columns), frozenset(logged), mean, std)
 
 
+def training_set(df: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
+    """Cache a training table and pack it into as many partitions as its rows call for.
+
+    Iterative fits run a job or more per step; tiny partitions would spend the time on scheduling.
+    """
+    cached = df.persist()
+    return cached.coalesce(max(1, -(-cached.count() // rows_per_task)))
+
+
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol=out).transform(df)
 
 
 def best_kmeans(vectors: DataFrame, k: int, inits: int = 10, max_iter: int = 300, seed: int = 42) -> KMeansModel:
-    """The model with the least training cost over ``inits`` seeds. ``vectors`` should be cached."""
+    """The model with the least training cost over ``inits`` seeds; pass a ``training_set``."""
     models = (
         KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(vectors)
         for i in range(inits)
@@ -66,20 +86,21 @@ def best_kmeans(vectors: DataFrame, k: int, inits: int = 10, max_iter: int = 300
 
 
 def k_sweep(vectors: DataFrame, ks: Iterable[int] = range(2, 11), inits: int = 10) -> DataFrame:
-    """Inertia, silhouette, Davies-Bouldin and Calinski-Harabasz for each k, one row each."""
+    """Inertia, silhouette, Davies-Bouldin and Calinski-Harabasz for each k, one row each.
+
+    The two indices are computed for all k in one pass over the stacked assignments.
+    """
     spark = vectors.sparkSession
-    rows = []
+    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
+    fitted, stacked = [], []
     for k in ks:
         model = best_kmeans(vectors, k, inits)
         assigned = model.transform(vectors)
-        silhouette = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(assigned)
-        points = assigned.select("cluster", vector_to_array("features").alias("x"))
-        rows.append(
-            (k, model.summary.trainingCost, silhouette, davies_bouldin(points).first()[0], calinski_harabasz(points).first()[0])
-        )
-    return spark.createDataFrame(
-        rows, "k int, inertia double, silhouette double, davies_bouldin double, calinski_harabasz double"
-    )
+        fitted.append((k, float(model.summary.trainingCost), float(evaluator.evaluate(assigned))))
+        stacked.append(assigned.select(F.lit(k).alias("k"), "cluster", vector_to_array("features").alias("x")))
+    points = reduce(DataFrame.unionByName, stacked)
+    table = spark.createDataFrame(fitted, "k int, inertia double, silhouette double")
+    return table.join(davies_bouldin(points, by=["k"]), "k").join(calinski_harabasz(points, by=["k"]), "k")
 
 
 def centres_in_units(model: KMeansModel, scaling: Scaling, like: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .ordered import join_small
+
 
 # --- clusterings -------------------------------------------------------------------------------
 # Input: one row per point with an integer cluster column and an array<double> column ``x``.
@@ -18,26 +20,28 @@ def _squared(a, b):
     return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
 
 
-def centroids(points: DataFrame, cluster: str = "cluster", x: str = "x") -> DataFrame:
-    """``(cluster, n, centre)``; the shuffle carries one partial mean per cluster and dimension."""
-    cells = points.select(cluster, F.posexplode(x).alias("dim", "v"))
-    means = cells.groupBy(cluster, "dim").agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("n"))
+def centroids(points: DataFrame, cluster: str = "cluster", x: str = "x", by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, cluster, n, centre)``; the shuffle carries one partial mean per cluster and dimension."""
+    keys = [*by, cluster]
+    cells = points.select(*keys, F.posexplode(x).alias("dim", "v"))
+    means = cells.groupBy(*keys, "dim").agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("n"))
     packed = F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"])
-    return means.groupBy(cluster).agg(F.max("n").alias("n"), packed.alias("centre"))
+    return means.groupBy(*keys).agg(F.max("n").alias("n"), packed.alias("centre"))
 
 
-def davies_bouldin(points: DataFrame, cluster: str = "cluster", x: str = "x") -> DataFrame:
+def davies_bouldin(points: DataFrame, cluster: str = "cluster", x: str = "x", by: Sequence[str] = ()) -> DataFrame:
     """Mean over clusters of the worst (scatter_i + scatter_j) / distance of the centres.
 
-    The pairwise part works on one array of k centres, never on the points.
+    The pairwise part works on one array of k centres, never on the points. ``by`` holds several
+    clusterings of the same points side by side.
     """
-    centres = centroids(points, cluster, x)
+    keys = [*by, cluster]
     scatter = (
-        points.join(centres, cluster)
-        .groupBy(cluster)
+        join_small(points, centroids(points, cluster, x, by), keys)
+        .groupBy(*keys)
         .agg(F.avg(_distance(F.col(x), F.col("centre"))).alias("s"), F.first("centre").alias("c"))
     )
-    packed = scatter.agg(F.array_sort(F.collect_list(F.struct(F.col(cluster).alias("id"), "s", "c"))).alias("all"))
+    packed = scatter.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(cluster).alias("id"), "s", "c"))).alias("all"))
     worst = F.transform(
         "all",
         lambda a: F.array_max(
@@ -47,25 +51,25 @@ def davies_bouldin(points: DataFrame, cluster: str = "cluster", x: str = "x") ->
         ),
     )
     mean = F.aggregate(worst, F.lit(0.0), lambda s, v: s + v) / F.size("all")
-    return packed.select(mean.alias("davies_bouldin"))
+    return packed.select(*by, mean.alias("davies_bouldin"))
 
 
-def calinski_harabasz(points: DataFrame, cluster: str = "cluster", x: str = "x") -> DataFrame:
+def calinski_harabasz(points: DataFrame, cluster: str = "cluster", x: str = "x", by: Sequence[str] = ()) -> DataFrame:
     """Between over within dispersion, each over its degrees of freedom, from sums only."""
-    cells = points.select(cluster, F.posexplode(x).alias("dim", "v"))
-    sums = cells.groupBy(cluster, "dim").agg(
+    cells = points.select(*by, cluster, F.posexplode(x).alias("dim", "v"))
+    sums = cells.groupBy(*by, cluster, "dim").agg(
         F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("var")
     )
-    whole = Window.partitionBy("dim")
+    whole = Window.partitionBy(*by, "dim")
     grand = F.sum(F.col("n") * F.col("m")).over(whole) / F.sum("n").over(whole)
-    parts = sums.withColumn("g", grand).agg(
+    parts = sums.withColumn("g", grand).groupBy(*by).agg(
         F.sum(F.col("n") * F.pow(F.col("m") - F.col("g"), 2)).alias("between"),
         F.sum(F.col("n") * F.col("var")).alias("within"),
-        F.count_distinct(cluster).alias("k"),
+        F.count_distinct(cluster).alias("_k"),
         F.sum(F.when(F.col("dim") == 0, F.col("n"))).alias("n"),
     )
-    score = (F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))
-    return parts.select(score.alias("calinski_harabasz"))
+    score = (F.col("between") / (F.col("_k") - 1)) / (F.col("within") / (F.col("n") - F.col("_k")))
+    return parts.select(*by, score.alias("calinski_harabasz"))
 
 
 def silhouette_points(points: DataFrame, key: str, cluster: str = "cluster", x: str = "x") -> DataFrame:

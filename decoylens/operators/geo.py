@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -30,13 +30,15 @@ def block_lookup(addresses: DataFrame, blocks: DataFrame, ip: str = "src_ip") ->
 
     Blocks are spread over the address prefixes they cover, which turns the range condition into an
     equi-join on the prefix plus a residual test. No side is forced to broadcast: Spark picks by size.
+    Addresses that do not parse become -1 rather than null, or the null check of the join key would
+    be pushed below the distinct and every raw row would be parsed.
     """
     span = F.sequence(F.shiftright("start_ip", PREFIX_BITS), F.shiftright("end_ip", PREFIX_BITS))
     spread = blocks.withColumn("_prefix", F.explode(span))
     numbered = (
         addresses.select(ip)
         .distinct()
-        .withColumn("_ip", address_number(ip))
+        .withColumn("_ip", F.coalesce(address_number(ip), F.lit(-1).cast("bigint")))
         .withColumn("_prefix", F.shiftright("_ip", PREFIX_BITS))
     )
     inside = F.col("_ip").between(F.col("start_ip"), F.col("end_ip"))
@@ -44,36 +46,24 @@ def block_lookup(addresses: DataFrame, blocks: DataFrame, ip: str = "src_ip") ->
     return found.select(ip, *[c for c in blocks.columns if c not in ("start_ip", "end_ip")])
 
 
-def lookup_tiers(
-    addresses: DataFrame, tiers: Sequence[DataFrame], ip: str = "src_ip", with_tier: bool = False
-) -> DataFrame:
-    """Resolve distinct addresses: private prefixes first, then each tier for what is still open.
+def lookup_tiers(addresses: DataFrame, tiers: Sequence[Callable[[DataFrame], DataFrame]], ip: str = "src_ip") -> DataFrame:
+    """Geography and ``tier`` per distinct address: private prefixes first, then tier after tier.
 
-    A tier is a table ``(ip, geography)``; a row with code XX counts as not found.
+    A tier maps an address table to ``(ip, geography)``. It only sees the addresses that all
+    earlier tiers left open; a row with code XX counts as not found.
     """
-    private = is_private(ip)
-    everyone = addresses.select(ip).distinct()
-    open_ = everyone.filter(~private)
-    parts = [
-        everyone.filter(private).select(
-            ip,
-            *[
-                {"country_code": F.lit("--"), "country_name": F.lit("Private")}.get(name, F.lit(default)).alias(name)
-                for name, default in GEO_DEFAULTS.items()
-            ],
-            F.lit("private").alias("tier"),
-        )
-    ]
+    private = {"country_code": "--", "country_name": "Private"}
+    table = addresses.select(ip).distinct().withColumn("tier", F.when(is_private(ip), F.lit("private")))
+    table = table.withColumns(
+        {k: F.when(F.col("tier").isNotNull(), F.lit(private.get(k, v))) for k, v in GEO_DEFAULTS.items()}
+    )
     for number, tier in enumerate(tiers, 1):
-        known = tier.filter(~F.col("country_code").isin(*UNRESOLVED))
-        hit = open_.join(known, ip).select(ip, *GEO_DEFAULTS, F.lit(f"tier{number}").alias("tier"))
-        parts.append(hit)
-        open_ = open_.join(known, ip, "left_anti")
-    parts.append(open_.select(ip, *[F.lit(v).alias(k) for k, v in GEO_DEFAULTS.items()], F.lit("default").alias("tier")))
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionByName(part)
-    return table if with_tier else table.drop("tier")
+        found = tier(table.filter(F.col("tier").isNull()).select(ip)).filter(~F.col("country_code").isin(*UNRESOLVED))
+        hit = found.select(ip, *[F.col(c).alias("_" + c) for c in GEO_DEFAULTS], F.lit(f"tier{number}").alias("_tier"))
+        columns = ("tier", *GEO_DEFAULTS)
+        table = table.join(hit, ip, "left").select(ip, *[F.coalesce(c, "_" + c).alias(c) for c in columns])
+    filled = {k: F.coalesce(F.col(k), F.lit(v)) for k, v in {"tier": "default", **GEO_DEFAULTS}.items()}
+    return table.withColumns(filled)
 
 
 def resolve(addresses: DataFrame, blocks: DataFrame, ip: str = "src_ip") -> DataFrame:

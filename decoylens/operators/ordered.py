@@ -144,6 +144,17 @@ def centred_mean(df: DataFrame, value: str, order: str, half: int, name: str, pa
     return df.withColumn(name, F.when(full, F.avg(value).over(frame)))
 
 
+def join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", max_rows: int = 10_000) -> DataFrame:
+    """Join a table of per-group values; broadcast it only after its rows were counted.
+
+    Few groups are exactly the case in which shuffling ``df`` by group would make a few huge
+    partitions. A table beyond ``max_rows`` is joined by key as usual.
+    """
+    known = small.persist()
+    few = known.count() <= max_rows
+    return df.join(F.broadcast(known) if few else known, list(keys), how)
+
+
 def share(value: Column | str, *partition: str) -> Column:
     """A row's share of its partition's total, or of the grand total."""
     value = F.col(value) if isinstance(value, str) else value
@@ -161,16 +172,14 @@ def group_medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     bracket = known.groupBy(*keys).agg(
         F.percentile_approx(value, [0.498, 0.502], 10_000).alias("_band"), F.count(F.lit(1)).alias("_n")
     )
-    banded = known.join(bracket, keys)
-    below = F.count_if(F.col(value) < F.col("_band")[0])
-    skipped = banded.groupBy(*keys).agg(below.alias("_below"), F.max("_n").alias("_n"))
-    inside = (
-        banded.filter(F.col(value).between(F.col("_band")[0], F.col("_band")[1]))
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_c"))
+    banded = join_small(known, bracket, keys)
+    # Everything below the band collapses into one row per group (a null value), which sorts first.
+    place = F.when(F.col(value) >= F.col("_band")[0], F.col(value))
+    cells = banded.filter(F.col(value) <= F.col("_band")[1]).groupBy(*keys, place.alias(value)).agg(
+        F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n")
     )
-    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    placed = inside.withColumn("_upto", upto).join(skipped, keys).withColumn("_upto", F.col("_upto") + F.col("_below"))
+    walk = Window.partitionBy(*keys).orderBy(F.asc_nulls_first(value)).rowsBetween(Window.unboundedPreceding, 0)
+    placed = cells.withColumn("_upto", F.sum("_c").over(walk)).filter(F.col(value).isNotNull())
     lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
     return placed.groupBy(*keys).agg(
         (

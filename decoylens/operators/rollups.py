@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.vocabulary import WEEKDAYS
-from .ordered import centred_mean, share
+from .ordered import centred_mean, join_small, share
 
 
 def _tally(weight: str | None) -> Column:
@@ -183,7 +183,7 @@ def histogram(df: DataFrame, value: str, keys: Sequence[str], bins: int = 50, lo
     width = (F.col("hi") - F.col("lo")) / bins
     slot = F.floor((F.col("_x") - F.col("lo")) / width) + 1
     bin_no = F.when(F.col("hi") == F.col("lo"), F.lit(1)).otherwise(F.least(slot, F.lit(bins)))
-    placed = points.join(bounds, keys) if keys else points.withColumns(
+    placed = join_small(points, bounds, keys) if keys else points.withColumns(
         {"lo": bounds.select("lo").scalar(), "hi": bounds.select("hi").scalar()}
     )
     return placed.groupBy(*keys, bin_no.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

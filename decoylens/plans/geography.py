@@ -49,8 +49,8 @@ g AS (SELECT a.src_ip, b1.country_code AS c1, b2.country_code AS c2 FROM a
 SELECT src_ip, coalesce(c1, c2, 'XX') AS country_code, CASE WHEN c1 IS NOT NULL THEN 'tier1' WHEN c2 IS NOT NULL THEN 'tier2' ELSE 'default' END AS tier FROM g""")
 def two_tier_lookup(spark, sf):
     rows = flows(spark, sf).select("src_ip")
-    tiers = [G.block_lookup(rows, geo_blocks(spark, sf)), G.block_lookup(rows, second_blocks(spark, sf))]
-    return G.lookup_tiers(rows, tiers, with_tier=True).select("src_ip", "country_code", "tier")
+    tiers = [lambda a, b=blocks: G.block_lookup(a, b) for blocks in (geo_blocks(spark, sf), second_blocks(spark, sf))]
+    return G.lookup_tiers(rows, tiers).select("src_ip", "country_code", "tier")
 
 
 @query("j03_sensor_city", with_ctes(FL, BLOCKS, CITIES) + """

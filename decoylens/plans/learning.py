@@ -19,7 +19,7 @@ CLUSTERED = FT.SESSION_FEATURES
 def _session_vectors(spark, sf):
     features = FT.session_features(attack_events(spark, sf))
     scaled, scaling = C.preprocess(features.persist(), CLUSTERED)
-    return features, C.assemble(scaled, CLUSTERED).select("src_ip", "features").persist(), scaling
+    return features, C.training_set(C.assemble(scaled, CLUSTERED).select("src_ip", "features")), scaling
 
 
 def _rounded(df, digits=6):

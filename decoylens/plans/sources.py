@@ -40,16 +40,11 @@ SELECT CAST(odd > 2 AS INT) AS ok, count(*) AS n, CAST(sum(CASE WHEN odd > 3 THE
 def flow_line_scan(spark, sf):
     path = scratch_path(spark, "flow-lines")
     flow_lines(spark, sf).write.text(path)
-    parsed = L.parse_flow_lines(spark.read.text(path))
-    good = L.type_flows(parsed).agg(
-        F.lit(1).alias("ok"), F.count(F.lit(1)).alias("n"), F.sum("orig_bytes").alias("orig_bytes"), F.sum("resp_bytes").alias("resp_bytes"),
+    rows = L.type_flows(L.parse_flow_lines(spark.read.text(path)), keep_skipped=True)
+    return rows.groupBy(F.col("ok").cast("int").alias("ok")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("orig_bytes").alias("orig_bytes"), F.sum("resp_bytes").alias("resp_bytes"),
         F.count_distinct("date").alias("dates"), F.count_distinct("src_ip").alias("ips"),
     )
-    zero = F.lit(0).cast("bigint")
-    skipped = parsed.filter("NOT ok").agg(
-        F.lit(0).alias("ok"), F.count(F.lit(1)).alias("n"), zero.alias("orig_bytes"), zero.alias("resp_bytes"), zero.alias("dates"), zero.alias("ips")
-    )
-    return good.unionByName(skipped)
 
 
 _NAMES = ("conn.{0}.log.gz", "conn.{0}.log", "dns.{0}.log.gz", "cyberlab_{0}.json.gz", "cyberlab_{0}.json", "notes.txt")

@@ -62,9 +62,13 @@ def running_counts(spark, sf):
     return J.current_counts(spark, path, "eventid")
 
 
-@query("st4_event_time_counts")
+# Days that end before the watermark (newest time minus one day) are closed and written.
+@query("st4_event_time_counts", E_ + """
+SELECT CAST(date AS VARCHAR) AS day, count(*) AS n FROM ev GROUP BY date
+HAVING CAST(date AS TIMESTAMP) + INTERVAL 2 DAY <= (SELECT date_trunc('millisecond', max("timestamp")) FROM ev)""")
 def event_time_counts(spark, sf):
-    return _finish(spark, J.event_time_counts(_events(spark, sf), "1 day"), "daily")
+    closed = _finish(spark, J.event_time_counts(_events(spark, sf), "1 day"), "daily")
+    return closed.select(F.to_date("start").cast("string").alias("day"), "n")
 
 
 @query("st5_stream_ingest", with_ctes(FL) + """

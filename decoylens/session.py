@@ -32,6 +32,7 @@ def build_session(app: str = "decoylens", cores: int | str = "*", **conf: str) -
         .config("spark.sql.shuffle.partitions", str(parallelism))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "decoylens-warehouse"))
     )
     for key, value in {**RUNTIME_SETTINGS, **conf}.items():

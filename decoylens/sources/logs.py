@@ -91,15 +91,22 @@ def parse_flow_lines(lines: DataFrame) -> DataFrame:
     record = F.from_json(text, FLOW_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     kept = lines.filter(F.length(text) > 0).withColumn("r", record)
     ok = F.col("value").startswith("{") & F.col("r").isNotNull() & F.col("r._bad").isNull()
-    return kept.select(F.coalesce(ok, F.lit(False)).alias("ok"), "r", "value")
+    judged = kept.withColumn("ok", F.coalesce(ok, F.lit(False)))
+    return judged.select("ok", F.when(F.col("ok"), F.col("r")).alias("r"), "value")
 
 
-def type_flows(parsed: DataFrame) -> DataFrame:
-    """Typed flow rows of the good lines: renamed, counters coerced to BIGINT, time columns derived."""
-    raw = parsed.filter("ok").select(*[F.col(f"r.`{f.name}`").alias(f.name) for f in FLOW_SCHEMA if f.name != "_bad"])
-    named = raw.withColumnsRenamed(FLOW_RENAMES)
+def type_flows(parsed: DataFrame, keep_skipped: bool = False) -> DataFrame:
+    """Typed flow rows of the good lines: renamed, counters coerced to BIGINT, time columns derived.
+
+    ``keep_skipped`` leaves the skipped lines in as empty rows next to an ``ok`` column, so that
+    one pass can count both kinds.
+    """
+    lines = parsed if keep_skipped else parsed.filter("ok")
+    fields = [F.col(f"r.`{f.name}`").alias(f.name) for f in FLOW_SCHEMA if f.name != "_bad"]
+    named = lines.select("ok", *fields).withColumnsRenamed(FLOW_RENAMES)
     times = time_columns(from_epoch(F.col("ts").try_cast("double")))
     return named.select(
+        *(["ok"] if keep_skipped else []),
         *[c.alias(name) for name, c in times.items()],
         "src_ip", "dst_ip", *FLOW_TEXT, F.col("duration").try_cast("double").alias("duration"),
         *[as_count(F.col(c)).alias(c) for c in FLOW_COUNTERS],

@@ -21,11 +21,18 @@ def readable(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = ()) -> DataFrame:
-    """Reuse the table at ``path``, or build and write it once as snappy Parquet."""
+    """Reuse the table at ``path``, or build and write it once as snappy Parquet.
+
+    With ``partition_by`` the rows are rebalanced on those columns first: adaptive execution merges
+    small partitions and splits a heavy one, so neither many tiny files nor one huge task appears.
+    """
     stored = readable(spark, path)
     if stored is not None:
         return stored
-    writer = build().write.mode("overwrite").option("compression", "snappy")
+    table = build()
+    if partition_by:
+        table = table.hint("rebalance", *partition_by)
+    writer = table.write.mode("overwrite").option("compression", "snappy")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.parquet(path)
 
