@@ -338,7 +338,11 @@ def flow_windows(
 # --- merging the two sources -----------------------------------------------------------------------
 
 def merge_features(sessions: DataFrame, flows: DataFrame, min_common: int = 100, suffix: str = "_ctu") -> DataFrame:
-    """Left join the flow features when more than ``min_common`` addresses occur in both tables."""
+    """Left join the flow features when more than ``min_common`` addresses occur in both tables.
+
+    Both per-address tables are used twice, for the test and for the join, hence cached.
+    """
+    sessions, flows = sessions.persist(), flows.persist()
     common = sessions.select("src_ip").intersect(flows.select("src_ip"))
     if common.limit(min_common + 1).count() <= min_common:
         return sessions

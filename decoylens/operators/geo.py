@@ -25,8 +25,8 @@ UNRESOLVED = ("XX", "--")
 PREFIX_BITS = 16
 
 
-def block_lookup(addresses: DataFrame, blocks: DataFrame, ip: str = "src_ip") -> DataFrame:
-    """Range join of distinct addresses with ``blocks(start_ip, end_ip, <geography>)``.
+def block_lookup(addresses: DataFrame, blocks: DataFrame, ip: str = "src_ip", how: str = "inner") -> DataFrame:
+    """Range join of distinct addresses with disjoint ``blocks(start_ip, end_ip, <geography>)``.
 
     Blocks are spread over the address prefixes they cover, which turns the range condition into an
     equi-join on the prefix plus a residual test. No side is forced to broadcast: Spark picks by size.
@@ -42,7 +42,7 @@ def block_lookup(addresses: DataFrame, blocks: DataFrame, ip: str = "src_ip") ->
         .withColumn("_prefix", F.shiftright("_ip", PREFIX_BITS))
     )
     inside = F.col("_ip").between(F.col("start_ip"), F.col("end_ip"))
-    found = numbered.join(spread, (numbered["_prefix"] == spread["_prefix"]) & inside)
+    found = numbered.join(spread, (numbered["_prefix"] == spread["_prefix"]) & inside, how)
     return found.select(ip, *[c for c in blocks.columns if c not in ("start_ip", "end_ip")])
 
 
@@ -68,10 +68,8 @@ def lookup_tiers(addresses: DataFrame, tiers: Sequence[Callable[[DataFrame], Dat
 
 def resolve(addresses: DataFrame, blocks: DataFrame, ip: str = "src_ip") -> DataFrame:
     """One geography row per distinct address, sentinels where no block holds it."""
-    found = block_lookup(addresses, blocks, ip)
-    everyone = addresses.select(ip).distinct()
     filled = [F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in GEO_DEFAULTS.items()]
-    return everyone.join(found, ip, "left").select(ip, *filled)
+    return block_lookup(addresses, blocks, ip, "left").select(ip, *filled)
 
 
 def enrich(df: DataFrame, resolved: DataFrame, ip: str = "src_ip", prefix: str = "geo_") -> DataFrame:
@@ -100,6 +98,17 @@ def counts_with_geo(df: DataFrame, keys: Sequence[str], resolved: DataFrame, ip:
     return counted.join(resolved, ip, "left")
 
 
+def counts_by_place(
+    df: DataFrame, candidates: Sequence[str], keys: Sequence[str], look_up: Callable[[DataFrame], DataFrame], field: str, ip: str = "src_ip"
+) -> DataFrame:
+    """``(field, *keys, weight)``: from the first candidate column the table has, else by address lookup."""
+    for column in candidates:
+        if column in df.columns:
+            known = df.filter(F.col(column).isNotNull())
+            return known.groupBy(F.col(column).alias(field), *keys).agg(F.count(F.lit(1)).alias("weight"))
+    return counts_with_geo(df, keys, look_up(df.select(ip)), ip).select(field, *keys, "weight")
+
+
 def sensor_city(df: DataFrame, cities: DataFrame, ip: str = "dst_ip", name: str = "honeypot_city") -> DataFrame:
     """Attach the city of the sensor that was addressed, ``Unknown`` when it is not listed."""
     side = cities.select(ip, F.col("city").alias(name))

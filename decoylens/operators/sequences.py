@@ -50,10 +50,13 @@ def flow_vector() -> list[Column]:
 def first_steps(
     df: DataFrame, kind: str, seq_len: int, order: Sequence[str], salt: str, valid: DataFrame | None = None
 ) -> DataFrame:
-    """``(src_ip, rank, vec)`` for the first ``seq_len`` rows of each (valid) address."""
-    if valid is not None:
-        df = df.join(valid, "src_ip", "left_semi")
+    """``(src_ip, rank, vec)`` for the first ``seq_len`` rows of each (valid) address.
+
+    Validity is a property of the address, so it is tested after the group limit, on few rows.
+    """
     first = first_n(df.filter(F.col("src_ip").isNotNull()), ["src_ip"], list(order), seq_len, salt)
+    if valid is not None:
+        first = first.join(valid, "src_ip", "left_semi")
     rest = event_vector() if kind == "events" else flow_vector()
     return first.select("src_ip", "rank", F.array(_log_delta(), *[c.cast("double") for c in rest]).alias("vec"))
 

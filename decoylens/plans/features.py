@@ -347,7 +347,7 @@ def string_entropy(spark, sf):
 @query("x02_distribution_entropy", F_ + """
 SELECT src_ip, round(entropy(dst_port), 6) AS port_entropy, round(entropy(proto), 6) AS proto_entropy FROM fl GROUP BY src_ip""")
 def distribution_entropy(spark, sf):
-    cells = flows(spark, sf).groupBy("src_ip", "dst_port", "proto").agg(F.count(F.lit(1)).alias("n")).persist()
+    cells = flows(spark, sf).groupBy("src_ip", "dst_port", "proto").agg(F.count(F.lit(1)).alias("n"))
     port = cells.groupBy("src_ip", "dst_port").agg(F.sum("n").alias("n")).groupBy("src_ip").agg(F.round(entropy_of_counts(F.col("n")), 6).alias("port_entropy"))
     proto = cells.groupBy("src_ip", "proto").agg(F.sum("n").alias("n")).groupBy("src_ip").agg(F.round(entropy_of_counts(F.col("n")), 6).alias("proto_entropy"))
     return port.join(proto, "src_ip")
@@ -432,7 +432,7 @@ st0 AS (
 ), st AS (
   SELECT src_ip, rank, ln(1 + coalesce((epoch_us("timestamp") - epoch_us(prev)) / 1e6, 0.0)) AS v0, hour / 23.0 AS v1,
     length(coalesce(username, '')) / 32.0 AS v2, length(coalesce(password, '')) / 32.0 AS v3,
-    {ENTROPY.format('password')} / 8.0 AS v4, CAST(eventid = 'cowrie.login.success' AS INT) AS v5,
+    {ENTROPY.format('password')} / 8.0 AS v4, CAST(CAST(eventid = 'cowrie.login.success' AS INT) AS DOUBLE) AS v5,
     {_case('eventid', EVENT_CODES, 0)} / 7.0 AS v6
   FROM st0 WHERE rank <= {SEQ_LEN}
 )"""

@@ -137,7 +137,9 @@ t AS (SELECT continent_code FROM c GROUP BY 1 ORDER BY sum(n) DESC, continent_co
 g AS (SELECT t.continent_code, CAST(h AS INT) AS hour, coalesce(n, 0) AS n FROM t CROSS JOIN range(24) r(h) LEFT JOIN c ON c.continent_code = t.continent_code AND c.hour = h)
 SELECT continent_code, hour, n, round(n * 100.0 / sum(n) OVER (PARTITION BY continent_code), 6) AS pct FROM g""")
 def continent_hourly(spark, sf):
-    profile = R.hourly_share_profile(_event_counts(spark, sf, "hour"), "continent_code", 6, "weight")
+    look_up = lambda addresses: G.resolve(addresses, geo_blocks(spark, sf))
+    counts = G.counts_by_place(attack_events(spark, sf), ("geo_continent", "geo_continent_code"), ["hour"], look_up, "continent_code")
+    profile = R.hourly_share_profile(counts, "continent_code", 6, "weight")
     return profile.withColumn("pct", F.round("pct", 6))
 
 

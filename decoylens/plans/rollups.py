@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import scalars as S
 from ..functions.vocabulary import TARGET_EVENTS
 from ..operators import quality as Q, rollups as R, sampling
-from ..operators.ordered import centred_mean, share
+from ..operators.ordered import bucketed_rank, centred_mean, share, time_slice
 from ..sources.logs import allow_listed
 from .adapters import EV, FL, attack_events, flows, table, with_ctes
 from .catalog import query
@@ -305,6 +305,15 @@ def uniform_sample(spark, sf):
     return sampling.sample_rows(flows(spark, sf).select("flow_id", "src_ip", "dst_port"), "flow_id", 1000)
 
 
+@query("t05_group_cap", F_ + """
+, r AS (SELECT proto, flow_id, row_number() OVER (PARTITION BY proto ORDER BY "timestamp", flow_id) AS rank FROM fl)
+SELECT proto, flow_id, rank FROM r WHERE rank <= 200""")
+def group_cap(spark, sf):
+    rows = flows(spark, sf).select("proto", "flow_id", "timestamp")
+    ranked = bucketed_rank(rows, ["proto"], time_slice("timestamp", 86_400), ["timestamp", "flow_id"])
+    return ranked.filter(F.col("rank") <= 200).select("proto", "flow_id", "rank")
+
+
 @query("u01_union_by_name", EF + """
 SELECT kind, count(*) AS n, count(dst_port) AS with_port, count(eventid) AS with_event FROM (
   SELECT 'flows' AS kind, src_ip, dst_port, NULL AS eventid FROM fl UNION ALL SELECT 'events', src_ip, NULL, eventid FROM ev) GROUP BY kind""")

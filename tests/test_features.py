@@ -90,3 +90,12 @@ def test_sequence_padding_and_zscore(spark):
     z = {r.src_ip: r.seq for r in SQ.standardise_sequences(seq, F.lit(True)).collect()}
     assert z["b"][:2] == [[0.0, 0.0], [0.0, 0.0]]
     assert round(z["a"][1][0], 4) == -1.2247 and round(z["a"][1][1], 4) == 0.0
+
+
+def test_place_comes_from_a_column_or_a_lookup(spark):
+    df = spark.createDataFrame([("1", 3, "EU"), ("2", 3, None), ("1", 4, "EU")], "src_ip string, hour int, geo_continent string")
+    look_up = lambda a: a.distinct().select("src_ip", F.lit("AS").alias("continent_code"))
+    by_column = G.counts_by_place(df, ("missing", "geo_continent"), ["hour"], look_up, "continent_code")
+    assert _rows(by_column) == [("EU", 3, 1), ("EU", 4, 1)]
+    by_address = G.counts_by_place(df, ("missing",), ["hour"], look_up, "continent_code").groupBy("continent_code").agg(F.sum("weight").alias("n"))
+    assert _rows(by_address) == [("AS", 3)]
