@@ -167,8 +167,11 @@ def discriminativeness(centres: DataFrame, columns: Sequence[str], cluster: str
 
 
 def cluster_summary(df: DataFrame, columns: Sequence[str], cluster: str = "cluster") -> DataFrame:
-    """Mean, median, sample deviation and count per feature and cluster, long format."""
-    cells = _long(df, columns, cluster)
+    """Mean, median, sample deviation and count per feature and cluster, long format.
+
+    The feature table is read once for the moments and twice for the medians, hence cached.
+    """
+    cells = _long(df.persist(), columns, cluster)
     moments = cells.groupBy(cluster, "feature").agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("value").alias("n")
     )

@@ -16,10 +16,6 @@ def _distance(a, b):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
 
 
-def _squared(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-
-
 def centroids(points: DataFrame, cluster: str = "cluster", x: str = "x", by: Sequence[str] = ()) -> DataFrame:
     """``(*by, cluster, n, centre)``; the shuffle carries one partial mean per cluster and dimension."""
     keys = [*by, cluster]

@@ -337,7 +337,11 @@ def flow_windows(
 
 # --- merging the two sources -----------------------------------------------------------------------
 
-def merge_features(sessions: DataFrame, flows: DataFrame, min_common: int = 100, suffix: str = "_ctu") -> DataFrame:
+# Fixed value: suffix of flow features whose name clashes with a session feature.
+CLASH_SUFFIX = "_ctu"
+
+
+def merge_features(sessions: DataFrame, flows: DataFrame, min_common: int = 100, suffix: str = CLASH_SUFFIX) -> DataFrame:
     """Left join the flow features when more than ``min_common`` addresses occur in both tables.
 
     Both per-address tables are used twice, for the test and for the join, hence cached.

@@ -95,8 +95,9 @@ def standardise_sequences(sequences: DataFrame, training: Column) -> DataFrame:
     """Z-score every real step with the training moments; padding stays zero.
 
     Padding is known from ``n_steps``, not guessed from row sums. The moments are one row per
-    dimension and enter the plan as a scalar subquery.
+    dimension and enter the plan as a scalar subquery. The sequences are read twice, hence cached.
     """
+    sequences = sequences.persist()
     table = step_moments(sequences, training).agg(F.array_sort(F.collect_list(F.struct("dim", "mu", "sd"))).alias("m"))
     scaled = sequences.withColumn("_m", table.scalar())
     pad = F.size("seq") - F.col("n_steps")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.rules import bot_score
@@ -10,7 +9,7 @@ from ..operators import classify as K, cluster as C, evaluate as E, features as
 from .adapters import EV, FL, FLOW_ORDER, attack_events, flows, table, with_ctes
 from .catalog import query
 from .features import (
-    ACT, ESF, EVENT_WINDOWS, FF, FFF, FLOW_WINDOWS, GAPS, PW, R1, R2, R3, R4, SEQ_LEN, SF, event_sequences, flow_sequences,
+    ACT, ESF, EVENT_WINDOWS, FF, FFF, FLOW_WINDOWS, GAPS, PW, R2, R3, SEQ_LEN, SF, event_sequences, flow_sequences,
 )
 
 CLUSTERED = FT.SESSION_FEATURES

@@ -47,7 +47,7 @@ def flow_line_scan(spark, sf):
     )
 
 
-_NAMES = ("conn.{0}.log.gz", "conn.{0}.log", "dns.{0}.log.gz", "cyberlab_{0}.json.gz", "cyberlab_{0}.json", "notes.txt")
+_NAMES = ("conn.{0}.log.gz", "conn.{0}.log", "dns.{0}.log.gz", "sessions_{0}.json.gz", "sessions_{0}.json", "notes.txt")
 _NAME_SQL = "CASE orderkey % 6 " + " ".join(
     f"WHEN {i} THEN '" + n.replace("{0}", "' || day || '") + "'" for i, n in enumerate(_NAMES)) + " END"
 

@@ -9,7 +9,7 @@ from ..session import scratch_path, tune
 from ..streaming import jobs as J
 from .adapters import EV, FL, events_from, with_ctes
 from .catalog import query
-from .features import ACT, EVENT_STEPS, LOGINS, ENTROPY
+from .features import ENTROPY, EVENT_STEPS, LOGINS
 from .sources import flow_lines
 
 E_ = with_ctes(EV)

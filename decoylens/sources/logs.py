@@ -59,18 +59,16 @@ EVENT_SCHEMA = T.StructType(
 
 # --- file selection ------------------------------------------------------------------------------
 
-def is_target_log(path: Column | str) -> Column:
+def is_target_log(path: Column) -> Column:
     """``*.json[.gz]``, and ``*.log[.gz]`` only where the name starts with ``conn.``"""
-    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    name = F.lower(F.substring_index(path, "/", -1))
     return name.rlike(r"\.json(\.gz)?$") | name.rlike(r"^conn\..*\.log(\.gz)?$")
 
 
 def first_days(paths: DataFrame, max_days: int | None = None, path: str = "path") -> DataFrame:
     """Target logs laid out as ``.../sensor/day/file``, the first ``max_days`` days of every sensor."""
-    parts = F.split(path, "/")
-    logs = paths.filter(is_target_log(F.col(path))).select(
-        path, F.element_at(parts, -3).alias("sensor"), F.element_at(parts, -2).alias("day")
-    )
+    part = lambda from_end: F.substring_index(F.substring_index(path, "/", -from_end), "/", 1)
+    logs = paths.filter(is_target_log(F.col(path))).select(path, part(3).alias("sensor"), part(2).alias("day"))
     if max_days is None:
         return logs
     days = logs.select("sensor", "day").distinct()

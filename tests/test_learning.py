@@ -104,7 +104,8 @@ def test_names_by_rank(spark):
 def test_classifiers_learn(spark):
     df = FT.labelled_flows(A.flows(spark, SF)).withColumn("label", F.when(F.col("flow_count") > 300, "Bot").otherwise("Manual"))
     table = K.compare_models(df, ["flow_count", "unique_dst_ports"], "label", trees=10, rounds=3, timings=True).collect()
-    assert [r.model for r in table] == ["Random Forest", "Boosted Trees", "Kernel SVM", "Logistic Regression"]
+    assert {r.model for r in table} == {"Random Forest", "Boosted Trees", "Kernel SVM", "Logistic Regression"}
+    assert [r.is_best for r in sorted(table, key=lambda r: (-r.weighted_f1, r.model))] == [1, 0, 0, 0]
     assert all(r.weighted_f1 > 0.85 and r.fit_seconds > 0 for r in table)
 
 

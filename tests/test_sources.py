@@ -42,8 +42,8 @@ def test_session_logs(spark, tmp_path):
         {"s2": [event(src_ip="own", geolocation_data={"latitude": 3.0, "longitude": 4.0}), event(duration=2.5, eventid="cowrie.session.closed")]},
         {"note": "not a list"},
     ]
-    (tmp_path / "cyberlab_2019-05-01.json").write_text(json.dumps(good))
-    (tmp_path / "cyberlab_2019-05-02.json").write_text(json.dumps(good)[:-9])
+    (tmp_path / "sessions_2019-05-01.json").write_text(json.dumps(good))
+    (tmp_path / "sessions_2019-05-02.json").write_text(json.dumps(good)[:-9])
     events, rejected = L.read_session_logs(spark, str(tmp_path))
     got = sorted((r.session, r.src_ip, r.geo_country_code, r.geo_latitude, r.geo_longitude, r.duration) for r in events.fillna("-", ["geo_country_code"]).collect() if r.geo_latitude)
     assert got == [("s1", "h1", "TUR", 1.5, 2.5, None), ("s2", "own", "-", 3.0, 4.0, None)]
