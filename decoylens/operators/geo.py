@@ -50,7 +50,8 @@ def lookup_tiers(addresses: DataFrame, tiers: Sequence[Callable[[DataFrame], Dat
     """Geography and ``tier`` per distinct address: private prefixes first, then tier after tier.
 
     A tier maps an address table to ``(ip, geography)``. It only sees the addresses that all
-    earlier tiers left open; a row with code XX counts as not found.
+    earlier tiers left open; a row with code XX counts as not found. The address table is cached
+    per tier, since both the open part and the whole are read.
     """
     private = {"country_code": "--", "country_name": "Private"}
     table = addresses.select(ip).distinct().withColumn("tier", F.when(is_private(ip), F.lit("private")))
@@ -58,6 +59,7 @@ def lookup_tiers(addresses: DataFrame, tiers: Sequence[Callable[[DataFrame], Dat
         {k: F.when(F.col("tier").isNotNull(), F.lit(private.get(k, v))) for k, v in GEO_DEFAULTS.items()}
     )
     for number, tier in enumerate(tiers, 1):
+        table = table.persist()
         found = tier(table.filter(F.col("tier").isNull()).select(ip)).filter(~F.col("country_code").isin(*UNRESOLVED))
         hit = found.select(ip, *[F.col(c).alias("_" + c) for c in GEO_DEFAULTS], F.lit(f"tier{number}").alias("_tier"))
         columns = ("tier", *GEO_DEFAULTS)

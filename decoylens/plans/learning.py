@@ -339,6 +339,13 @@ def sequence_models(spark, sf):
     return sequence_scenarios(spark, sf, epochs=30, rounds=5)
 
 
+@query("m29b_sequence_length")
+def sequence_length(spark, sf):
+    """The ablation over the sequence length on the hardest scenario."""
+    short, long = (sequence_scenarios(spark, sf, n, epochs=20, rounds=3, only=("events threat",)) for n in (20, 50))
+    return short.unionByName(long)
+
+
 @query("m30_model_comparison")
 def model_comparison(spark, sf):
     df, columns, label = _early_table(spark, sf)
