@@ -2,8 +2,8 @@
 
 Three transducers rewrite a text, each with a map from its output to its input: look-alike characters and invisible
 ones (``fold``), spelled digits (``digits``), and at/dot disguises (``signs``). The same detectors run on the source
-and on the rewritten text; spans of the latter go back through the maps to source offsets, and those that do not
-overlap a span of the same kind found in the source are added to it.
+and on the rewritten text; spans of the latter go back through the maps to source offsets, and those that do not lie
+within a span of the same kind found in the source are added to these.
 
 Kinds are email, ip, card and phone. Spans are code points of the source, end exclusive.
 
@@ -46,8 +46,14 @@ _DIGIT_WORD = re.compile(_DIGIT, re.I)
 _LETTER_DIGIT = re.compile(r"(?<=[0-9])[OolI](?=[0-9])")
 _BRACKETED_AT = re.compile(r"\s*(?:\(\s*(?:at|@)\s*\)|\[\s*(?:at|@)\s*\]|\{\s*(?:at|@)\s*\}|<\s*(?:at|@)\s*>)\s*", re.I)
 _BRACKETED_DOT = re.compile(r"\s*(?:\(\s*(?:dot|\.)\s*\)|\[\s*(?:dot|\.)\s*\]|\{\s*(?:dot|\.)\s*\}|<\s*(?:dot|\.)\s*>)\s*", re.I)
-#: A spoken address has both words: "name at host dot tld". A spoken dot between digits is an address's, too.
-_SPOKEN = re.compile(r"(?<![^\s(<\[\"':,;])[A-Za-z0-9._%+-]+(?P<at>[ \t]+at[ \t]+|@)[A-Za-z0-9-]+(?P<dots>(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)+)", re.I)
+#: Last parts of domains that a spoken address may have; none of them is a common word.
+SPOKEN_ENDS = "com org net edu gov mil int info biz dev app io co uk de fr es eu ch at nl se pl jp cn ru br ca au nz za kr tv cc example test invalid"
+#: A spoken address has both words: "name at host dot end"; the name may have spoken dots, too.
+_SPOKEN = re.compile(
+    r"(?<![^\s(<\[\"':,;])[A-Za-z0-9._%+-]+(?P<before>(?:[ \t]+dot[ \t]+[A-Za-z0-9._%+-]+)*)(?P<at>[ \t]+at[ \t]+|@)"
+    r"(?P<host>[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)*(?:[ \t]+dot[ \t]+|\.)(?:" + "|".join(SPOKEN_ENDS.split()) + r"))(?![^\W_])",
+    re.I,
+)
 _SPOKEN_DOT = re.compile(r"[ \t]+dot[ \t]+", re.I)
 _DIGIT_DOT = re.compile(r"(?<=[0-9])[ \t]+(?:dot|point)[ \t]+(?=[0-9])", re.I)
 _PLUS = re.compile(r"(?<![^\s(:,;])plus[ \t]+(?=[0-9])", re.I)
@@ -154,9 +160,9 @@ def signs(text: Rewritten) -> None:
     text.each(_BRACKETED_DOT, lambda m: ".")
     edits = []
     for m in _SPOKEN.finditer(text.text):
-        if m["at"] == "@" or _SPOKEN_DOT.search(m["dots"]):
-            edits.append((*m.span("at"), "@"))
-            edits += [(m.start("dots") + d.start(), m.start("dots") + d.end(), ".") for d in _SPOKEN_DOT.finditer(m["dots"])]
+        if m["at"] == "@" or _SPOKEN_DOT.search(m["host"]):
+            dots = lambda part: [(m.start(part) + d.start(), m.start(part) + d.end(), ".") for d in _SPOKEN_DOT.finditer(m[part])]  # noqa: E731, B023
+            edits += [*dots("before"), (*m.span("at"), "@"), *dots("host")]
     text.replace(edits)
     text.each(_DIGIT_DOT, lambda m: ".")
     text.each(_PLUS, lambda m: "+")
@@ -182,10 +188,10 @@ def find_spans(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[
         added = []
         for span in spans:
             start, end = rewritten.source(*span)
-            i = bisect_right(starts, end - 1) - 1
+            i = bisect_right(starts, start) - 1
             # A letter beyond ASCII right before an address: it was cut out of a word of another script.
             inside_word = kind == "email" and start > 0 and text[start - 1].isalpha() and not text[start - 1].isascii()
-            if not inside_word and (i < 0 or own[i][1] <= start):
+            if not inside_word and (i < 0 or own[i][1] < end):
                 added.append((start, end))
         every[kind] = sorted({*own, *added})
     return base, every
