@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .tables import row_key, same_key, stored, words
+from .tables import row_key, same_key, stored, unpacked, words
 
 #: Windows above this number (about 200 bytes each) are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -110,4 +110,4 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10, **optio
     cut = lambda w: F.array_contains("positions", w)
     keep = lambda _, i: ~F.when(is_word(i), cut(word_of(i))).otherwise(cut(word_of(i)) & cut(word_of(i) + 1))
     cleaned = F.when(F.col("positions").isNull(), text).otherwise(F.array_join(F.filter(pieces, keep), ""))
-    return marked.select("_doc.*", cleaned.alias("_cleaned")).select(*(F.col("_cleaned").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    return unpacked(marked, docs.columns, cleaned)

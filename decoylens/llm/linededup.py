@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from .tables import BLANKS, ascii_lower, stored
+from .tables import BLANKS, ascii_lower, stored, unpacked
 
 KEY = ["h1", "h2"]
 
@@ -153,5 +153,4 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, **options) -> DataFrame:
     """The documents with repeated lines removed from ``text``; columns as before."""
-    kept = deduplicate(docs, **options)
-    return kept.select("_doc.*", F.col("kept").alias("_kept_text")).select(*(F.col("_kept_text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    return unpacked(deduplicate(docs, **options), docs.columns, F.col("kept"))

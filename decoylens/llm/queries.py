@@ -12,7 +12,7 @@ from . import ann, decontaminate, licences, linededup, mixing, pii, quality, sim
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
-DOC = F.col("_doc.doc_id").alias("doc_id")
+DOC = "_doc.doc_id"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,16 +107,19 @@ def links(fingerprints: DataFrame, radius: int = 3, bucket_limit: int = 1024) ->
     bucket_limit = max(bucket_limit, 2 ** (2**radius - 1))  # with fewer fingerprints a bucket may have no bit left to split by
     spark = fingerprints.sparkSession
     masks = {0: 0}  # path of masks taken so far: bits seen
-    rows = fingerprints.select(F.lit(0).cast("bigint").alias("path"), "fp")
-    result, level = None, 0
+    rows, result, level = fingerprints.select("fp"), None, 0
     while True:
         steps = [
             (path, path * 2 ** (radius + 1) + i + 1, _signed(seen | mask))
             for path, seen in masks.items()
             for i, mask in enumerate(covering_masks([p for p in range(BITS) if not seen >> p & 1], radius, 1000 * level + path % 997))
         ]
-        table = F.broadcast(spark.createDataFrame(steps, "path bigint, next bigint, mask bigint"))  # 15, 225, 3375 rows
-        rows = rows.join(table, "path").select(F.col("next").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+        if level == 0:
+            first = F.array(*(F.struct(F.lit(n).cast("bigint").alias("next"), F.lit(m).alias("mask")) for _, n, m in steps))
+            rows = rows.select("fp", F.explode(first).alias("step")).select("fp", "step.next", "step.mask")
+        else:  # 225 rows, then 3375
+            rows = rows.join(F.broadcast(spark.createDataFrame(steps, "path bigint, next bigint, mask bigint")), "path")
+        rows = rows.select(F.col("next").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
         sizes = rows.groupBy("path", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         sizes = stored(sizes, f"bucket-sizes-{level}")
         small = rows.join(sizes.filter(F.col("size") <= bucket_limit), ["path", "key"]).groupBy("path", "key").agg(F.collect_list("fp").alias("group"))

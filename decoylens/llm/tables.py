@@ -46,3 +46,9 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     path = scratch_path(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def unpacked(rows: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """The columns packed in ``_doc``, with another ``text``."""
+    rows = rows.select("_doc", text.alias("_new"))
+    return rows.select(*(F.col("_new").alias(c) if c == "text" else F.col("_doc").getField(c).alias(c) for c in columns))
