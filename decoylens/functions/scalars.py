@@ -66,13 +66,14 @@ def as_count(value: Column) -> Column:
 
 
 def address_number(address: Column | str) -> Column:
-    """Dotted IPv4 text to its number; null when it is not four numeric parts."""
+    """Dotted IPv4 text to its number; null when it is not four numbers from 0 to 255."""
     address = F.col(address) if isinstance(address, str) else address
     parts = F.split(address, r"\.")
-    number = F.lit(0).cast("bigint")
-    for position in range(4):
-        number = number * 256 + F.get(parts, position).try_cast("bigint")
-    return F.when(F.size(parts) == 4, number)
+    octets = [F.get(parts, position).try_cast("bigint") for position in range(4)]
+    number, valid = F.lit(0).cast("bigint"), F.size(parts) == 4
+    for octet in octets:
+        number, valid = number * 256 + octet, valid & octet.between(0, 255)
+    return F.when(valid, number)
 
 
 def is_private(address: Column | str, rfc1918: bool = False) -> Column:

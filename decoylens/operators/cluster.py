@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.rules import bot_score
@@ -18,6 +20,9 @@ from .evaluate import calinski_harabasz, davies_bouldin
 from .ordered import group_medians
 
 
+PARALLEL_FITS = 8
+
+
 @dataclass(frozen=True)
 class Scaling:
     """What preprocessing did, enough to undo it: one number per feature."""
@@ -59,17 +64,22 @@ def preprocess(df: DataFrame, columns: Sequence[str], limit: float = 100) -> tup
     moments = {c: found[f"log_{i}" if c in logged else f"plain_{i}"] for i, c in enumerate(columns)}
     mean = {c: m["mean"] or 0.0 for c, m in moments.items()}
     std = {c: m["std"] or 1.0 for c, m in moments.items()}
-    scaled = df.withColumns({c: ((logs if c in logged else plain)[c] - mean[c]) / std[c] for c in columns})
-    return scaled, Scaling(tuple(columns), frozenset(logged), mean, std)
+    scaling = Scaling(tuple(columns), frozenset(logged), mean, std)
+    return apply_scaling(df, scaling), scaling
+
 
+def apply_scaling(df: DataFrame, scaling: Scaling) -> DataFrame:
+    """The same treatment for other rows than those it was learned from."""
+    value = lambda c: finite(F.log1p(c) if c in scaling.logged else F.col(c))
+    return df.withColumns({c: (value(c) - scaling.mean[c]) / scaling.std[c] for c in scaling.columns})
 
-def training_set(df: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
-    """Cache a training table and pack it into as many partitions as its rows call for.
 
-    Iterative fits run a job or more per step; tiny partitions would spend the time on scheduling.
+def training_set(df: DataFrame, key: str = "src_ip", partitions: int = 4) -> DataFrame:
+    """Cache a training table, dealt to a given number of partitions by its key.
+
+    Starts and samples of the fits follow the partitions, so these depend on nothing but key and number.
     """
-    cached = df.persist()
-    return cached.coalesce(max(1, -(-cached.count() // rows_per_task)))
+    return df.repartition(partitions, key).persist()
 
 
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
@@ -78,10 +88,9 @@ def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> Da
 
 def best_kmeans(vectors: DataFrame, k: int, inits: int = 10, max_iter: int = 300, seed: int = 42) -> KMeansModel:
     """The model with the least training cost over ``inits`` seeds; pass a ``training_set``."""
-    models = (
-        KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(vectors)
-        for i in range(inits)
-    )
+    start = lambda i: KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(vectors)
+    with ThreadPool(min(inits, PARALLEL_FITS)) as pool:  # each start is a chain of small jobs
+        models = pool.map(inheritable_thread_target(vectors.sparkSession)(start), range(inits))
     return min(models, key=lambda model: model.summary.trainingCost)
 
 

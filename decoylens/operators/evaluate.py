@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .ordered import join_small
-
 
 # --- clusterings -------------------------------------------------------------------------------
 # Input: one row per point with an integer cluster column and an array<double> column ``x``.
@@ -33,7 +31,7 @@ def davies_bouldin(points: DataFrame, cluster: str = "cluster", x: str = "x", by
     """
     keys = [*by, cluster]
     scatter = (
-        join_small(points, centroids(points, cluster, x, by), keys)
+        points.join(centroids(points, cluster, x, by), keys)
         .groupBy(*keys)
         .agg(F.avg(_distance(F.col(x), F.col("centre"))).alias("s"), F.first("centre").alias("c"))
     )
@@ -154,30 +152,32 @@ def weighted_scores(df: DataFrame, label: str = "label", prediction: str = "pred
 
 
 def agreement(df: DataFrame, first: str, second: str, min_common: int = 100) -> DataFrame:
-    """Percent agreement and Cohen's kappa; no row below ``min_common`` common items."""
+    """Percent agreement and Cohen's kappa; ``enough`` tells whether there are ``min_common`` common items."""
     cells = confusion_counts(df, first, second)
     total = cells.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("same"))
     left = cells.groupBy("label").agg(F.sum("n").alias("a"))
     right = cells.groupBy(F.col("prediction").alias("label")).agg(F.sum("n").alias("b"))
     chance = left.join(right, "label").agg(F.coalesce(F.sum(F.col("a").cast("double") * F.col("b")), F.lit(0.0)))
-    joined = total.withColumn("_ab", chance.scalar()).filter(F.col("n") >= min_common)
+    joined = total.withColumn("_ab", chance.scalar())
     po = F.col("same") / F.col("n")
     pe = F.col("_ab") / (F.col("n").cast("double") * F.col("n"))
     return joined.select(
-        F.col("n").cast("bigint").alias("n"), (po * 100).alias("agreement_pct"),
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), (po * 100).alias("agreement_pct"),
         F.coalesce(F.try_divide(po - pe, 1 - pe), F.lit(1.0)).alias("kappa"),
+        (F.coalesce("n", F.lit(0)) >= min_common).cast("int").alias("enough"),
     )
 
 
-def roc_points(df: DataFrame, label: str, score: str, positive=1, slices: int = 4096) -> DataFrame:
+def roc_points(df: DataFrame, label: str, score: str, positive=1, slices: int = 256) -> DataFrame:
     """ROC points over distinct scores, highest first: ``(score, fpr, tpr)``.
 
-    Rows collapse to one per score. The running totals go through fixed-width score slices over
-    [0, 1]: slice totals are accumulated in one small table, the rest inside each slice.
+    Rows collapse to one per score, of any range. The running totals go through slices of about as many scores
+    each, cut at quantiles: slice totals are accumulated in one small table, the rest inside each slice.
     """
     hit = F.col(label) == positive
     per_score = df.groupBy(F.col(score).alias("score")).agg(F.count_if(hit).alias("p"), F.count_if(~hit).alias("q"))
-    sliced = per_score.withColumn("_slice", F.floor(F.col("score") * slices))
+    borders = per_score.agg(F.percentile_approx("score", [i / slices for i in range(1, slices)], 10 * slices)).scalar()
+    sliced = per_score.withColumn("_borders", borders).withColumn("_slice", F.size(F.filter("_borders", lambda b: b < F.col("score")))).drop("_borders")
     down = Window.partitionBy(F.lit(0)).orderBy(F.desc("_slice"))
     before = down.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(0))

@@ -15,7 +15,7 @@ from ..functions import rules
 from ..functions.entropy import entropy_of_counts, list_entropy, shannon_entropy
 from ..functions.scalars import MICROS, has_part, is_login, micros, per
 from ..functions.vocabulary import COMMON_PORTS
-from .ordered import DAY_MICROS, first_n, mean_gap
+from .ordered import DAY_MICROS, first_fraction, first_n, gap_seconds, mean_gap
 
 SESSION_FEATURES = (
     "total_attempts", "unique_usernames", "unique_passwords", "unique_combos", "success_rate",
@@ -239,37 +239,49 @@ def _gap_columns(prefix: str = "") -> list[Column]:
 
 
 def early_sessions(
-    events: DataFrame, ratio: float = 0.3, history: int = 200, min_logins: int = 10, least: int = 3, tie: str = "event_id"
+    events: DataFrame, ratio: float = 0.3, history: int | None = None, min_logins: int = 10, least: int = 3, tie: str = "event_id"
 ) -> DataFrame:
-    """Features of the first ``max(least, ratio * n)`` logins (n counted up to ``history``) with the R3 label.
+    """Features of the first ``max(least, ratio * n)`` logins with the R3 label.
 
-    The window is bounded by ``history``, so first-N and the per-address sets stay small.
+    ``history`` counts n up to that many logins only, where it is asked for. Gaps, distinct names and
+    distinct passwords are aggregates over the rows, so the early part of an address may be of any length.
     """
     labels = threat_labels(events, min_logins).drop("window_label")
-    bound = max(least, int(history * ratio))
-    first = first_n(
-        logins_of(events).select("src_ip", "timestamp", "hour", "eventid", "username", "password", tie),
-        ["src_ip"], ["timestamp", tie], bound, tie,
-    )
-    cut = F.greatest(F.lit(least), F.floor(F.least(F.col("_total_logins"), F.lit(history)) * F.lit(float(ratio))))
-    early = with_login_gap(first).join(labels.select("src_ip", "_total_logins"), "src_ip").filter(F.col("rank") <= cut)
+    logins = logins_of(events).select("src_ip", "timestamp", "hour", "eventid", "username", "password", tie)
+    early = first_fraction(gap_seconds(logins, "src_ip", "timestamp", tie), "src_ip", "timestamp", tie, ratio, least)
+    if history is not None:
+        early = early.filter(F.col("rank") <= max(least, int(history * ratio)))
+    early = early.withColumn("gap_us", F.when((F.col("gap") > 0) & (F.col("gap") < DAY_MICROS / MICROS), F.col("gap") * F.lit(float(MICROS))))
     summary = early.groupBy("src_ip").agg(
         F.count(F.lit(1)).alias("early_attempt_count"),
-        F.size(F.collect_set(F.nullif("username", F.lit("")))).alias("early_unique_users"),
-        F.collect_set(F.nullif("password", F.lit(""))).alias("_passwords"),
         F.count_if(has_part("eventid", "login.success")).alias("_wins"),
         *_gap_columns("early_"),
-        F.count_distinct("hour").alias("early_unique_hours"),
     )
-    features = summary.select(
-        "src_ip", "early_attempt_count", "early_unique_users",
-        F.size("_passwords").alias("early_unique_passwords"),
+    kinds = F.inline(
+        F.array(
+            F.struct(F.lit("user").alias("kind"), F.nullif("username", F.lit("")).alias("value")),
+            F.struct(F.lit("password").alias("kind"), F.nullif("password", F.lit("")).alias("value")),
+            F.struct(F.lit("hour").alias("kind"), F.col("hour").cast("string").alias("value")),
+        )
+    )
+    values = early.select("src_ip", kinds).filter(F.col("value").isNotNull()).distinct()
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    distinct = values.groupBy("src_ip").agg(
+        F.count(of("user", F.lit(1))).alias("early_unique_users"),
+        F.count(of("password", F.lit(1))).alias("early_unique_passwords"),
+        F.avg(of("password", shannon_entropy(F.col("value")))).alias("_entropy"),
+        F.avg(of("password", F.length("value"))).alias("_length"),
+        F.count(of("hour", F.lit(1))).alias("early_unique_hours"),
+    )
+    features = summary.join(distinct, "src_ip", "left").select(
+        "src_ip", "early_attempt_count", F.coalesce("early_unique_users", F.lit(0)).cast("int").alias("early_unique_users"),
+        F.coalesce("early_unique_passwords", F.lit(0)).cast("int").alias("early_unique_passwords"),
         per(F.col("_wins"), F.col("early_attempt_count")).alias("early_success_rate"),
         "early_avg_time_between", "early_min_time_between", "early_std_time_between",
-        _mean_over(F.col("_passwords"), shannon_entropy).alias("early_password_entropy"),
-        _mean_over(F.col("_passwords"), F.length).alias("early_password_length"),
-        per(F.col("early_attempt_count"), F.size("_passwords")).alias("early_password_reuse"),
-        "early_unique_hours",
+        _zero(F.col("_entropy")).alias("early_password_entropy"),
+        _zero(F.col("_length")).alias("early_password_length"),
+        per(F.col("early_attempt_count"), F.coalesce("early_unique_passwords", F.lit(0))).alias("early_password_reuse"),
+        F.coalesce("early_unique_hours", F.lit(0)).alias("early_unique_hours"),
     )
     return features.join(labels, "src_ip")
 
@@ -341,17 +353,15 @@ def flow_windows(
 CLASH_SUFFIX = "_ctu"
 
 
-def merge_features(sessions: DataFrame, flows: DataFrame, min_common: int = 100, suffix: str = CLASH_SUFFIX) -> DataFrame:
-    """Left join the flow features when more than ``min_common`` addresses occur in both tables.
+def merge_features(sessions: DataFrame, flows: DataFrame, suffix: str = CLASH_SUFFIX) -> tuple[DataFrame, DataFrame]:
+    """The session features with the flow features joined on where an address has both, and one row ``n_common``.
 
-    Both per-address tables are used twice, for the test and for the join, hence cached.
+    Whether the common addresses are enough is for the caller to say; the columns do not depend on it.
     """
-    sessions, flows = sessions.persist(), flows.persist()
-    common = sessions.select("src_ip").intersect(flows.select("src_ip"))
-    if common.limit(min_common + 1).count() <= min_common:
-        return sessions
     clashes = {c: c + suffix for c in flows.columns if c != "src_ip" and c in sessions.columns}
-    return sessions.join(flows.withColumnsRenamed(clashes), "src_ip", "left")
+    common = sessions.select("src_ip").join(flows.select("src_ip"), "src_ip", "left_semi")
+    merged = sessions.join(flows.withColumnsRenamed(clashes), "src_ip", "left")
+    return merged, common.agg(F.count(F.lit(1)).alias("n_common"))
 
 
 def numeric_features(df: DataFrame, exclude: Sequence[str] = (), prefix: str | None = None) -> list[str]:

@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import address_number, clamp, is_private, valid_point
-from .ordered import bucketed_rank
 
 # Columns of a geography row and what they hold when nothing is known.
 GEO_DEFAULTS = {
@@ -21,6 +20,8 @@ GEO_DEFAULTS = {
     "region": "Unknown",
     "accuracy_radius_km": 0,
 }
+# What a private address holds instead.
+PRIVATE = {"country_code": "--", "country_name": "Private"}
 UNRESOLVED = ("XX", "--")
 PREFIX_BITS = 16
 
@@ -53,10 +54,9 @@ def lookup_tiers(addresses: DataFrame, tiers: Sequence[Callable[[DataFrame], Dat
     earlier tiers left open; a row with code XX counts as not found. The address table is cached
     per tier, since both the open part and the whole are read.
     """
-    private = {"country_code": "--", "country_name": "Private"}
     table = addresses.select(ip).distinct().withColumn("tier", F.when(is_private(ip), F.lit("private")))
     table = table.withColumns(
-        {k: F.when(F.col("tier").isNotNull(), F.lit(private.get(k, v))) for k, v in GEO_DEFAULTS.items()}
+        {k: F.when(F.col("tier").isNotNull(), F.lit(PRIVATE.get(k, v))) for k, v in GEO_DEFAULTS.items()}
     )
     for number, tier in enumerate(tiers, 1):
         table = table.persist()
@@ -69,9 +69,9 @@ def lookup_tiers(addresses: DataFrame, tiers: Sequence[Callable[[DataFrame], Dat
 
 
 def resolve(addresses: DataFrame, blocks: DataFrame, ip: str = "src_ip") -> DataFrame:
-    """One geography row per distinct address, sentinels where no block holds it."""
-    filled = [F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in GEO_DEFAULTS.items()]
-    return block_lookup(addresses, blocks, ip, "left").select(ip, *filled)
+    """One geography row per distinct address: the private ones as such, sentinels where no block holds it."""
+    own = lambda k, v: F.when(is_private(ip), F.lit(PRIVATE.get(k, v))).otherwise(F.coalesce(F.col(k), F.lit(v)))
+    return block_lookup(addresses, blocks, ip, "left").select(ip, *[own(k, v).alias(k) for k, v in GEO_DEFAULTS.items()])
 
 
 def enrich(df: DataFrame, resolved: DataFrame, ip: str = "src_ip", prefix: str = "geo_") -> DataFrame:
@@ -153,15 +153,17 @@ def weighted_points(counts: DataFrame, resolved: DataFrame, ip: str = "src_ip")
     return counts.join(places, ip)
 
 
-def hourly_points(df: DataFrame, key: str, cap: int = 20_000, slice_seconds: int = 86_400) -> DataFrame:
-    """At most ``cap`` valid points per hour of day, earliest first.
+def hourly_points(counts: DataFrame, limit: int | None = None) -> DataFrame:
+    """``(hour, latitude, longitude, weight)`` of the valid points, from counts per (address, hour) with geography.
 
-    The rank runs through time slices, so one hour of day never becomes one task.
+    All rows are in the weights. ``limit`` keeps the heaviest points of each hour, only where it is asked for.
     """
-    points = df.filter(valid_point("latitude", "longitude"))
-    slice_no = F.floor(F.unix_micros("timestamp") / F.lit(slice_seconds * 1_000_000))
-    ranked = bucketed_rank(points, ["hour"], slice_no, ["timestamp", key], "rank")
-    return ranked.filter(F.col("rank") <= cap)
+    points = counts.filter(valid_point("latitude", "longitude")).groupBy("hour", "latitude", "longitude")
+    points = points.agg(F.sum("weight").cast("bigint").alias("weight"))
+    if limit is None:
+        return points
+    heaviest = Window.partitionBy("hour").orderBy(F.desc("weight"), "latitude", "longitude")
+    return points.withColumn("_n", F.row_number().over(heaviest)).filter(F.col("_n") <= limit).drop("_n")
 
 
 def resolution_stats(df: DataFrame, code: str = "country_code", weight: str | None = None) -> DataFrame:

@@ -144,21 +144,15 @@ def centred_mean(df: DataFrame, value: str, order: str, half: int, name: str, pa
     return df.withColumn(name, F.when(full, F.avg(value).over(frame)))
 
 
-def join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", max_rows: int = 10_000) -> DataFrame:
-    """Join a table of per-group values; broadcast it only after its rows were counted.
-
-    Few groups are exactly the case in which shuffling ``df`` by group would make a few huge
-    partitions. A table beyond ``max_rows`` is joined by key as usual.
-    """
-    known = small.persist()
-    few = known.count() <= max_rows
-    return df.join(F.broadcast(known) if few else known, list(keys), how)
-
-
 def share(value: Column | str, *partition: str) -> Column:
-    """A row's share of its partition's total, or of the grand total."""
+    """A row's share of its partition's total. For the grand total see ``with_total_share``."""
     value = F.col(value) if isinstance(value, str) else value
-    return value / F.sum(value).over(Window.partitionBy(*(partition or [F.lit(0)])))
+    return value / F.sum(value).over(Window.partitionBy(*partition))
+
+
+def with_total_share(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Add each row's share of the grand total, a scalar subquery: no task sees more than its own rows."""
+    return df.withColumn(name, F.col(value) / df.agg(F.sum(value)).scalar())
 
 
 def group_medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -172,7 +166,7 @@ def group_medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     bracket = known.groupBy(*keys).agg(
         F.percentile_approx(value, [0.498, 0.502], 10_000).alias("_band"), F.count(F.lit(1)).alias("_n")
     )
-    banded = join_small(known, bracket, keys)
+    banded = known.join(bracket, keys)
     # Everything below the band collapses into one row per group (a null value), which sorts first.
     place = F.when(F.col(value) >= F.col("_band")[0], F.col(value))
     cells = banded.filter(F.col(value) <= F.col("_band")[1]).groupBy(*keys, place.alias(value)).agg(

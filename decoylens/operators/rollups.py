@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.vocabulary import WEEKDAYS
-from .ordered import centred_mean, join_small, share
+from .ordered import centred_mean, share, with_total_share
 
 
 def _tally(weight: str | None) -> Column:
@@ -142,7 +142,7 @@ def long_statistics(parts: Sequence[tuple[str, DataFrame, str, str]]) -> DataFra
 
 def fold_rare(df: DataFrame, column: str, floor: float = 0.01, other: str = "Other") -> DataFrame:
     """Counts with categories below ``floor`` of the total folded into one."""
-    counts = value_counts(df, column).withColumn("_share", share("n"))
+    counts = with_total_share(value_counts(df, column), "n", "_share")
     named = F.when(F.col("_share") < floor, F.lit(other)).otherwise(F.col(column))
     return counts.groupBy(named.alias(column)).agg(F.sum("n").cast("bigint").alias("n"))
 
@@ -152,9 +152,9 @@ def distribution(df: DataFrame, column: str, measure: str | None = None) -> Data
     aggregates = [F.count(F.lit(1)).alias("n")]
     if measure:
         aggregates.append(F.sum(measure).cast("double").alias("_m"))
-    table = df.groupBy(column).agg(*aggregates).withColumn("pct", share("n") * 100)
+    table = with_total_share(df.groupBy(column).agg(*aggregates), "n", "pct").withColumn("pct", F.col("pct") * 100)
     if measure:
-        table = table.withColumn("measure_pct", share("_m") * 100).drop("_m")
+        table = with_total_share(table, "_m", "measure_pct").withColumn("measure_pct", F.col("measure_pct") * 100).drop("_m")
     return table
 
 
@@ -183,7 +183,7 @@ def histogram(df: DataFrame, value: str, keys: Sequence[str], bins: int = 50, lo
     width = (F.col("hi") - F.col("lo")) / bins
     slot = F.floor((F.col("_x") - F.col("lo")) / width) + 1
     bin_no = F.when(F.col("hi") == F.col("lo"), F.lit(1)).otherwise(F.least(slot, F.lit(bins)))
-    placed = join_small(points, bounds, keys) if keys else points.withColumns(
+    placed = points.join(bounds, keys) if keys else points.withColumns(
         {"lo": bounds.select("lo").scalar(), "hi": bounds.select("hi").scalar()}
     )
     return placed.groupBy(*keys, bin_no.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -49,7 +49,10 @@ def stratified_folds(df: DataFrame, label: str, key: str, folds: int = 5, seed:
     return ranked.withColumn("fold", F.pmod(F.col("rank"), F.lit(folds)).cast("int")).drop("rank", "n_label")
 
 
-def repeat_by_weight(df: DataFrame, weight: str, cap: int = 50) -> DataFrame:
-    """Repeat each row ``min(weight, cap)`` times; ``copy`` numbers the repeats from 1."""
-    times = F.least(F.col(weight), F.lit(cap)).cast("int")
+def repeat_by_weight(df: DataFrame, weight: str, cap: int | None = None) -> DataFrame:
+    """Repeat each row ``weight`` times, at most ``cap`` where one is asked for; ``copy`` numbers the repeats from 1.
+
+    Rows that carry their weight serve most uses as well and are fewer.
+    """
+    times = (F.col(weight) if cap is None else F.least(F.col(weight), F.lit(cap))).cast("int")
     return df.filter(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times)))

@@ -12,7 +12,9 @@ from ..functions.scalars import time_columns
 from ..session import tune
 
 FIRST_ADDRESS = 184_549_376  # 11.0.0.0
-N_BLOCKS, BLOCK_SIZE = 600, 196_608
+PRIVATE_ADDRESS = 167_772_160  # 10.0.0.0
+PER_BLOCK = 3  # entities in a block, 256 addresses each
+BLOCK_SIZE = 256 * PER_BLOCK
 FLOW_ORDER = ("timestamp", "flow_id")
 
 
@@ -21,8 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _address(number: Column) -> Column:
-    """Entity number to dotted text inside 11.0.0.0/8 and up, one /16 per entity."""
-    return F.concat((11 + F.floor(number / 256)).cast("string"), F.lit("."), (number % 256).cast("string"), F.lit(".0.1"))
+    """Entity number to dotted text, one /24 per entity: inside 11.0.0.0/8 and up, every 41st in 10.0.0.0/8."""
+    first = F.when(number % 41 == 40, F.lit(10)).otherwise(11) + F.floor(number / 65536)
+    return F.concat_ws(".", first.cast("string"), (F.floor(number / 256) % 256).cast("string"), (number % 256).cast("string"), F.lit("1"))
 
 
 def events_from(raw: DataFrame) -> DataFrame:
@@ -61,12 +64,16 @@ def attack_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_from(table(spark, sf_dir, "events"))
 
 
+def flow_source(lineitem: DataFrame) -> DataFrame:
+    """Entity number of each flow's source."""
+    return lineitem.withColumn("src", (F.col("l_partkey") % 37) * (F.col("l_suppkey") % 11))
+
+
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     c = F.col
-    src = (c("l_partkey") % 37) * (c("l_suppkey") % 11)
     seconds = ((c("l_orderkey") * 7919 + c("l_linenumber") * 613) % 86400).cast("int")
-    base = li.withColumn("src", src).withColumn(
+    base = flow_source(li).withColumn(
         "timestamp", c("l_shipdate").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
     )
     port = (
@@ -110,11 +117,19 @@ def geo_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _block_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many blocks as the entities of both logs need."""
+    users = table(spark, sf_dir, "events").agg(F.max("user_id").alias("top"))
+    sources = flow_source(table(spark, sf_dir, "lineitem")).agg(F.max("src").alias("top"))
+    top = users.union(sources).agg(F.coalesce(F.max("top"), F.lit(0)).alias("top"))
+    return top.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("top") / PER_BLOCK))).alias("id"))
+
+
 def geo_blocks(spark: SparkSession, sf_dir: str, every: int = 10, skip: int = 9) -> DataFrame:
     """Network blocks with their geography; every tenth block is missing and stays unresolved."""
     b = F.col("id")
     start = FIRST_ADDRESS + b * BLOCK_SIZE
-    blocks = spark.range(N_BLOCKS).filter(b % every != skip).select(
+    blocks = _block_numbers(spark, sf_dir).filter(b % every != skip).select(
         start.alias("start_ip"), (start + (BLOCK_SIZE - 1)).alias("end_ip"), (b % 25).cast("int").alias("nationkey")
     )
     return blocks.join(geo_dim(spark, sf_dir), "nationkey").drop("nationkey")
@@ -124,7 +139,7 @@ def second_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second block table: only the even ones of the blocks the first table lacks."""
     b = F.col("id")
     start = FIRST_ADDRESS + b * BLOCK_SIZE
-    blocks = spark.range(N_BLOCKS).filter((b % 10 == 9) & (F.floor(b / 10) % 2 == 0)).select(
+    blocks = _block_numbers(spark, sf_dir).filter((b % 10 == 9) & (F.floor(b / 10) % 2 == 0)).select(
         start.alias("start_ip"), (start + (BLOCK_SIZE - 1)).alias("end_ip"), ((b + 7) % 25).cast("int").alias("nationkey")
     )
     return blocks.join(geo_dim(spark, sf_dir), "nationkey").drop("nationkey")
@@ -144,7 +159,12 @@ def sensor_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the same views in SQL -----------------------------------------------------------------------
 
 def _sql_address(number: str) -> str:
-    return f"CAST(11 + ({number}) // 256 AS VARCHAR) || '.' || CAST(({number}) % 256 AS VARCHAR) || '.0.1'"
+    first = f"CASE WHEN ({number}) % 41 = 40 THEN 10 ELSE 11 END + ({number}) // 65536"
+    return f"concat_ws('.', CAST({first} AS VARCHAR), CAST(({number}) // 256 % 256 AS VARCHAR), CAST(({number}) % 256 AS VARCHAR), '1')"
+
+
+def _sql_number(number: str) -> str:
+    return f"CASE WHEN ({number}) % 41 = 40 THEN {PRIVATE_ADDRESS} ELSE {FIRST_ADDRESS} END + ({number}) * 256 + 1"
 
 
 EV = f"""
@@ -165,7 +185,7 @@ ev0 AS (
   SELECT event_id, "timestamp", CAST("timestamp" AS DATE) AS date, CAST(hour("timestamp") AS INT) AS hour,
     dayname("timestamp") AS day_of_week,
     {_sql_address('user_id')} AS src_ip,
-    {FIRST_ADDRESS} + user_id * 65536 + 1 AS ip_num, eventid,
+    {_sql_number('user_id')} AS ip_num, eventid,
     CASE WHEN contains(eventid, 'login') THEN 'user' || CAST(k % 12 AS VARCHAR) END AS username,
     CASE WHEN contains(eventid, 'login') AND k % 20 <> 0
          THEN substring(md5(CAST(k AS VARCHAR)), 1, CAST(4 + k % 9 AS INT)) END AS password,
@@ -182,7 +202,7 @@ fl0 AS (
 ), fl AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS flow_id,
     "timestamp", CAST("timestamp" AS DATE) AS date, CAST(hour("timestamp") AS INT) AS hour, dayname("timestamp") AS day_of_week,
-    {_sql_address('src')} AS src_ip, {FIRST_ADDRESS} + src * 65536 + 1 AS ip_num,
+    {_sql_address('src')} AS src_ip, {_sql_number('src')} AS ip_num,
     '203.0.113.' || CAST(l_suppkey % 65 AS VARCHAR) AS dst_ip,
     CAST(1024 + l_partkey % 60000 AS INT) AS src_port,
     CAST(CASE WHEN src % 3 = 0 THEN CASE l_linenumber % 3 WHEN 0 THEN 22 WHEN 1 THEN 23 ELSE 445 END
@@ -210,7 +230,7 @@ def _sql_blocks(name: str, test: str, nation: str) -> str:
     return f"""
 {name} AS (
   SELECT {FIRST_ADDRESS} + b * {BLOCK_SIZE} AS start_ip, {FIRST_ADDRESS} + b * {BLOCK_SIZE} + {BLOCK_SIZE - 1} AS end_ip, dim.*
-  FROM range({N_BLOCKS}) t(b) JOIN dim ON dim.nationkey = {nation} WHERE {test}
+  FROM (SELECT unnest(range(greatest(coalesce((SELECT max(user_id) FROM events), 0), coalesce((SELECT max({_SRC}) FROM lineitem), 0)) // {PER_BLOCK} + 1)) AS b) t JOIN dim ON dim.nationkey = {nation} WHERE {test}
 )"""
 
 
@@ -218,7 +238,8 @@ BLOCKS = DIM + "," + _sql_blocks("blocks", "b % 10 <> 9", "b % 25")
 SECOND = _sql_blocks("blocks2", "b % 10 = 9 AND (b // 10) % 2 = 0", "(b + 7) % 25")
 
 GEO_SELECT = """
-    coalesce(g.country_code, 'XX') AS country_code, coalesce(g.country_name, 'Unknown') AS country_name,
+    CASE WHEN a.src_ip LIKE '10.%' THEN '--' ELSE coalesce(g.country_code, 'XX') END AS country_code,
+    CASE WHEN a.src_ip LIKE '10.%' THEN 'Private' ELSE coalesce(g.country_name, 'Unknown') END AS country_name,
     coalesce(g.city, 'Unknown') AS city, coalesce(g.latitude, 0.0) AS latitude, coalesce(g.longitude, 0.0) AS longitude,
     coalesce(g.continent_code, 'XX') AS continent_code, coalesce(g.continent_name, 'Unknown') AS continent_name,
     coalesce(g.region, 'Unknown') AS region, coalesce(g.accuracy_radius_km, 0) AS accuracy_radius_km"""

@@ -201,7 +201,7 @@ lg AS (
 
 
 @query("f16_early_sessions", with_ctes(EV, ACT, LOGINS) + f"""
-, e AS (SELECT * FROM lgg WHERE rank <= greatest(3, floor(least(n_logins, 200) * CAST(0.3 AS DOUBLE)))),
+, e AS (SELECT * FROM lgg WHERE rank <= greatest(3, floor(n_logins * CAST(0.3 AS DOUBLE)))),
 p AS (SELECT src_ip, avg({ENTROPY.format('password')}) AS pe, avg(length(password)) AS pl FROM (SELECT DISTINCT src_ip, password FROM e WHERE password IS NOT NULL) GROUP BY src_ip),
 s AS (SELECT src_ip, count(*) AS n, count(DISTINCT username) AS u, count(DISTINCT password) AS pw, count(*) FILTER (WHERE contains(eventid, 'login.success')) AS wins,
   coalesce(avg(gap) / 1e6, 0.0) AS ga, coalesce(min(gap) / 1e6, 0.0) AS gm, coalesce(stddev_pop(gap) / 1e6, 0.0) AS gs, count(DISTINCT hour) AS hrs FROM e GROUP BY src_ip)
@@ -266,14 +266,10 @@ def flow_windows(spark, sf):
 
 @query("j04_feature_merge", with_ctes(EV, ACT, PW, GAPS, SF, FL, FF) + """
 , common AS (SELECT count(*) AS n FROM (SELECT src_ip FROM sf INTERSECT SELECT src_ip FROM ff))
-SELECT sf.src_ip, total_attempts, CASE WHEN common.n > 5 THEN flow_count END AS flow_count, CASE WHEN common.n > 5 THEN ff.proto_diversity END AS proto_diversity
-FROM common, sf LEFT JOIN ff ON ff.src_ip = sf.src_ip""")
+SELECT sf.src_ip, total_attempts, flow_count, ff.proto_diversity, common.n AS n_common FROM common, sf LEFT JOIN ff ON ff.src_ip = sf.src_ip""")
 def feature_merge(spark, sf):
-    merged = FT.merge_features(FT.session_features(attack_events(spark, sf)), FT.flow_features(flows(spark, sf)), min_common=5)
-    extra = ["flow_count", "proto_diversity"]
-    if "flow_count" not in merged.columns:
-        merged = merged.withColumns({c: F.lit(None).cast("bigint") for c in extra})
-    return merged.select("src_ip", "total_attempts", *extra)
+    merged, common = FT.merge_features(FT.session_features(attack_events(spark, sf)), FT.flow_features(flows(spark, sf)))
+    return merged.select("src_ip", "total_attempts", "flow_count", "proto_diversity", common.scalar().alias("n_common"))
 
 
 @query("j05_label_merge", with_ctes(EV, ACT) + f"""

@@ -46,7 +46,7 @@ def geo_enrichment(spark, sf):
 , a AS (SELECT DISTINCT src_ip, ip_num FROM fl),
 g AS (SELECT a.src_ip, b1.country_code AS c1, b2.country_code AS c2 FROM a
   LEFT JOIN blocks b1 ON ip_num BETWEEN b1.start_ip AND b1.end_ip LEFT JOIN blocks2 b2 ON ip_num BETWEEN b2.start_ip AND b2.end_ip)
-SELECT src_ip, coalesce(c1, c2, 'XX') AS country_code, CASE WHEN c1 IS NOT NULL THEN 'tier1' WHEN c2 IS NOT NULL THEN 'tier2' ELSE 'default' END AS tier FROM g""")
+SELECT src_ip, CASE WHEN src_ip LIKE '10.%' THEN '--' ELSE coalesce(c1, c2, 'XX') END AS country_code, CASE WHEN src_ip LIKE '10.%' THEN 'private' WHEN c1 IS NOT NULL THEN 'tier1' WHEN c2 IS NOT NULL THEN 'tier2' ELSE 'default' END AS tier FROM g""")
 def two_tier_lookup(spark, sf):
     rows = flows(spark, sf).select("src_ip")
     tiers = [lambda a, b=blocks: G.block_lookup(a, b) for blocks in (geo_blocks(spark, sf), second_blocks(spark, sf))]
@@ -62,17 +62,14 @@ def sensor_city(spark, sf):
 
 @query("j08_weighted_points", EG + """
 , c AS (SELECT src_ip, count(*) AS weight FROM ev GROUP BY src_ip)
-SELECT ge.latitude, ge.longitude, CAST(sum(least(weight, 50)) AS BIGINT) AS copies, CAST(sum(weight) AS BIGINT) AS weight
+SELECT ge.latitude, ge.longitude, count(*) AS addresses, CAST(sum(weight) AS BIGINT) AS weight
 FROM c JOIN ge USING (src_ip) WHERE ge.latitude <> 0 AND ge.longitude <> 0 AND ge.latitude BETWEEN -90 AND 90 AND ge.longitude BETWEEN -180 AND 180
 GROUP BY 1, 2""")
 def weighted_points(spark, sf):
     events = attack_events(spark, sf)
     counts = events.groupBy("src_ip").agg(F.count(F.lit(1)).alias("weight"))
     points = G.weighted_points(counts, _resolved(spark, sf, events))
-    copies = sampling.repeat_by_weight(points, "weight", 50)
-    return copies.groupBy("latitude", "longitude").agg(
-        F.count(F.lit(1)).alias("copies"), F.sum(F.when(F.col("copy") == 1, F.col("weight"))).alias("weight")
-    )
+    return points.groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("addresses"), F.sum("weight").alias("weight"))
 
 
 _CENTROID = """(SELECT country_code, avg(latitude) AS latitude, avg(longitude) AS longitude FROM {0}
@@ -182,17 +179,11 @@ def country_centroids(spark, sf):
 
 
 @query("a21_hourly_points", FG + """
-, p AS (SELECT flow_id, hour, latitude, longitude, row_number() OVER (PARTITION BY hour ORDER BY "timestamp", flow_id) AS rank
-  FROM fl JOIN gf USING (src_ip) WHERE latitude <> 0 AND longitude <> 0 AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180)
-SELECT hour, count(*) AS n, count(DISTINCT (latitude, longitude)) AS places, max(rank) AS last_rank, min(flow_id) AS first_id, max(flow_id) AS last_id FROM p WHERE rank <= 500 GROUP BY hour""")
+SELECT hour, latitude, longitude, count(*) AS weight FROM fl JOIN gf USING (src_ip)
+WHERE latitude <> 0 AND longitude <> 0 AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 GROUP BY ALL""")
 def hourly_points(spark, sf):
-    rows = flows(spark, sf).select("flow_id", "src_ip", "timestamp", "hour")
-    points = rows.join(_resolved(spark, sf, rows).select("src_ip", "latitude", "longitude"), "src_ip")
-    kept = G.hourly_points(points, "flow_id", cap=500)
-    return kept.groupBy("hour").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("latitude", "longitude").alias("places"), F.max("rank").alias("last_rank"),
-        F.min("flow_id").alias("first_id"), F.max("flow_id").alias("last_id"),
-    )
+    rows = flows(spark, sf).select("src_ip", "hour")
+    return G.hourly_points(G.counts_with_geo(rows, ["hour"], _resolved(spark, sf, rows)))
 
 
 @query("a22_resolution_stats", FG + """

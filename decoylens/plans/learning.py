@@ -282,7 +282,7 @@ def importances(spark, sf):
 @query("m25_agreement", """
 WITH p AS (SELECT quality AS a, toxic AS b FROM labels), t AS (SELECT count(*) AS n, avg(CAST(a = b AS INT)) AS po FROM p),
 e AS (SELECT sum(x.c * y.c) / any_value(t.n) / any_value(t.n) AS pe FROM (SELECT a AS v, count(*) AS c FROM p GROUP BY 1) x JOIN (SELECT b AS v, count(*) AS c FROM p GROUP BY 1) y USING (v), t)
-SELECT n, round(po * 100, 6) AS agreement_pct, round((po - pe) / (1 - pe), 6) AS kappa FROM t, e WHERE n >= 100""")
+SELECT n, round(po * 100, 6) AS agreement_pct, round((po - pe) / (1 - pe), 6) AS kappa, CAST(n >= 100 AS INT) AS enough FROM t, e""")
 def agreement(spark, sf):
     return _rounded(E.agreement(_predictions(spark, sf), "label", "prediction"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import scalars as S
 from ..functions.vocabulary import TARGET_EVENTS
 from ..operators import quality as Q, rollups as R, sampling
-from ..operators.ordered import bucketed_rank, centred_mean, share, time_slice
+from ..operators.ordered import centred_mean, first_n, share, with_total_share
 from ..sources.logs import allow_listed
 from .adapters import EV, FL, attack_events, flows, table, with_ctes
 from .catalog import query
@@ -275,7 +275,8 @@ def centred_mean_3d(spark, sf):
 SELECT eventid, hour, n, round(n / sum(n) OVER (PARTITION BY eventid), 6) AS share_of_event, round(n / sum(n) OVER (), 6) AS share_of_all FROM c""")
 def shares(spark, sf):
     cells = R.pair_counts(attack_events(spark, sf), "eventid", "hour")
-    return cells.withColumns({"share_of_event": F.round(share("n", "eventid"), 6), "share_of_all": F.round(share("n"), 6)})
+    cells = with_total_share(cells, "n", "share_of_all").withColumn("share_of_event", F.round(share("n", "eventid"), 6))
+    return cells.withColumn("share_of_all", F.round("share_of_all", 6))
 
 
 # --- sorts, limits, samples, sets ----------------------------------------------------------------
@@ -310,8 +311,7 @@ def uniform_sample(spark, sf):
 SELECT proto, flow_id, rank FROM r WHERE rank <= 200""")
 def group_cap(spark, sf):
     rows = flows(spark, sf).select("proto", "flow_id", "timestamp")
-    ranked = bucketed_rank(rows, ["proto"], time_slice("timestamp", 86_400), ["timestamp", "flow_id"])
-    return ranked.filter(F.col("rank") <= 200).select("proto", "flow_id", "rank")
+    return first_n(rows, ["proto"], ["timestamp", "flow_id"], 200, "flow_id").select("proto", "flow_id", "rank")
 
 
 @query("u01_union_by_name", EF + """

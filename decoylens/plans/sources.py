@@ -16,8 +16,20 @@ E_ = with_ctes(EV)
 F_ = with_ctes(FL)
 
 
+def written_as(lines, folder, name):
+    """Write lines as text files with names of their own; only names go through the driver."""
+    spark = lines.sparkSession
+    lines.write.text(folder)
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [s.getPath() for s in store.listStatus(root) if s.getPath().getName().startswith("part-")]
+    for number, part in enumerate(sorted(parts, key=str)):
+        store.rename(part, jvm.org.apache.hadoop.fs.Path(root, name.format(number)))
+
+
 def flow_lines(spark, sf):
-    """The flows as raw log lines, with comment lines and cut-off lines among them."""
+    """The flows as raw log lines, with indented, comment, blank and cut-off lines among them."""
     c = F.col
     f = flows(spark, sf).withColumn("odd", F.pmod(F.col("src_port"), F.lit(20)))
     line = F.to_json(
@@ -28,7 +40,7 @@ def flow_lines(spark, sf):
             F.when(c("odd") != 5, c("resp_bytes")).alias("resp_bytes"),
         )
     )
-    value = F.when(c("odd") == 0, F.concat(F.lit("#"), line)).when(c("odd") == 1, F.substring(line, F.lit(1), F.length(line) - 7)).when(c("odd") == 2, "").otherwise(line)
+    value = F.when(c("odd") == 0, F.concat(F.lit("#"), line)).when(c("odd") == 1, F.substring(line, F.lit(1), F.length(line) - 7)).when(c("odd") == 2, "").when(c("odd") == 7, F.concat(F.lit(" \t"), line, F.lit(" "))).otherwise(line)
     return f.select(value.alias("value"))
 
 
@@ -36,11 +48,12 @@ def flow_lines(spark, sf):
 , o AS (SELECT *, src_port % 20 AS odd FROM fl)
 SELECT CAST(odd > 2 AS INT) AS ok, count(*) AS n, CAST(sum(CASE WHEN odd > 3 THEN orig_bytes * 100000 ELSE 0 END) AS BIGINT) AS orig_bytes,
   CAST(sum(CASE WHEN odd > 2 AND odd <> 5 THEN resp_bytes ELSE 0 END) AS BIGINT) AS resp_bytes,
-  count(DISTINCT CASE WHEN odd > 2 THEN date END) AS dates, count(DISTINCT CASE WHEN odd > 2 THEN src_ip END) AS ips FROM o WHERE odd <> 2 GROUP BY 1""")
+  count(DISTINCT CASE WHEN odd > 2 THEN date END) AS dates, count(DISTINCT CASE WHEN odd > 2 THEN src_ip END) AS ips FROM o GROUP BY 1""")
 def flow_line_scan(spark, sf):
-    path = scratch_path(spark, "flow-lines")
-    flow_lines(spark, sf).write.text(path)
-    rows = L.type_flows(L.parse_flow_lines(spark.read.text(path)), keep_skipped=True)
+    path = scratch_path(spark, "flow-logs")
+    written_as(flow_lines(spark, sf), f"{path}/sensor-1", "conn.{0}.log")
+    written_as(flow_lines(spark, sf).limit(50), f"{path}/sensor-2", "dns.{0}.log")  # not a flow log
+    rows = L.type_flows(L.parse_flow_lines(L.read_target_lines(spark, path)), keep_skipped=True)
     return rows.groupBy(F.col("ok").cast("int").alias("ok")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("orig_bytes").alias("orig_bytes"), F.sum("resp_bytes").alias("resp_bytes"),
         F.count_distinct("date").alias("dates"), F.count_distinct("src_ip").alias("ips"),
@@ -216,7 +229,7 @@ def unified_table(spark, sf):
 
 @query("s16_geo_cache", with_ctes(EV, FL, BLOCKS) + """
 , a AS (SELECT src_ip, ip_num FROM ev UNION SELECT src_ip, ip_num FROM fl)
-SELECT a.src_ip, coalesce(g.country_code, 'XX') AS country_code FROM a LEFT JOIN blocks g ON a.ip_num BETWEEN g.start_ip AND g.end_ip""")
+SELECT a.src_ip, CASE WHEN a.src_ip LIKE '10.%' THEN '--' ELSE coalesce(g.country_code, 'XX') END AS country_code FROM a LEFT JOIN blocks g ON a.ip_num BETWEEN g.start_ip AND g.end_ip""")
 def geo_cache(spark, sf):
     path = scratch_path(spark, "geo")
     look_up = lambda addresses: G.resolve(addresses, geo_blocks(spark, sf))

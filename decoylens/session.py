@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -52,11 +53,14 @@ def tune(spark: SparkSession) -> SparkSession:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the cluster's shared checkpoint folder.
 
-    Only where ``spark.checkpoint.dir`` is unset, as in tests on one machine, a temporary folder
-    takes its place; it is removed when the process ends.
+    On one machine, where driver and executors are one process, a temporary folder takes its place if
+    ``spark.checkpoint.dir`` is unset; it is removed when the process ends. On a cluster that is an error, as
+    executors would write to disks of their own.
     """
     global _local_scratch
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not shared:
         if _local_scratch is None:
             _local_scratch = tempfile.mkdtemp(prefix="decoylens-")

@@ -84,11 +84,11 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 # --- flow logs ---------------------------------------------------------------------------------------
 
 def parse_flow_lines(lines: DataFrame) -> DataFrame:
-    """Parse ``value`` lines. ``ok`` tells good lines from skipped ones; blank lines vanish."""
-    text = F.trim("value")
+    """Parse ``value`` lines, blanks at both ends left out. ``ok`` tells good lines from skipped ones, blank ones included."""
+    text = F.btrim("value", F.lit(" \t\r\n"))
     record = F.from_json(text, FLOW_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    kept = lines.filter(F.length(text) > 0).withColumn("r", record)
-    ok = F.col("value").startswith("{") & F.col("r").isNotNull() & F.col("r._bad").isNull()
+    kept = lines.withColumn("r", record)
+    ok = text.startswith("{") & F.col("r").isNotNull() & F.col("r._bad").isNull()
     judged = kept.withColumn("ok", F.coalesce(ok, F.lit(False)))
     return judged.select("ok", F.when(F.col("ok"), F.col("r")).alias("r"), "value")
 
@@ -111,9 +111,15 @@ def type_flows(parsed: DataFrame, keep_skipped: bool = False) -> DataFrame:
     )
 
 
+def read_target_lines(spark: SparkSession, paths: str | Sequence[str], **options) -> DataFrame:
+    """``value`` and ``path`` of all lines (or whole files) of the files that ``is_target_log`` accepts."""
+    lines = spark.read.text(paths, recursiveFileLookup=True, **options).withColumn("path", F.col("_metadata.file_path"))
+    return lines.filter(is_target_log(F.col("path")))
+
+
 def read_flow_logs(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """``(flows, rejected lines)``; gz files are read as they are."""
-    parsed = parse_flow_lines(spark.read.text(paths, recursiveFileLookup=True))
+    """``(flows, rejected lines)`` of the flow logs below the paths, other files left alone; gz files are read as they are."""
+    parsed = parse_flow_lines(read_target_lines(spark, paths))
     return type_flows(parsed), parsed.filter("NOT ok").select("value")
 
 
@@ -160,6 +166,6 @@ def allow_listed(events: DataFrame) -> DataFrame:
 
 def read_session_logs(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """``(allow-listed events, rejected documents)`` from whole session files."""
-    documents = spark.read.text(paths, wholetext=True, recursiveFileLookup=True).withColumn("path", F.col("_metadata.file_path"))
+    documents = read_target_lines(spark, paths, wholetext=True)
     events, rejected = parse_session_documents(documents)
     return flatten_event(allow_listed(events)), rejected.select("path")

@@ -124,4 +124,4 @@ def extend_geo_cache(
         fresh = wanted.join(stored, ip, "left_anti")
         if not fresh.isEmpty():
             resolve(fresh).write.mode("append").parquet(cache_path)
-    return spark.read.parquet(cache_path)
+    return spark.read.parquet(cache_path).dropDuplicates([ip])  # a repeated append may have left a row twice

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import harness
-from decoylens.operators import features as FT, geo as G, sequences as SQ
+from decoylens.operators import features as FT, geo as G, sampling, sequences as SQ
 from decoylens.plans import adapters as A
 
 SF = f"{harness.DATA}/sf0.001"
@@ -40,12 +40,12 @@ def test_address_with_bare_events(spark):
     assert FT.session_features(events.limit(4)).count() == 0
 
 
-def test_merge_needs_enough_common_addresses(spark):
+def test_merge_counts_common_addresses(spark):
     sessions = spark.createDataFrame([(str(i), i) for i in range(10)], "src_ip string, n int")
     flows = spark.createDataFrame([(str(i), i) for i in range(5)], "src_ip string, n int")
-    assert FT.merge_features(sessions, flows).columns == ["src_ip", "n"]
-    merged = FT.merge_features(sessions, flows, min_common=4)
-    assert merged.columns == ["src_ip", "n", "n_ctu"] and merged.count() == 10
+    merged, common = FT.merge_features(sessions, flows)
+    assert merged.columns == ["src_ip", "n", "n_ctu"] and merged.count() == 10 and common.first()["n_common"] == 5
+    assert FT.merge_features(sessions, flows.limit(0))[0].columns == merged.columns
 
 
 def test_numeric_features(spark):
@@ -99,3 +99,27 @@ def test_place_comes_from_a_column_or_a_lookup(spark):
     assert _rows(by_column) == [("EU", 3, 1), ("EU", 4, 1)]
     by_address = G.counts_by_place(df, ("missing",), ["hour"], look_up, "continent_code").groupBy("continent_code").agg(F.sum("weight").alias("n"))
     assert _rows(by_address) == [("AS", 3)]
+
+
+def test_more_rows_never_lose_rows(spark):
+    """No cap hides in the early table, the weighted points or the repeats."""
+    events = spark.createDataFrame(
+        [("1.1.1.1", i, "cowrie.login.failed", f"u{i}", f"p{i}", None) for i in range(1000)],
+        "src_ip string, event_id bigint, eventid string, username string, password string, duration double",
+    ).withColumn("timestamp", F.timestamp_seconds("event_id")).withColumn("hour", F.hour("timestamp"))
+    row = FT.early_sessions(events).first()
+    assert (row.early_attempt_count, row.early_unique_passwords, row.early_unique_users) == (300, 300, 300)
+    assert FT.early_sessions(events, history=200).first().early_attempt_count == 60
+    counts = spark.createDataFrame([("a", h % 24, 1.0 + h % 50, 2.0, 1000) for h in range(5000)], "src_ip string, hour int, latitude double, longitude double, weight long")
+    points = G.hourly_points(counts)
+    assert points.agg(F.sum("weight")).first()[0] == 5_000_000 and G.hourly_points(counts, limit=3).count() == 72
+    assert sampling.repeat_by_weight(counts.limit(1), "weight").count() == 1000
+
+
+def test_private_and_odd_addresses_resolve(spark):
+    schema = "start_ip long, end_ip long, " + ", ".join(f"{k} {'double' if isinstance(v, float) else 'int' if isinstance(v, int) else 'string'}" for k, v in G.GEO_DEFAULTS.items())
+    blocks = spark.createDataFrame([(0, 2**32, *[{"country_code": "C1"}.get(k, v) for k, v in G.GEO_DEFAULTS.items()])], schema)
+    addresses = spark.createDataFrame([("10.1.2.3",), ("192.168.1.1",), ("8.8.8.8",), ("8.8.8.256",), ("x",)], "src_ip string")
+    codes = {r.src_ip: (r.country_code, r.country_name) for r in G.resolve(addresses, blocks).collect()}
+    assert codes["10.1.2.3"] == codes["192.168.1.1"] == ("--", "Private")
+    assert codes["8.8.8.8"][0] == "C1" and codes["8.8.8.256"][0] == codes["x"][0] == "XX"

@@ -86,7 +86,8 @@ def test_reports(spark):
     pairs = [("a", "a")] * 20 + [("a", "b")] * 5 + [("b", "a")] * 10 + [("b", "b")] * 15
     df = spark.createDataFrame(pairs, "label string, prediction string")
     assert E.agreement(df, "label", "prediction", 10).first().kappa == pytest.approx(0.4)
-    assert E.agreement(df, "label", "prediction").count() == 0
+    row = E.agreement(df, "label", "prediction").first()
+    assert (row.n, row.enough) == (50, 0) and E.agreement(df.limit(0), "label", "prediction").first().n == 0
     report = {r.label: r for r in E.class_report(df).collect()}
     assert report["a"].precision == pytest.approx(2 / 3) and report["a"].recall == pytest.approx(0.8) and report["b"].support == 25
     matrix = E.confusion_matrix(df, ["b", "a", "c"]).orderBy("position").collect()
@@ -112,3 +113,22 @@ def test_classifiers_learn(spark):
 def test_sequence_scenario(spark):
     table = learning.sequence_scenarios(spark, SF, epochs=10, rounds=2, only=("events actor",)).collect()
     assert {r.model for r in table} == {"Perceptron", "Boosted Trees"} and all(0 <= r.f1 <= 1 for r in table)
+
+
+def test_scaling_learns_from_training_rows_only(spark):
+    rows = [(str(i), float(i), "a" if i % 2 else "b") for i in range(40)]
+    frame = lambda r: spark.createDataFrame(r, "src_ip string, x double, label string")
+    train, test, _ = K.prepared(frame(rows), ["x"], "label", scale=True)
+    before = {r.src_ip: r.features[0] for r in train.collect()}
+    changed = test.select("src_ip").first().src_ip
+    moved = [(i, 1e6 if i == changed else x, y) for i, x, y in rows]
+    after = {r.src_ip: r.features[0] for r in K.prepared(frame(moved), ["x"], "label", scale=True)[0].collect()}
+    assert before == after and changed not in after
+
+
+def test_roc_of_crowded_and_unbounded_scores(spark):
+    rng = random.Random(4)
+    rows = [(float(rng.random() < 0.5), rng.choice([1e-9 * rng.random(), 1 - 1e-9 * rng.random(), -50 * rng.random(), 1000.0])) for _ in range(800)]
+    df = spark.createDataFrame(rows, "label double, score double")
+    expected = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", numBins=0).evaluate(df)
+    assert E.roc_auc(df, "label", "score").first()[0] == pytest.approx(expected)

@@ -19,11 +19,15 @@ def test_flow_logs(spark, tmp_path, packed):
     name.write_bytes(gzip.compress(text.encode()) if packed else text.encode())
     flows, rejected = L.read_flow_logs(spark, str(tmp_path))
     assert sorted(r.orig_bytes for r in flows.collect()) == [0, 0, 7, 3_000_000_000]
-    assert rejected.count() == 2
+    assert rejected.count() == 3  # the blank line, too
+    (tmp_path / "dns.2024-04-01.log").write_text(_flow() + "\n")
+    (tmp_path / "conn.2024-04-02.log").write_text("  " + _flow(orig_bytes=9) + " \n")
+    flows, rejected = L.read_flow_logs(spark, str(tmp_path))
+    assert sorted(r.orig_bytes for r in flows.collect()) == [0, 0, 7, 9, 3_000_000_000] and rejected.count() == 3
     row = flows.filter("orig_bytes = 7").first()
     assert (row.src_ip, row.dst_port, row.hour, row.day_of_week, str(row.date)) == ("1.2.3.4", 22, 0, "Monday", "2024-04-01")
     both = L.type_flows(L.parse_flow_lines(spark.read.text(str(tmp_path))), keep_skipped=True)
-    assert dict(both.groupBy("ok").count().collect()) == {True: 4, False: 2}
+    assert dict(both.groupBy("ok").count().collect()) == {True: 6, False: 3}
 
 
 def test_file_selection(spark, tmp_path):
