@@ -41,7 +41,7 @@ def preprocess(spark, sf):
 @query("m02_k_sweep")
 def k_sweep(spark, sf):
     _, vectors, _ = _session_vectors(spark, sf)
-    return E.consensus_k(C.k_sweep(vectors, range(2, 11), inits=1))
+    return E.consensus_k(C.k_sweep(vectors, range(2, 11), inits=10))
 
 
 def _labelled_points(spark, sf):
@@ -88,14 +88,14 @@ def silhouette_points(spark, sf):
 @query("m07_final_kmeans")
 def final_kmeans(spark, sf):
     _, vectors, _ = _session_vectors(spark, sf)
-    model = C.best_kmeans(vectors, 2, inits=5, max_iter=500)
+    model = C.best_kmeans(vectors, 2, inits=20, max_iter=500)
     return model.transform(vectors).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.lit(model.summary.trainingCost).alias("inertia"))
 
 
 @query("m08_centres_in_units")
 def centres_in_units(spark, sf):
     features, vectors, scaling = _session_vectors(spark, sf)
-    model = C.best_kmeans(vectors, 2, inits=5)
+    model = C.best_kmeans(vectors, 2, inits=20)
     centres = C.centres_in_units(model, scaling, features)
     return centres.join(C.name_clusters(centres), "cluster")
 
@@ -290,7 +290,7 @@ def agreement(spark, sf):
 @query("m25b_rule_against_clusters")
 def rule_against_clusters(spark, sf):
     features, vectors, scaling = _session_vectors(spark, sf)
-    model = C.best_kmeans(vectors, 2, inits=5)
+    model = C.best_kmeans(vectors, 2, inits=20)
     names = C.name_clusters(C.centres_in_units(model, scaling, features)).select("cluster", "cluster_label")
     assigned = model.transform(vectors).join(names, "cluster").select("src_ip", "cluster_label")
     rules = FT.labelled_sessions(attack_events(spark, sf)).select("src_ip", "label")

@@ -8,7 +8,7 @@ from ..functions import scalars as S
 from ..functions.vocabulary import TARGET_EVENTS
 from ..operators import quality as Q, rollups as R, sampling
 from ..operators.ordered import centred_mean, first_n, share, with_total_share
-from ..sources.logs import allow_listed
+from ..sources.logs import is_allowed
 from .adapters import EV, FL, attack_events, flows, table, with_ctes
 from .catalog import query
 
@@ -356,6 +356,4 @@ def event_allow_list(spark, sf):
     kind = F.col("event_type")
     name = F.when(kind == "signup", "session.connect").when(kind == "view", "session.closed").when(kind == "click", "login.failed").otherwise(kind)
     raw = table(spark, sf, "events").select(F.concat(F.lit("cowrie."), name).alias("eventid"))
-    kept = allow_listed(raw).agg(F.count(F.lit(1)).alias("n")).select(F.lit(1).alias("kept"), "n")
-    dropped = raw.filter(~F.col("eventid").isin(*TARGET_EVENTS)).agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("kept"), "n")
-    return kept.unionByName(dropped)
+    return raw.groupBy(is_allowed().cast("int").alias("kept")).agg(F.count(F.lit(1)).alias("n"))

@@ -10,7 +10,7 @@ from ..streaming import jobs as J
 from .adapters import EV, FL, events_from, with_ctes
 from .catalog import query
 from .features import ENTROPY, EVENT_STEPS, LOGINS
-from .sources import flow_lines
+from .sources import flow_lines, written_as
 
 E_ = with_ctes(EV)
 N_WARNING = 10
@@ -71,10 +71,22 @@ def event_time_counts(spark, sf):
     return closed.select(F.to_date("start").cast("string").alias("day"), "n")
 
 
+@query("st4b_hourly_latest", E_ + """
+SELECT strftime(date_trunc('hour', "timestamp"), '%Y-%m-%d %H') AS hour, count(*) AS n FROM ev GROUP BY 1""")
+def hourly_latest(spark, sf):
+    """Hourly counts as they stand, open hours included: their sum is that of the batch counts."""
+    path = scratch_path(spark, "hourly")
+    J.latest_counts(J.event_time_counts(_events(spark, sf), "1 hour", "60 days"), path, scratch_path(spark, "hourly-checkpoint")).awaitTermination()
+    return J.current_counts(spark, path, "start").select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "n")
+
+
+# Lines that are no flow are kept as rows without a date.
 @query("st5_stream_ingest", with_ctes(FL) + """
-SELECT CAST(date AS VARCHAR) AS date, count(*) AS n, CAST(sum(dst_port) AS BIGINT) AS ports FROM fl WHERE src_port % 20 > 2 GROUP BY date""")
+SELECT CASE WHEN src_port % 20 > 2 THEN CAST(date AS VARCHAR) END AS date, count(*) AS n, CAST(sum(CASE WHEN src_port % 20 > 2 THEN dst_port ELSE 0 END) AS BIGINT) AS ports FROM fl GROUP BY 1""")
 def stream_ingest(spark, sf):
-    raw = scratch_path(spark, "raw-lines")
-    flow_lines(spark, sf).write.text(raw)
+    raw = scratch_path(spark, "raw-logs")
+    written_as(flow_lines(spark, sf), f"{raw}/sensor-1", "conn.{0}.log")
+    written_as(flow_lines(spark, sf).limit(50), f"{raw}/sensor-2", "dns.{0}.log")
     stored = _finish(spark, J.flow_line_stream(spark, raw), "ingest")
-    return stored.groupBy(F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.sum("dst_port").alias("ports"))
+    date = F.when(F.col("ok"), F.col("date").cast("string"))
+    return stored.groupBy(date.alias("date")).agg(F.count(F.lit(1)).alias("n"), F.sum("dst_port").alias("ports"))

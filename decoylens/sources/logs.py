@@ -160,8 +160,12 @@ def flatten_event(events: DataFrame) -> DataFrame:
     )
 
 
+def is_allowed(eventid: str = "eventid") -> Column:
+    return F.coalesce(F.col(eventid).isin(*TARGET_EVENTS), F.lit(False))
+
+
 def allow_listed(events: DataFrame) -> DataFrame:
-    return events.filter(F.col("eventid").isin(*TARGET_EVENTS))
+    return events.filter(is_allowed())
 
 
 def read_session_logs(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:

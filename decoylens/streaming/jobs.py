@@ -13,7 +13,7 @@ from ..functions.entropy import shannon_entropy
 from ..functions.scalars import MICROS, is_login, per
 from ..operators.features import _mean_over
 from ..operators.ordered import DAY_MICROS
-from ..sources.logs import parse_flow_lines, type_flows
+from ..sources.logs import is_target_log, parse_flow_lines, type_flows
 
 
 def file_stream(spark: SparkSession, folder: str, schema, name: str = "*.parquet", max_files: int = 100) -> DataFrame:
@@ -147,8 +147,9 @@ def event_time_counts(stream: DataFrame, width: str = "1 hour", lateness: str =
 # --- ingest ------------------------------------------------------------------------------------------
 
 def flow_line_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Typed flows from a folder that collects flow-log files."""
-    return type_flows(parse_flow_lines(spark.readStream.text(path, recursiveFileLookup=True)))
+    """Typed flows from a folder that collects flow-log files, skipped lines as empty rows with ``ok`` false; other files are left alone."""
+    lines = spark.readStream.text(path, recursiveFileLookup=True)
+    return type_flows(parse_flow_lines(lines.filter(is_target_log(F.col("_metadata.file_path")))), keep_skipped=True)
 
 
 def to_parquet(stream: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()) -> StreamingQuery:

@@ -75,5 +75,7 @@ def test_ingest(spark, tmp_path):
     folder = tmp_path / "raw"
     folder.mkdir()
     (folder / "conn.1.log").write_text('{"ts": 1.5, "id.orig_h": "1.1.1.1", "id.resp_p": 22}\n#skip\n\n{"ts": 2.5, "id.orig_h": "2.2.2.2"}\n')
-    got = _run(spark, J.flow_line_stream(spark, str(folder)), tmp_path)
-    assert sorted((r.src_ip, r.dst_port) for r in got.collect()) == [("1.1.1.1", 22), ("2.2.2.2", 0)]
+    (folder / "dns.1.log").write_text('{"ts": 1.5, "id.orig_h": "3.3.3.3"}\n')
+    got = _run(spark, J.flow_line_stream(spark, str(folder)), tmp_path).collect()
+    assert sorted((r.src_ip, r.dst_port) for r in got if r.ok) == [("1.1.1.1", 22), ("2.2.2.2", 0)]
+    assert sum(not r.ok for r in got) == 2  # the comment and the blank line
