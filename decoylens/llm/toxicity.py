@@ -28,7 +28,7 @@ from .labelled import held_out, sample
 from .tables import WORD_BYTES
 
 #: Bounds of the training sample: documents of each label, and the longest text drawn (code points).
-SAMPLE_ROWS, SAMPLE_CHARS = 1000, 10_000
+SAMPLE_ROWS, SAMPLE_CHARS = 800, 8_000
 FOLDS, OUT = 4, 2
 THRESHOLD = 0.3
 WINDOW = 6
@@ -127,6 +127,14 @@ class Model:
         return float(self.score_all([text])[0])
 
 
+def _packed(part: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Some texts as one: n-grams, window begins and ends, first window of each text, text of each window."""
+    offset = np.cumsum([0] + [len(bag) for bag, _, _ in part])
+    groups = np.cumsum([0] + [len(begin) for _, begin, _ in part])
+    begin, end = (np.concatenate([spans[i] + o for spans, o in zip(part, offset)]).astype(np.int32) for i in (1, 2))
+    return np.concatenate([bag for bag, _, _ in part]), begin, end, groups, np.repeat(np.arange(len(part)), np.diff(groups))
+
+
 def fit(texts: list[str], labels: list[int], share: float, rounds: int = 60, rate: float = 0.05, decay: float = 0.005, seed: int = 7) -> Model:
     """Train on a sample; ``share`` is the share of label 1 outside the sample, to which the bias is set back.
 
@@ -137,38 +145,43 @@ def fit(texts: list[str], labels: list[int], share: float, rounds: int = 60, rat
     y = np.array(labels, np.float64)
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(2**TABLE_BITS, np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    bags = [ngrams(t) for t in texts]
-    rows = np.concatenate([b[0] for b in bags])
-    offset = np.cumsum([0] + [len(b[0]) for b in bags])
-    spans = [windows(b[1]) for b in bags]
-    begin = np.concatenate([s[0] + o for s, o in zip(spans, offset)])
-    end = np.concatenate([s[1] + o for s, o in zip(spans, offset)])
-    groups = np.cumsum([0] + [len(s[0]) for s in spans])
-    owner = np.repeat(np.arange(len(y)), np.diff(groups))
     in_texts = np.zeros(2**TABLE_BITS, np.int64)
-    for bag, _ in bags:
+    parts, part, size = [], [], 0
+    for i, text in enumerate(texts):
+        bag, bounds = ngrams(text)
         in_texts[np.unique(bag)] += 1
+        part.append((bag, *windows(bounds)))
+        size += len(bag)
+        if size >= BATCH_BYTES or i == len(texts) - 1:
+            parts.append(_packed(part))
+            part, size = [], 0
     rng = np.random.default_rng(seed)
-    embedding = rng.normal(0, 0.1, (2**TABLE_BITS, DIM)) * (in_texts >= MIN_TEXTS)[:, None]
+    learned = in_texts >= MIN_TEXTS
+    embedding = rng.normal(0, 0.1, (2**TABLE_BITS, DIM)) * learned[:, None]
     softmax, bias = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (embedding, softmax, bias)]
     for turn in range(1, rounds + 1):
         weight = embedding @ (softmax[:, 1] - softmax[:, 0])
-        total = np.concatenate([[0.0], np.cumsum(weight[rows])])
-        count = np.maximum(end - begin, 1)
-        odds = (total[end] - total[begin]) / count
         sharp = 1 + 7 * turn / rounds
-        top = np.maximum.reduceat(odds, groups[:-1])
-        part = np.exp(sharp * (odds - top[owner]))
-        mass = np.add.reduceat(part, groups[:-1])
-        soft = top + np.log(mass / np.diff(groups)) / sharp
-        p = 1 / (1 + np.exp(-np.clip(soft + bias[1] - bias[0], -50, 50)))
-        error = (p - y) / len(y)
-        push = error[owner] * part / mass[owner] / count
-        change = np.bincount(begin, push, len(rows) + 1) - np.bincount(end, push, len(rows) + 1)
-        pull = np.bincount(rows, np.cumsum(change)[:-1], 2**TABLE_BITS) * (in_texts >= MIN_TEXTS)
+        pull, pressure, at = np.zeros(2**TABLE_BITS), 0.0, 0
+        for rows, begin, end, groups, owner in parts:
+            total = np.concatenate([[0.0], np.cumsum(weight[rows])])
+            count = np.maximum(end - begin, 1)
+            odds = (total[end] - total[begin]) / count
+            top = np.maximum.reduceat(odds, groups[:-1])
+            share_of = np.exp(sharp * (odds - top[owner]))
+            mass = np.add.reduceat(share_of, groups[:-1])
+            soft = top + np.log(mass / np.diff(groups)) / sharp
+            p = 1 / (1 + np.exp(-np.clip(soft + bias[1] - bias[0], -50, 50)))
+            error = (p - y[at : at + len(p)]) / len(y)
+            at += len(p)
+            push = error[owner] * share_of / mass[owner] / count
+            change = np.bincount(begin, push, len(rows) + 1) - np.bincount(end, push, len(rows) + 1)
+            pull += np.bincount(rows, np.cumsum(change)[:-1], 2**TABLE_BITS)
+            pressure += error.sum()
+        pull *= learned
         slope = embedding.T @ pull
-        steps = (np.outer(pull, softmax[:, 1] - softmax[:, 0]), np.stack([-slope, slope], axis=1), np.array([-error.sum(), error.sum()]))
+        steps = (np.outer(pull, softmax[:, 1] - softmax[:, 0]), np.stack([-slope, slope], axis=1), np.array([-pressure, pressure]))
         for value, step, moments in zip((embedding, softmax, bias), steps, state):
             moments[0] = 0.9 * moments[0] + 0.1 * step
             moments[1] = 0.999 * moments[1] + 0.001 * step**2
