@@ -16,7 +16,8 @@ it under a name of its own attempt and renames it at the end: a repeated or lost
 folder is reached by ``pyarrow.fs`` from its address, which must be one that all executors share.
 
 Texts are cut into pieces at single blanks between other characters and at single line breaks, where byte-level
-pre-tokenising always cuts, and the tokenizers library encodes each distinct piece; a bounded cache keeps them.
+pre-tokenising always cuts, and the tokenizers library encodes each distinct piece (without the mark it may end in,
+another place of certain cuts); a bounded cache keeps them.
 
 Defined cases: a null or empty text is the end id alone; rows with a null id come first and keep their null; rows
 that repeat an id follow one another in the order of their texts; an empty table gives no file and no rows; other
@@ -31,6 +32,7 @@ import struct
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +45,27 @@ from .tables import stored
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-CACHE_PIECES, CACHE_PIECE_CHARS = 300_000, 64
+#: About 200 bytes per piece are kept in each worker.
+CACHE_PIECES, CACHE_PIECE_CHARS = 400_000, 64
+MARKS = ".,;:!?"
 IDS_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 BATCH_CHARS, BATCH_DOCS = 1 << 20, 4096
 _RUN = re.compile(r"\s\s")
+#: Letters in every version of Unicode.
+_LATIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
+def _byte_level() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as they are, the others as characters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_LEVEL = _byte_level()
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -60,14 +76,10 @@ def pieces(text: str) -> list[str]:
     """A text in parts that pre-tokenise alone as they do together."""
     if not text:
         return []
-    if _RUN.search(text):
+    if "\0" in text or _RUN.search(text):
         return _CUT.split(text)
-    parts = text.split(" ")
-    result = parts[:1] if parts[0] else []
-    result += [" " + p for p in parts[1:]]
-    if "\n" not in text:
-        return result
-    return [x for p in result for x in ((p,) if "\n" not in p else (y for y in re.split("(\n)", p) if y))]
+    parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    return parts[not parts[0] : len(parts) - (not parts[-1])]
 
 
 class Encoder:
@@ -78,21 +90,35 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Encode pieces that are not known. A mark after a final letter is always a token of its own."""
+        marked = {p: p[:-1] for p in new if len(p) > 1 and p[-1] in MARKS and p[-2].isalpha()}
+        stems = [p for p in {*new.difference(marked), *marked.values(), *(p[-1] for p in marked)} if p not in self.known]
+        # A blank and letters are one pre-token, which the library's model encodes without the steps around it.
+        single = filter(_LATIN.fullmatch, stems)
+        tokenize, pack = self.model.tokenize, struct.Struct("<I").pack
+        codes = {p: b"".join([pack(t.id) for t in tokenize(p.encode().decode("latin-1").translate(BYTE_LEVEL))]) for p in single}
+        other = [p for p in stems if p not in codes]
+        codes |= {p: self._packed(e.ids) for p, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False))}
+        of = lambda p: codes[p] if p in codes else self.known[p]
+        codes |= {p: of(stem) + of(p[-1]) for p, stem in marked.items()}
+        self.known.update((p, c) for p, c in codes.items() if len(p) <= CACHE_PIECE_CHARS)
+        return codes
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        end = np.array([END_ID], "<u4").tobytes()
+        end = struct.pack("<I", END_ID)
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
         cut = [pieces(t or "") for t in texts]
-        new = {p for parts in cut for p in parts if p not in self.known}
-        new = [p for p in new]
-        codes = dict(zip(new, self._encode(new)))
-        self.known.update((p, c) for p, c in codes.items() if len(p) <= CACHE_PIECE_CHARS)
-        known = self.known if all(len(p) <= CACHE_PIECE_CHARS for p in new) else self.known | codes
+        codes = self._learn(set(chain.from_iterable(cut)).difference(self.known))
+        known = self.known if all(len(p) <= CACHE_PIECE_CHARS for p in codes) else self.known | codes
         return [b"".join(map(known.__getitem__, parts)) + end for parts in cut]
 
 

@@ -130,7 +130,7 @@ def test_licences_of_a_whole_table(spark):
 
 
 SPACES = st.sampled_from([" ", "  ", "   ", "\n", "\n\n", " \n", "\n ", "\t", " ", " ", "\x1c", ""])
-CHUNKS = st.sampled_from(["a", "Wort", "don't", "'s", "12", "...", "é漢", "<|endoftext|>", "😀", "|"])
+CHUNKS = st.sampled_from(["a", "a.", "Wort,", "x!?", "½.", "9:", "é;", "\0", "l'.", ".", "Wort", "don't", "'s", "12", "...", "é漢", "<|endoftext|>", "😀", "|"])
 
 
 @settings(max_examples=300, deadline=None)
