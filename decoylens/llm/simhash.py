@@ -34,22 +34,29 @@ SEED = 42
 _BYTE_BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """The fingerprint of one text as an unsigned number. ``bytes.lower`` and ``bytes.split`` know ASCII only."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of each shingle of one text, in order. ``bytes.lower`` and ``bytes.split`` know ASCII only."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, lengths = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: max(1, len(words) - shingle + 1)].tolist()
     ends = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(starts))
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(starts))
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """The fingerprint of one text as an unsigned number."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(octets[:, j], minlength=256) @ _BYTE_BITS for j in range(8)])
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprint_column(text: Column, shingle: int = 3) -> Column:
