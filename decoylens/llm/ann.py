@@ -11,8 +11,9 @@ The number of functions follows the logarithm of the number of vectors, and the
 the number of cells: ``plan`` has the rule. Equal vectors are one candidate with its smallest ids, so copies cost
 nothing. A query that finds too few candidates is run against all cells of one table, which is exact.
 
-Work is dealt by (table, group of cells, block of queries), each bounded in rows; a group takes any cells by the hash
-of their codes, and a group that is still too large is split again by rows.
+Work is dealt by (table, group of cells, slice, block of queries), each bounded in rows: a group takes any cells by the
+hash of their codes; one that holds more than twice ``GROUP_ROWS`` is dealt in slices by rows, its queries go to every
+slice, and the best of all slices are merged like those of all tables.
 
 Defined cases: vectors that are null, zero, of another length than most, or that hold null or non-finite components
 take no part, and neither do rows with a null id; of several vectors with one id the smallest in array order stands;
@@ -23,6 +24,7 @@ table gives no rows; other columns do not matter.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +38,7 @@ from .tables import stored
 TABLES, WIDTH, SEED = 8, 1.5, 2
 #: Vectors per function bit, and cells visited per cell of two-way functions: measured recall is above 0.95 from 500 to 51,000 vectors.
 CELL_ROWS, VISITED = 400, 2.0
-GROUP_ROWS, QUERY_ROWS = 32_768, 16_384
+GROUP_ROWS, QUERY_ROWS, CELL_BLOCK = 32_768, 16_384, 4096
 SPARE = 2
 
 
@@ -123,7 +125,7 @@ def best_in_cells(codes: np.ndarray, ids: np.ndarray, vectors: np.ndarray, visit
     order = np.argsort(codes, kind="stable")
     codes, ids, vectors = codes[order], ids[order], vectors[order]
     if visits is None:
-        bounds = np.array([*range(0, len(codes), 4096), len(codes)])
+        bounds = np.array([*range(0, len(codes), CELL_BLOCK), len(codes)])
         cell = np.repeat(np.arange(len(bounds) - 1), len(queries))
         row = np.tile(np.arange(len(queries)), len(bounds) - 1)
     else:
@@ -140,9 +142,9 @@ def best_in_cells(codes: np.ndarray, ids: np.ndarray, vectors: np.ndarray, visit
     best, which = np.full((len(queries), keep), -np.inf), np.zeros((len(queries), keep), np.int64)
     edges = np.flatnonzero(np.diff(cell, prepend=-1, append=-1))
     for begin, end in zip(edges[:-1], edges[1:]):
-        a, b = bounds[cell[begin]], bounds[cell[begin] + 1]
-        for at in range(begin, end, 1024):
-            rows = row[at : min(at + 1024, end)]
+        first, last = bounds[cell[begin]], bounds[cell[begin] + 1]
+        for a, at in itertools.product(range(first, last, CELL_BLOCK), range(begin, end, 1024)):
+            b, rows = min(a + CELL_BLOCK, last), row[at : min(at + 1024, end)]
             score = np.concatenate([best[rows], queries[rows] @ vectors[a:b].T], axis=1)
             own = np.concatenate([which[rows], np.broadcast_to(np.arange(a, b), (len(rows), b - a))], axis=1)
             if score.shape[1] > keep:
@@ -169,6 +171,27 @@ def valid_vectors(vectors: DataFrame, id_column: str, vector: str) -> tuple[Data
     return rows.filter(F.size("vector") == length["length"]).groupBy("id").agg(F.min("vector").alias("vector")), length["length"]
 
 
+def group_slices(classes: DataFrame, n: int, p: Plan) -> np.ndarray:
+    """Slices of each group, by table and group: one, but as many as keep to ``GROUP_ROWS`` where it has more than twice that."""
+    slices = np.ones((TABLES, p.groups), np.int64)
+    if n <= 2 * GROUP_ROWS:
+        return slices
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes = index_cells(_matrix(batch.column("vector")), p) % p.groups
+            for t in range(TABLES):
+                groups, count = np.unique(codes[:, t], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(groups), t), pa.int32()), pa.array(groups), pa.array(count)], ["tbl", "grp", "n"])
+
+    counted = classes.select("vector").mapInArrow(sizes, "tbl int, grp long, n long").groupBy("tbl", "grp").agg(F.sum("n").alias("n"))
+    for r in counted.filter(F.col("n") > 2 * GROUP_ROWS).collect():
+        slices[r["tbl"], r["grp"]] = -(-r["n"] // GROUP_ROWS)
+    return slices
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Per query and rank (from 1): query_id, rank, vec_id, score. Queries are the rows for which ``is_query`` holds."""
     spark = vectors.sparkSession
@@ -190,6 +213,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "
     n, longest = classes.agg(F.count(F.lit(1)), F.sqrt(F.max(squares))).first()
     total, n_queries = rows.count(), queries.count()
     p = plan(n, n_queries, dim, longest)
+    slices = group_slices(classes, n, p)
     element = classes.schema["vector"].dataType.simpleString()
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,9 +222,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "
                 continue
             codes = index_cells(_matrix(batch.column("vector")), p)
             for t in range(TABLES):
+                own = codes[:, t]
+                group = own % p.groups
+                part = _codes(batch.column("class").to_numpy()[:, None]) % slices[t, group]
                 for block in range(p.blocks):
-                    own = codes[:, t]
-                    yield _dealt(t, own % p.groups, block, [pa.array(own)], batch)
+                    yield _dealt(t, group, part, block, [pa.array(own)], batch)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,13 +239,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "
                     lists = [w[w % p.groups == group] for w in wanted[:, t]]
                     ends = np.cumsum([0] + [len(x) for x in lists])
                     codes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists)))
-                    yield _dealt(t, np.full(len(batch), group), ids % p.blocks, [codes], batch)
+                    for part in range(slices[t, group]):
+                        yield _dealt(t, np.full(len(batch), group), part, ids % p.blocks, [codes], batch)
 
     def everywhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group in range(p.groups):
                 none = pa.nulls(len(batch), pa.list_(pa.int64()))
-                yield _dealt(0, np.full(len(batch), group), batch.column("class").to_numpy() % p.blocks, [none], batch)
+                for part in range(slices[0, group]):
+                    yield _dealt(0, np.full(len(batch), group), part, batch.column("class").to_numpy() % p.blocks, [none], batch)
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("query", pa.int64()), ("candidate", pa.int64()), ("score", pa.float64())])
@@ -231,8 +259,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "
         q, found, score = best_in_cells(left.column("code").to_numpy(), ids, _matrix(left.column("vector")), wanted, _matrix(right.column("vector")), k + 1)
         return pa.table([pa.array(right.column("class").to_numpy()[q]), pa.array(found), pa.array(score)], schema=schema)
 
-    key = ["tbl", "grp", "block"]
-    deal = f"tbl int, grp int, block int, class long, vector {element}"
+    key = ["tbl", "grp", "part", "block"]
+    deal = f"tbl int, grp int, part int, block int, class long, vector {element}"
     index = classes.select("class", "vector").mapInArrow(cells, f"{deal}, code long")
 
     def ranked(pairs: DataFrame) -> DataFrame:
@@ -259,9 +287,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "
     return result.select(F.col("id").alias("query_id"), (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.far")).alias("score"))
 
 
-def _dealt(table: int, group: np.ndarray, block: np.ndarray | int, codes: list[pa.Array], batch: pa.RecordBatch) -> pa.RecordBatch:
+def _dealt(table: int, group: np.ndarray, part: np.ndarray | int, block: np.ndarray | int, codes: list[pa.Array], batch: pa.RecordBatch) -> pa.RecordBatch:
     n = len(batch)
     name = "codes" if pa.types.is_list(codes[0].type) else "code"
-    block = np.full(n, block) if np.isscalar(block) else block
-    columns = [pa.array(np.full(n, table), pa.int32()), pa.array(group, pa.int32()), pa.array(block, pa.int32()), batch.column("class"), batch.column("vector"), codes[0]]
-    return pa.RecordBatch.from_arrays(columns, ["tbl", "grp", "block", "class", "vector", name])
+    numbers = [pa.array(np.broadcast_to(x, n), pa.int32()) for x in (table, group, part, block)]
+    return pa.RecordBatch.from_arrays([*numbers, batch.column("class"), batch.column("vector"), codes[0]], ["tbl", "grp", "part", "block", "class", "vector", name])
