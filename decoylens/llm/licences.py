@@ -131,8 +131,8 @@ def postfix(stream: Iterator[str]) -> list[str]:
             operand_next = True
         else:
             break
-    if operand_next and held and held[-1] != "(":
-        held.pop()  # an operator with nothing behind it
+    while operand_next and held:
+        operand_next = held.pop() == "("  # open brackets, then the operator with nothing behind it
     return out + [x for x in reversed(held) if x != "("]
 
 
