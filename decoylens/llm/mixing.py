@@ -12,7 +12,8 @@ w and B blocks ends at B / w, and the slots used by v are the sum of min(w v, B)
 the exact ratios that the given numbers are, so releases and deadlines are exact whole numbers for any count of slots.
 
 The driver takes one step per block and holds one row per source and ``CHUNK`` blocks, which it writes to the shared
-folder; documents find their slot by a join. More than ``max_sources`` sources are folded into that many by hash.
+folder; documents find their slot by a join. Each source has its own weight and blocks, however many there are; only where
+``max_sources`` is given, more sources than that are folded into that many by hash.
 
 Defined cases: null is a source of its own; a source of weight 0 comes after all others; repeated rows and rows with a
 null id are documents like others, ties in the random order are broken by id and text; an empty table gives no rows;
@@ -33,7 +34,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators.ordered import bucketed_rank
 from .tables import stored
 
-MAX_SOURCES = 256
 SLICE_ROWS = 20_000
 #: Blocks in one row of the plan, in one piece of it on the driver, and in a plan that is surely small enough to broadcast.
 PART, CHUNK, BROADCAST = 4096, 500_000, 1_000_000
@@ -127,7 +127,7 @@ def mix(
     source: str = "source",
     block_rows: int = 64,
     power: float = 0.7,
-    max_sources: int = MAX_SOURCES,
+    max_sources: int | None = None,
 ) -> DataFrame:
     """Per row: ``_doc`` (the whole row), ``mix_group``, ``block``, ``slot`` and ``position`` (from 0, over all rows).
 
@@ -138,15 +138,12 @@ def mix(
     spark = docs.sparkSession
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("mix_group"))
     counted = rows.groupBy("mix_group").agg(F.count(F.lit(1)).alias("n"))
-    if weights is None and len(counted.limit(max_sources + 1).take(max_sources + 1)) > max_sources:
+    if weights is None and max_sources and len(counted.limit(max_sources + 1).take(max_sources + 1)) > max_sources:
         folded = F.pmod(F.xxhash64("mix_group"), F.lit(max_sources)).cast("string")
         rows = rows.withColumn("mix_group", folded)
         counted = rows.groupBy("mix_group").agg(F.count(F.lit(1)).alias("n"))
-    if weights is not None and len(weights) > max_sources:
-        raise ValueError(f"weights for more than {max_sources} sources")
-    named = counted if weights is None else counted.filter(F.col("mix_group").isin(list(weights)))
-    counts = {r["mix_group"]: r["n"] for r in named.collect()}  # at most max_sources rows
-    if weights is not None and not counted.filter(~F.col("mix_group").isin(list(weights))).isEmpty():
+    counts = {r["mix_group"]: r["n"] for r in counted.collect()}  # one row per source
+    if weights is not None and not counts.keys() <= weights.keys():
         raise ValueError("a source of the documents has no weight")
     weights = weights or softened(counts, power)
     sizes = F.broadcast(spark.createDataFrame([(s, max(1, -(-n // SLICE_ROWS))) for s, n in counts.items()], "mix_group string, _slices bigint"))

@@ -64,3 +64,16 @@ def test_window_error_is_below_one_block(spark):
 def test_sources_without_weight_come_last():
     order = [s for s, _ in mixing.schedule({"a": 3, "b": 2, "c": 2}, {"a": 0, "b": 1.0, "c": 0.5})]
     assert order[4:] == ["a"] * 3
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_each_of_many_sources_keeps_its_own_weight(spark, given):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") < 1500, "big").otherwise(F.concat(F.lit("s"), F.pmod("id", F.lit(300)))).alias("source"))
+    weights = {"big": 300.0, **{f"s{i}": 1.0 for i in range(300)}} if given else None
+    rows = mixing.mix(docs, weights, block_rows=1).select("_doc.source", "mix_group", "slot", "block", "position").collect()
+    assert all(r["source"] == r["mix_group"] for r in rows) and len({r["mix_group"] for r in rows}) == 301
+    assert sorted(r["position"] for r in rows) == list(range(3000))
+    w = weights or mixing.softened({"big": 1500, **{f"s{i}": 5 for i in range(300)}}, 0.7)
+    part = w["big"] / sum(w.values())
+    first = sorted(r["slot"] for r in rows if r["mix_group"] == "big")
+    assert all(abs(k - part * (slot + 1)) < 2 for k, slot in enumerate(first[:100]))
