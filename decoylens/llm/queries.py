@@ -1,4 +1,4 @@
-"""The registered queries of this package, op1 to op10 and the pipeline, and the SQL twins of those that have one."""
+"""The registered queries of this package, op1 to op13 and the pipeline, and the SQL twins of those that have one."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import ann, decontaminate, licences, linededup, mixing, pii, quality, simhash, tokenfile, toxicity
+from . import ann, decontaminate, hardnegatives, hyperminhash, licences, linededup, lloyd, mixing, pii, quality, simhash, tokenfile, toxicity
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(DOC, "held_out", "score", "predicted")
 
 
+def op11_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = hyperminhash.groups(table(spark, sf_dir, "documents"))
+    kept = F.coalesce(F.col("_id") == F.col("component_id"), F.lit(False))
+    return groups.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hardnegatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label, scale=256, positives=5, per_positive=5, share=(80, 100))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lloyd.report(*lloyd.cluster(table(spark, sf_dir, "embeddings"), clusters=16, rounds=3, width=64, scale=64))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 WORDS_SQL = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
 
 OP3_SQL = f"""
@@ -100,6 +117,59 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM m GROUP BY doc_id
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op2_ann, op3_decontamination, op4_line_dedup, op5_simhash, op6_token_file, op7_toxicity, op8_licences, op9_mixing, op10_quality)}
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+),
+s AS (SELECT DISTINCT doc_id, shingle FROM (SELECT doc_id, unnest([array_to_string(words[i:i + 3], ' ') FOR i IN range(1, greatest(len(words) - 3, 1) + 1)]) AS shingle FROM d WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least_ids AS (SELECT a, min(b) AS least_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(least_id, doc_id)) AS component_id, doc_id <= coalesce(least_id, doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_ids ON a = doc_id
+"""
+
+OP12_SQL = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+    SELECT a.vec_id AS a_id, b.vec_id AS b_id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.c, b.c), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) <= 5)
+SELECT p.a_id AS anchor_id, p.b_id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.b_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a_id = p.a_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+WINDOW w AS (PARTITION BY p.a_id, p.b_id ORDER BY s.score DESC, s.b_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
+def _lloyd_round(n: int) -> str:
+    """Assignments to the centroids of round ``n``, and the centroids of the next."""
+    return f"""
+a{n} AS (
+    SELECT vec_id, v.c, cluster, CAST(list_sum(list_transform(list_zip(v.c, m.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS distance
+    FROM v, c{n} AS m QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1
+),
+s{n} AS (SELECT cluster, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT cluster, unnest(c) AS x, unnest(range(64)) AS i FROM a{n}) GROUP BY ALL),
+c{n + 1} AS (SELECT o.cluster, coalesce(m.c, o.c) AS c FROM c{n} AS o LEFT JOIN (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{n} GROUP BY cluster) AS m USING (cluster)),"""
+
+
+OP13_SQL = f"""
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+c0 AS (SELECT CAST(row_number() OVER o - 1 AS INTEGER) AS cluster, c FROM v WINDOW o AS (ORDER BY sha256('1:' || vec_id)) QUALIFY row_number() OVER o <= 16),
+{"".join(map(_lloyd_round, range(4))).rstrip(",")}
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(c3.c, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (cluster)
+"""
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op2_ann, op3_decontamination, op4_line_dedup, op5_simhash, op6_token_file, op7_toxicity, op8_licences, op9_mixing, op10_quality, op11_hyperminhash, op12_hard_negatives, op13_centroids)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL, "op11_hyperminhash": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_centroids": OP13_SQL}
