@@ -3,6 +3,7 @@
 A plain ``Window.partitionBy(key).orderBy(ts)`` sends every row of a key to one task. The helpers
 here cut each key into buckets (time slices or hash slices), work inside the buckets, and carry the
 few numbers that cross a bucket border in a small per-bucket table. Results equal the plain window.
+Time slices that hold too many rows of one key are cut again, see ``with_time_buckets``.
 """
 
 from __future__ import annotations
@@ -12,8 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import MICROS, micros
+from ..session import written
 
 DAY_MICROS = 86_400 * MICROS
+#: A time slice of one key with more rows than this is cut into pieces of about as many.
+SLICE_ROWS = 1_000_000
+#: Rows of one key and microsecond are counted in blocks of so many consecutive tie numbers.
+TIE_BLOCK = 1024
 
 
 def time_slice(timestamp: Column | str, seconds: int) -> Column:
@@ -25,6 +31,44 @@ def hash_slice(*columns: Column | str, slices: int, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(slices))
 
 
+def with_time_buckets(
+    df: DataFrame, key: str, ts: str, tie: str, slice_seconds: int = 3600, target: int | None = None, name: str = "_bucket"
+) -> DataFrame:
+    """Add an ordered bucket such that (bucket, ts, tie) sorts like (ts, tie) and no bucket of a key holds much more
+    than ``target`` rows, however many of them share an hour, a second or even one time. ``tie`` is a whole number.
+
+    One aggregate finds the hot (key, slice) pairs, of which there is at most one per ``target`` rows; without any, the
+    slice alone is the bucket. Of the hot ones the seconds are counted and gathered, in order, into pieces of about
+    ``target`` rows; a second above the target is counted by microsecond and block of ties and cut in the same way.
+    What was counted is written once, so that every use of a bucket sees the same borders.
+    """
+    target = target or SLICE_ROWS
+    us, block = micros(ts), F.floor(F.col(tie) / TIE_BLOCK).cast("bigint")
+    marks = {"_slice": time_slice(ts, slice_seconds), "_second": time_slice(ts, 1), "_us": us, "_block": block}
+    size = F.count(F.lit(1)).alias("_size")
+    cut = df.withColumns(marks)
+    bucket = lambda piece, part: F.struct("_slice", piece.alias("piece"), part.alias("part")).alias(name)
+    none = F.lit(0).cast("bigint")
+    hot = written(cut.groupBy(key, "_slice").agg(size).filter(F.col("_size") > target).select(key, "_slice"), "hot-slices")
+    if hot.isEmpty():
+        return df.withColumns({"_slice": marks["_slice"], name: F.lit(None)}).select(*df.columns, bucket(none, none))
+
+    def pieces(cells: DataFrame, within: list[str], order: list[str], number: str) -> DataFrame:
+        before = Window.partitionBy(key, *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return cells.withColumn(number, F.floor(F.coalesce(F.sum("_size").over(before), F.lit(0)) / target).cast("bigint"))
+
+    crowded = cut.join(F.broadcast(hot), [key, "_slice"])  # at most one row per ``target`` rows of the table
+    seconds = pieces(crowded.groupBy(key, "_slice", "_second").agg(size), ["_slice"], ["_second"], "_piece")
+    seconds = written(seconds, "hot-seconds")
+    dense = F.broadcast(seconds.filter(F.col("_size") > target).select(key, "_second"))  # nor more of these
+    cells = crowded.join(dense, [key, "_second"]).groupBy(key, "_second", "_us", "_block").agg(size)
+    cells = written(pieces(cells, ["_second"], ["_us", "_block"], "_part"), "hot-cells")
+    placed = cut.join(seconds.select(key, "_second", "_piece"), [key, "_second"], "left")
+    placed = placed.join(cells.select(key, "_us", "_block", "_part"), [key, "_us", "_block"], "left")
+    # A dense second ends its piece, so its parts come behind the seconds before it.
+    return placed.select(*(placed[c] for c in df.columns), bucket(F.coalesce("_piece", none), F.coalesce(F.col("_part") + 1, none)))
+
+
 def bucketed_rank(
     df: DataFrame,
     keys: Sequence[str],
@@ -76,7 +120,8 @@ def first_fraction(
     df: DataFrame, key: str, ts: str, tie: str, ratio: float = 0.3, least: int = 3, slice_seconds: int = 3600
 ) -> DataFrame:
     """The first ``max(least, int(n * ratio))`` rows of each key in time order."""
-    ranked = bucketed_rank(df, [key], time_slice(ts, slice_seconds), [ts, tie], "rank", "n_rows")
+    sliced = with_time_buckets(df, key, ts, tie, slice_seconds)
+    ranked = bucketed_rank(sliced, [key], F.col("_bucket"), [ts, tie], "rank", "n_rows").drop("_bucket")
     cut = F.greatest(F.lit(least), F.floor(F.col("n_rows") * F.lit(float(ratio))))
     return ranked.filter(F.col("rank") <= cut)
 
@@ -86,21 +131,21 @@ def gap_seconds(
 ) -> DataFrame:
     """Seconds since the key's previous row (null on its first row), row by row.
 
-    Inside a time slice this is a lag; the first row of a slice takes the last time of the
-    previous non-empty slice from a table with one row per (key, slice).
+    Inside a bucket this is a lag; the first row of a bucket takes the last time of the
+    previous non-empty bucket from a table with one row per (key, bucket).
     """
-    sliced = df.withColumn("_slice", time_slice(ts, slice_seconds)).withColumn("_us", micros(ts))
-    ends = sliced.groupBy(key, "_slice").agg(F.max("_us").alias("_end"))
+    sliced = with_time_buckets(df, key, ts, tie, slice_seconds).withColumn("_us", micros(ts))
+    ends = sliced.groupBy(key, "_bucket").agg(F.max("_us").alias("_end"))
     before = ends.select(
-        key, "_slice", F.lag("_end").over(Window.partitionBy(key).orderBy("_slice")).alias("_before")
+        key, "_bucket", F.lag("_end").over(Window.partitionBy(key).orderBy("_bucket")).alias("_before")
     )
-    within = Window.partitionBy(key, "_slice").orderBy("_us", tie)
+    within = Window.partitionBy(key, "_bucket").orderBy("_us", tie)
     previous = F.coalesce(F.col("_lag"), F.col("_before"))
     return (
         sliced.withColumn("_lag", F.lag("_us").over(within))
-        .join(before, [key, "_slice"])
+        .join(before, [key, "_bucket"])
         .withColumn(name, (F.col("_us") - previous) / F.lit(float(MICROS)))
-        .drop("_slice", "_us", "_lag", "_before")
+        .drop("_bucket", "_us", "_lag", "_before")
     )
 
 

@@ -9,7 +9,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a running session accepts. AQE coalesces small shuffle partitions and splits skewed
 # join partitions; the partial group limit keeps first-N windows small before their shuffle.
@@ -67,3 +67,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, _local_scratch, True)
         shared = _local_scratch
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read again: what depends on it sees one and the same version."""
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

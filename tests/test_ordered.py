@@ -66,6 +66,38 @@ def test_first_fraction(rows):
     assert _set(O.first_fraction(rows, "src_ip", "timestamp", "id").select("id")) == _set(plain)
 
 
+@pytest.fixture(scope="module")
+def flood(spark):
+    """One key with all its rows in one hour: spread over it, within one second, and at one microsecond."""
+    rng = random.Random(11)
+    data = [("hot", i, 7200 * 10**6 + u) for i, u in enumerate([rng.randrange(3600 * 10**6) for _ in range(400)] + [rng.randrange(10**6) for _ in range(600)] + [5] * 700)]
+    rng.shuffle(data)
+    data += [(f"k{i % 5}", 5000 + i, rng.randrange(10**11)) for i in range(200)]
+    return spark.createDataFrame(data, "src_ip string, id bigint, us bigint").withColumn("timestamp", F.timestamp_micros("us")).cache()
+
+
+@pytest.mark.parametrize("target", [50, 300])
+def test_a_flood_is_cut_into_pieces(flood, monkeypatch, target):
+    monkeypatch.setattr(O, "SLICE_ROWS", target)
+    monkeypatch.setattr(O, "TIE_BLOCK", 16)
+    cut = O.with_time_buckets(flood, "src_ip", "timestamp", "id")
+    assert cut.columns == [*flood.columns, "_bucket"]
+    assert cut.groupBy("src_ip", "_bucket").count().agg(F.max("count")).first()[0] <= 2 * target + 16
+    plain, mine = whole_key(), Window.partitionBy("src_ip").orderBy("_bucket", "timestamp", "id")
+    assert cut.filter(F.lit(True)).select(F.row_number().over(plain).alias("a"), F.row_number().over(mine).alias("b")).filter("a <> b").count() == 0
+    us = F.unix_micros("timestamp")
+    gaps = O.gap_seconds(flood, "src_ip", "timestamp", "id")
+    assert _set(gaps.select("id", "gap").fillna(-1.0)) == _set(flood.select("id", ((us - F.lag(us).over(plain)) / 1e6).alias("gap")).fillna(-1.0))
+    counted = flood.withColumn("rank", F.row_number().over(plain)).withColumn("n", F.count("*").over(Window.partitionBy("src_ip")))
+    kept = O.first_fraction(flood, "src_ip", "timestamp", "id").select("id", "rank")
+    assert _set(kept) == _set(counted.filter("rank <= greatest(3, floor(n * 0.3D))").select("id", "rank"))
+
+
+def test_slices_below_the_target_are_left_alone(rows):
+    cut = O.with_time_buckets(rows, "src_ip", "timestamp", "id")
+    assert cut.select("_bucket.piece", "_bucket.part").distinct().collect() == [(0, 0)]
+
+
 def test_centred_mean(spark):
     days = spark.createDataFrame([(i, float(i)) for i in range(1, 10)], "d int, v double")
     got = [r[0] for r in O.centred_mean(days, "v", "d", 3, "m").orderBy("d").select("m").collect()]
