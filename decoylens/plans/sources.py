@@ -16,10 +16,10 @@ E_ = with_ctes(EV)
 F_ = with_ctes(FL)
 
 
-def written_as(lines, folder, name):
-    """Write lines as text files with names of their own; only names go through the driver."""
+def written_as(lines, folder, name, per_file: int = 0):
+    """Write lines as text files with names of their own, each of ``per_file`` lines if given; only names go through the driver."""
     spark = lines.sparkSession
-    lines.write.text(folder)
+    lines.write.option("maxRecordsPerFile", per_file).text(folder)
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(folder)
     store = root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -28,8 +28,8 @@ def written_as(lines, folder, name):
         store.rename(part, jvm.org.apache.hadoop.fs.Path(root, name.format(number)))
 
 
-def flow_lines(spark, sf):
-    """The flows as raw log lines, with indented, comment, blank and cut-off lines among them."""
+def flow_lines(spark, sf, *more):
+    """The flows as raw log lines, with indented, comment, blank and cut-off lines among them, and ``more`` columns."""
     c = F.col
     f = flows(spark, sf).withColumn("odd", F.pmod(F.col("src_port"), F.lit(20)))
     line = F.to_json(
@@ -41,7 +41,7 @@ def flow_lines(spark, sf):
         )
     )
     value = F.when(c("odd") == 0, F.concat(F.lit("#"), line)).when(c("odd") == 1, F.substring(line, F.lit(1), F.length(line) - 7)).when(c("odd") == 2, "").when(c("odd") == 7, F.concat(F.lit(" \t"), line, F.lit(" "))).otherwise(line)
-    return f.select(value.alias("value"))
+    return f.select(value.alias("value"), *more)
 
 
 @query("s01_flow_lines", F_ + """
@@ -80,6 +80,25 @@ def file_selection(spark, sf):
     return L.first_days(paths, 5)
 
 
+@query("s02b_first_days_read", F_ + """
+, d AS (SELECT *, src_port % 20 AS odd, CAST(substr(dst_ip, 11) AS INT) % 3 AS sensor, CAST(strftime(date, '%Y') AS INT) AS year FROM fl),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY sensor ORDER BY year) AS r FROM d)
+SELECT CAST(year AS INT) AS year, count(*) AS n, count(DISTINCT src_ip) AS ips FROM k WHERE r <= 2 AND odd > 2 GROUP BY 1""")
+def first_days_read(spark, sf):
+    """Flow logs laid out as sensor/day/file (here a year's flows are a day's), read for the first two days of each sensor."""
+    root = scratch_path(spark, "sensor-logs")
+    lines = flow_lines(spark, sf, "dst_ip", F.year("date").alias("year"))
+    sensor = F.substring("dst_ip", 11, 9).cast("int") % 3
+    years = [r[0] for r in flows(spark, sf).select(F.year("date").alias("y")).distinct().orderBy("y").collect()]
+    for number in range(3):
+        for year in years:  # a few dozen folders
+            here = lines.filter((sensor == number) & (F.col("year") == year)).select("value")
+            if not here.isEmpty():
+                written_as(here, f"{root}/sensor-{number}/{year}", "conn.{0}.log")
+    rows, _ = L.read_flow_logs(spark, root, max_days=2)
+    return rows.groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src_ip").alias("ips"))
+
+
 def _split(name: str) -> list[str]:
     """Literal parts of a file name, an empty part where the day goes."""
     head, _, tail = name.partition("{0}")
@@ -101,20 +120,34 @@ def session_documents(spark, sf, per_document: int = 500):
         "username", "password", "duration", F.when(c("event_id") % 3 != 2, geo).alias("geolocation_data"),
     )
     sessions = e.groupBy("doc", "src_ip").agg(F.collect_list(event).alias("events"))
-    documents = sessions.groupBy("doc").agg(F.to_json(F.collect_list(F.create_map("src_ip", "events"))).alias("value"))
-    # Every fifth document gets a member of another shape, every eleventh is cut short.
+    ordered = F.array_sort(F.collect_list(F.struct("src_ip", "events")))
+    documents = sessions.groupBy("doc").agg(ordered.alias("s")).select("doc", F.to_json(F.transform("s", lambda s: F.create_map(s["src_ip"], s["events"]))).alias("value"))
+    # Every fifth document gets a member of another shape, every eleventh is cut short, in its last member.
     stray = F.concat(F.lit('[{"note":"text"},'), F.substring("value", F.lit(2), F.length("value")))
     cut = F.substring("value", F.lit(1), F.length("value") - 20)
     return documents.select("doc", F.when(c("doc") % 11 == 10, cut).when(c("doc") % 5 == 0, stray).otherwise(c("value")).alias("value"))
 
 
-@query("s03_session_documents", E_ + """
-, good AS (SELECT * FROM ev WHERE (event_id // 500) % 11 <> 10)
+def session_files(spark, sf):
+    """A folder with one file per session document, and another that is no session log."""
+    path = scratch_path(spark, "session-logs")
+    written_as(session_documents(spark, sf).select("value"), f"{path}/sensor-1", "sessions_{0}.json", per_file=1)
+    written_as(spark.range(1).select(F.lit("[{").alias("value")), f"{path}/sensor-2", "notes.{0}.txt")
+    return path
+
+
+# Of a cut file the members before the break are kept; here that is all but the last.
+_KEPT = """
+, doc AS (SELECT *, event_id // 500 AS doc FROM ev), m AS (SELECT doc, max(src_ip) AS last_ip FROM doc GROUP BY doc),
+good AS (SELECT doc.* FROM doc JOIN m USING (doc) WHERE doc % 11 <> 10 OR src_ip <> last_ip)"""
+
+
+@query("s03_session_documents", E_ + _KEPT + """
 SELECT 'event' AS kind, src_ip AS session, count(*) AS n, count(username) AS usernames, round(sum(coalesce(duration, 0)), 4) AS duration, CAST(max(epoch_us("timestamp")) AS BIGINT) AS last_us FROM good GROUP BY src_ip
 UNION ALL SELECT 'rejected', '', count(DISTINCT event_id // 500), 0, 0.0, 0 FROM ev WHERE (event_id // 500) % 11 = 10""")
 def session_scan(spark, sf):
-    raw, rejected = L.parse_session_documents(session_documents(spark, sf))
-    events = L.flatten_event(L.allow_listed(raw))
+    every, rejected = L.read_session_logs(spark, session_files(spark, sf))
+    events = L.allow_listed(every)
     per_session = events.groupBy("session").agg(
         F.count(F.lit(1)).alias("n"), F.count("username").alias("usernames"), F.round(F.sum(F.coalesce("duration", F.lit(0.0))), 4).alias("duration"),
         F.max(F.unix_micros("timestamp")).alias("last_us"),
@@ -126,13 +159,12 @@ def session_scan(spark, sf):
     return per_session.unionByName(bad)
 
 
-@query("s05_geo_flattening", """
-WITH g AS (SELECT event_id, event_id % 3 AS m, CAST(event_id % 90 AS DOUBLE) AS lat FROM events WHERE (event_id // 500) % 11 <> 10)
+@query("s05_geo_flattening", E_ + _KEPT + """
+, g AS (SELECT event_id, event_id % 3 AS m, CAST(event_id % 90 AS DOUBLE) AS lat FROM good)
 SELECT CASE WHEN m < 2 THEN 'C' || CAST(event_id % 25 AS VARCHAR) ELSE 'none' END AS geo_country_code, count(*) AS n,
   round(sum(CASE WHEN m < 2 THEN lat ELSE 0.0 END), 3) AS lat_sum, round(sum(CASE WHEN m < 2 THEN lat + 1 ELSE 0.0 END), 3) AS lon_sum FROM g GROUP BY 1""")
 def geo_flattening(spark, sf):
-    raw, _ = L.parse_session_documents(session_documents(spark, sf))
-    events = L.flatten_event(raw)
+    events, _ = L.read_session_logs(spark, session_files(spark, sf))
     return events.groupBy(F.coalesce("geo_country_code", F.lit("none")).alias("geo_country_code")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum(F.coalesce("geo_latitude", F.lit(0.0))), 3).alias("lat_sum"),
         F.round(F.sum(F.coalesce("geo_longitude", F.lit(0.0))), 3).alias("lon_sum"),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from ..operators import sequences as SQ
+from ..operators import classify as K, features as FT, sequences as SQ
 from ..session import scratch_path, tune
 from ..streaming import jobs as J
-from .adapters import EV, FL, events_from, with_ctes
+from .adapters import EV, FL, attack_events, events_from, with_ctes
 from .catalog import query
 from .features import ENTROPY, EVENT_STEPS, LOGINS
 from .sources import flow_lines, written_as
@@ -55,11 +57,24 @@ def early_warning(spark, sf):
     )
 
 
+@query("st2b_scored_warnings")
+def scored_warnings(spark, sf):
+    """A forest learns the threat level from the first logins of each address, in batch, and scores the stream."""
+    events = attack_events(spark, sf)
+    columns = ["unique_passwords", "avg_time_between", "std_time_between", "password_entropy", "password_length", "password_reuse"]
+    windows = FT.session_windows(events, (N_WARNING,)).select("src_ip", F.col("label").alias("label"), *columns)
+    coded, names = K.encode_labels(windows, "label")
+    model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), K.random_forest(50, 10)]).fit(coded)
+    path = scratch_path(spark, "scored")
+    J.scored_warnings(_events(spark, sf), N_WARNING, model, path, scratch_path(spark, "scored-checkpoint"), names).awaitTermination()
+    return spark.read.parquet(path).select("src_ip", *[F.round(c, 5).alias(c) for c in columns], "predicted")
+
+
 @query("st3_running_counts", E_ + "SELECT eventid, count(*) AS n FROM ev GROUP BY eventid")
 def running_counts(spark, sf):
     path = scratch_path(spark, "running")
-    J.latest_counts(J.running_counts(_events(spark, sf), "eventid"), path, scratch_path(spark, "running-checkpoint")).awaitTermination()
-    return J.current_counts(spark, path, "eventid")
+    J.latest_counts(J.running_counts(_events(spark, sf), "eventid"), path, scratch_path(spark, "running-checkpoint"), ["eventid"]).awaitTermination()
+    return J.current_counts(spark, path, ["eventid"])
 
 
 # Days that end before the watermark (newest time minus one day) are closed and written.
@@ -76,8 +91,8 @@ SELECT strftime(date_trunc('hour', "timestamp"), '%Y-%m-%d %H') AS hour, count(*
 def hourly_latest(spark, sf):
     """Hourly counts as they stand, open hours included: their sum is that of the batch counts."""
     path = scratch_path(spark, "hourly")
-    J.latest_counts(J.event_time_counts(_events(spark, sf), "1 hour", "60 days"), path, scratch_path(spark, "hourly-checkpoint")).awaitTermination()
-    return J.current_counts(spark, path, "start").select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "n")
+    J.latest_counts(J.event_time_counts(_events(spark, sf), "1 hour", "60 days"), path, scratch_path(spark, "hourly-checkpoint"), ["start"]).awaitTermination()
+    return J.current_counts(spark, path, ["start"]).select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "n")
 
 
 # Lines that are no flow are kept as rows without a date.

@@ -16,6 +16,7 @@ FLOW_RENAMES = {
     "id.resp_h": "dst_ip",
     "id.resp_p": "dst_port",
 }
+# The text and counter fields of a flow, and below the fields of an event and its geography.
 FLOW_TEXT = ("proto", "service", "conn_state")
 FLOW_COUNTERS = (
     "src_port", "dst_port", "orig_bytes", "resp_bytes", "missed_bytes",
@@ -76,11 +77,24 @@ def first_days(paths: DataFrame, max_days: int | None = None, path: str = "path"
     return logs.join(numbered.filter(F.col("_n") <= max_days), ["sensor", "day"], "left_semi").select(path, "sensor", "day")
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
+def list_files(spark: SparkSession, root: str | Sequence[str]) -> DataFrame:
     """All files below a folder, by path; contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
 
 
+def selected(spark: SparkSession, paths: str | Sequence[str], max_days: int | None = None) -> str | list[str]:
+    """The paths as they are, or the files of the first ``max_days`` days of each sensor below them.
+
+    The driver gets the chosen files' names, as it does for any scan.
+    """
+    if max_days is None:
+        return paths if isinstance(paths, str) else list(paths)
+    chosen = [r["path"] for r in first_days(list_files(spark, paths), max_days).collect()]
+    if not chosen:
+        raise ValueError(f"no log files below {paths}")
+    return chosen
+
+
 # --- flow logs ---------------------------------------------------------------------------------------
 
 def parse_flow_lines(lines: DataFrame) -> DataFrame:
@@ -117,27 +131,93 @@ def read_target_lines(spark: SparkSession, paths: str | Sequence[str], **options
     return lines.filter(is_target_log(F.col("path")))
 
 
-def read_flow_logs(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """``(flows, rejected lines)`` of the flow logs below the paths, other files left alone; gz files are read as they are."""
-    parsed = parse_flow_lines(read_target_lines(spark, paths))
+def read_flow_logs(spark: SparkSession, paths: str | Sequence[str], max_days: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(flows, rejected lines)`` of the flow logs below the paths, other files left alone; gz files are read as they are.
+
+    ``max_days`` keeps the first days of each sensor, where files lie as ``.../sensor/day/file``.
+    """
+    parsed = parse_flow_lines(read_target_lines(spark, selected(spark, paths, max_days)))
     return type_flows(parsed), parsed.filter("NOT ok").select("value")
 
 
 # --- session logs ------------------------------------------------------------------------------------
 
-def parse_session_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(events, rejected documents)`` from documents ``[{session: [event, ...]}, ...]``.
+def session_pieces(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``value, path, block, pos``: session files cut at every closing brace, in order by (path, block, pos).
 
-    Two steps: sessions are first split off as text, so a member of another shape is skipped
-    alone. A document that is not valid JSON goes to the reject frame as a whole.
+    Cutting at a byte lets Spark read byte ranges of one file in many tasks; a piece belongs to the range it begins in.
     """
-    sessions = F.from_json("value", T.ArrayType(T.MapType(T.StringType(), T.StringType())))
-    opened = documents.withColumn("_s", sessions)
-    members = opened.filter(F.col("_s").isNotNull()).select(F.explode("_s").alias("member"))
-    lists = members.select(F.explode("member").alias("session", "body"))
-    events = lists.select("session", F.explode(F.from_json("body", T.ArrayType(EVENT_SCHEMA))).alias("e"))
-    flat = events.filter(F.col("e").isNotNull()).select("session", "e.*")
-    return flat, opened.filter(F.col("_s").isNull()).drop("_s")
+    place = {"path": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "pos": F.monotonically_increasing_id()}
+    pieces = spark.read.text(paths, recursiveFileLookup=True, lineSep="}").select("value", *[c.alias(n) for n, c in place.items()])
+    return pieces.filter(is_target_log(F.col("path")))
+
+
+def session_objects(pieces: DataFrame) -> DataFrame:
+    """``path, member, text, closed``: the members ``{session: [event, ...]}`` of each file's array, numbered, as text.
+
+    Brackets nest and strings hide them, so what a brace closes depends on all text before it. Each piece has its change
+    of string state and, for either state before it, of bracket depth. They are summed within a byte range for both
+    states the range may begin in; a table with one row per range then carries the true state and depth from range to
+    range. A member ends where the depth falls back to one. Text behind the last member has ``closed`` false; it is a
+    bracket in a whole file, and in a cut one the begun member.
+    """
+    bare = F.regexp_replace("value", r"(?s)\\.", "")  # an escaped sign neither ends a string nor nests
+    outside = lambda text: F.regexp_replace(text, r'"[^"]*("|$)', "")
+    level = lambda text: F.length(F.translate(text, "}]", "")) - F.length(F.translate(text, "{[", ""))
+    marked = pieces.withColumn("_bare", bare)
+    marked = marked.withColumn("_odd", F.pmod(F.length("_bare") - F.length(F.replace("_bare", F.lit('"'), F.lit(""))), F.lit(2)))
+    closes = lambda before: (F.pmod(F.col("_odd") + before, F.lit(2)) == 0).cast("int")
+    marked = marked.select(
+        "value", "path", "block", "pos", "_odd",
+        (level(outside(F.col("_bare"))) - closes(0)).alias("_plain"),
+        (level(outside(F.concat(F.lit('"'), "_bare"))) - closes(1)).alias("_quoted"),
+    )
+    block = ["path", "block"]
+    order = Window.partitionBy(*block).orderBy("pos")
+    before, upto = (order.rowsBetween(Window.unboundedPreceding, last) for last in (-1, 0))
+    marked = marked.withColumn("_in", F.coalesce(F.sum("_odd").over(before), F.lit(0)) % 2)
+    change = lambda first: F.when(F.col("_in") == first, F.col("_plain")).otherwise(F.col("_quoted"))
+    summed = marked.withColumns({"_from0": F.sum(change(0)).over(upto), "_from1": F.sum(change(1)).over(upto)})
+
+    across = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lambda column: F.coalesce(F.sum(column).over(across), F.lit(0))
+    ranges = marked.groupBy(*block).agg(F.sum("_odd").alias("_odds"), F.sum(change(0)).alias("_sum0"), F.sum(change(1)).alias("_sum1"))
+    ranges = ranges.withColumn("_state", carried("_odds") % 2).withColumn("_sum", F.when(F.col("_state") == 0, F.col("_sum0")).otherwise(F.col("_sum1")))
+    placed = summed.join(ranges.select(*block, "_state", carried("_sum").alias("_depth")), block)
+    depth = F.col("_depth") + F.when(F.col("_state") == 0, F.col("_from0")).otherwise(F.col("_from1"))
+    ends = (depth == 1) & ((F.col("_state") + F.col("_in") + F.col("_odd")) % 2 == 0)
+    placed = placed.select("value", "path", "block", "pos", ends.cast("int").alias("_ends"))
+
+    counts = placed.groupBy(*block).agg(F.sum("_ends").alias("_ended"))
+    counts = counts.select(*block, carried("_ended").alias("_earlier"))
+    within = F.coalesce(F.sum("_ends").over(before), F.lit(0))
+    numbered = placed.withColumn("_own", within).join(counts, block).withColumn("member", F.col("_own") + F.col("_earlier"))
+    gathered = numbered.groupBy("path", "member").agg(
+        F.array_sort(F.collect_list(F.struct("block", "pos", "value"))).alias("_pieces"), (F.max("_ends") == 1).alias("closed")
+    )
+    text = F.concat(F.array_join(F.col("_pieces.value"), "}"), F.when(F.col("closed"), "}").otherwise(""))
+    return gathered.select("path", "member", text.alias("text"), "closed")
+
+
+def parse_session_objects(objects: DataFrame) -> DataFrame:
+    """``path, ok, session, e``: a row per event, and one with ``ok`` false per text that is no member.
+
+    Members of another shape than ``{session: [event, ...]}`` are skipped without a word.
+    """
+    opened = F.ltrim("text").startswith("[") & (F.col("member") == 0)
+    array = F.when(opened, F.concat("text", F.lit("]"))).otherwise(F.concat(F.lit("[null"), "text", F.lit("]")))
+    whole = F.when(F.col("closed"), F.from_json(array, T.ArrayType(T.StringType())))
+    # Behind the last member: the closing bracket, or the text of an array without members.
+    ending = ~F.col("closed") & (F.col("text").rlike(r"^\s*\]\s*$") | (opened & F.from_json("text", T.ArrayType(T.StringType())).isNotNull()))
+    judged = objects.select("path", ((F.col("closed") & whole.isNotNull()) | ending).alias("ok"), whole.alias("_members"))
+    lists = F.from_json("_m", T.MapType(T.StringType(), T.StringType()))
+    members = judged.filter("ok").select("path", F.explode("_members").alias("_m")).filter(F.ltrim("_m").startswith("{"))
+    bodies = members.select("path", F.explode(lists).alias("session", "_body")).filter(F.col("_body").startswith("["))
+    texts = bodies.select("path", "session", F.explode(F.from_json("_body", T.ArrayType(T.StringType()))).alias("_e"))
+    events = texts.filter(F.col("_e").startswith("{")).select("path", "session", F.from_json("_e", EVENT_SCHEMA).alias("e"))
+    good = events.filter(F.col("e").isNotNull()).select("path", F.lit(True).alias("ok"), "session", "e")
+    bad = judged.filter("NOT ok").select("path", "ok", F.lit(None).cast("string").alias("session"), F.lit(None).cast(EVENT_SCHEMA).alias("e"))
+    return good.unionByName(bad)
 
 
 def flatten_event(events: DataFrame) -> DataFrame:
@@ -168,8 +248,12 @@ def allow_listed(events: DataFrame) -> DataFrame:
     return events.filter(is_allowed())
 
 
-def read_session_logs(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """``(allow-listed events, rejected documents)`` from whole session files."""
-    documents = read_target_lines(spark, paths, wholetext=True)
-    events, rejected = parse_session_documents(documents)
-    return flatten_event(allow_listed(events)), rejected.select("path")
+def read_session_logs(spark: SparkSession, paths: str | Sequence[str], max_days: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(events, files)`` of session files of any size: typed events of every kind (see ``allow_listed``), and the paths
+    of files that are cut or not well-formed. Of those, all members before the break are kept.
+
+    One member must stay below 2 GB. gz files are read by one task each.
+    """
+    rows = parse_session_objects(session_objects(session_pieces(spark, selected(spark, paths, max_days))))
+    events = flatten_event(rows.filter("ok").select("session", "e.*"))
+    return events, rows.filter("NOT ok").select("path").distinct()

@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.entropy import shannon_entropy
 from ..functions.scalars import MICROS, is_login, per
 from ..operators.features import _mean_over
 from ..operators.ordered import DAY_MICROS
 from ..sources.logs import is_target_log, parse_flow_lines, type_flows
+from .snapshots import Snapshots
 
 
 def file_stream(spark: SparkSession, folder: str, schema, name: str = "*.parquet", max_files: int = 100) -> DataFrame:
@@ -22,6 +24,9 @@ def file_stream(spark: SparkSession, folder: str, schema, name: str = "*.parquet
     return reader.option("pathGlobFilter", name).parquet(folder)
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 # --- first N rows per address ----------------------------------------------------------------------
 
 def _keep_earliest(n: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -34,50 +39,87 @@ def _keep_earliest(n: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
     return keep
 
 
-def _collect_first(n: int):
-    """State per address: the rows so far, and a flag once n were emitted.
+class _FirstRows(StatefulProcessor):
+    """State of one address: its earliest rows so far, never more than n, or only that n rows were emitted.
 
-    Rows of one trigger are taken in time order; the state never holds more than n rows.
+    With ``idle_ms`` the state of an address goes once the watermark is that far behind its newest row, whether its
+    rows were emitted or not; an address that comes back later starts anew. One timer per address stands at the
+    earliest time at which that may be so and is set again if rows came meanwhile.
     """
 
-    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, times, ties, items = state.get if state.exists else (False, [], [], [])
-        arrived = []
-        for batch in batches:
+    def __init__(self, n: int, idle_ms: int | None) -> None:
+        self.n, self.idle_ms = n, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "us bigint, tie bigint, item string")
+        self.done = handle.getValueState("done", "done boolean")
+        self.newest = handle.getValueState("newest", "ms bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        done, arrived, newest = self.done.exists(), [], 0
+        for batch in rows:
+            newest = max(newest, int(batch["us"].max()) // 1000)
             if not done:
-                arrived += list(zip(batch["us"], batch["tie"], batch["item"]))
-                arrived = sorted(arrived, key=lambda row: row[:2])[:n]
-        if done or not arrived:
+                arrived += zip(batch["us"].tolist(), batch["tie"].tolist(), batch["item"].tolist())
+                arrived = sorted(arrived, key=lambda row: row[:2])[: self.n]
+        if self.idle_ms is not None:
+            if not self.newest.exists():
+                self.handle.registerTimer(newest + self.idle_ms)
+            self.newest.update((max(newest, self.newest.get()[0] if self.newest.exists() else 0),))
+        if done:
             return
-        merged = [*zip(times, ties, items), *arrived][:n]
+        merged = [*map(tuple, self.rows.get()), *arrived][: self.n] if self.rows.exists() else arrived
         merged.sort(key=lambda row: row[:2])
-        if len(merged) == n:
-            state.update((True, [], [], []))
-            yield pd.DataFrame(
-                {"src_ip": [key[0]] * n, "rank": range(1, n + 1), "us": [r[0] for r in merged], "item": [r[2] for r in merged]}
-            )
+        if len(merged) < self.n:
+            self.rows.put([(int(us), int(tie), item) for us, tie, item in merged])
+            return
+        self.rows.clear()
+        self.done.update((True,))
+        columns = {"src_ip": [key[0]] * self.n, "rank": range(1, self.n + 1), "us": [r[0] for r in merged], "item": [r[2] for r in merged]}
+        yield pd.DataFrame(columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        due = self.newest.get()[0] + self.idle_ms
+        if due > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
         else:
-            state.update((False, [int(r[0]) for r in merged], [int(r[1]) for r in merged], [r[2] for r in merged]))
+            for state in (self.rows, self.done, self.newest):
+                state.clear()
+        return iter(())
 
-    return advance
+    def close(self) -> None:
+        pass
 
 
-def first_n_stream(stream: DataFrame, n: int, item: Column, tie: str = "event_id") -> DataFrame:
+def first_n_stream(
+    stream: DataFrame, n: int, item: Column, tie: str = "event_id", idle: str | None = None, lateness: str = "1 hour", done: DataFrame | None = None
+) -> DataFrame:
     """``(src_ip, rank, us, item)``: the first n rows of each address, emitted once when complete.
 
     ``item`` is the text that travels with a row. A stateless step keeps n rows per address of
-    every Arrow batch before the shuffle, so a heavy address reaches its state as a trickle.
+    every Arrow batch before the shuffle, so a heavy address reaches its state as a trickle. ``done``
+    is a table of addresses that an earlier run emitted: their rows go before the shuffle.
+
+    ``idle`` (a time like "30 days") lets addresses without rows for so long leave the state, see
+    ``_FirstRows``; ``lateness`` is how long the watermark waits. Without it, state is kept for good.
+    State is held in RocksDB on the executors' disks and snapshotted to the checkpoint.
     """
-    narrow = stream.filter(F.col("src_ip").isNotNull()).select(
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    known = stream.filter(F.col("src_ip").isNotNull() & F.col("timestamp").isNotNull())
+    if done is not None:
+        known = known.join(done.select("src_ip").distinct(), "src_ip", "left_anti")
+    narrow = known.select(
         "src_ip", F.unix_micros("timestamp").alias("us"), F.col(tie).cast("bigint").alias("tie"), item.alias("item")
     )
     limited = narrow.mapInPandas(_keep_earliest(n), narrow.schema)
-    return limited.groupBy("src_ip").applyInPandasWithState(
-        _collect_first(n),
-        "src_ip string, rank int, us bigint, item string",
-        "done boolean, times array<bigint>, ties array<bigint>, items array<string>",
-        "append",
-        GroupStateTimeout.NoTimeout,
+    if idle is not None:
+        limited = limited.withColumn("at", F.timestamp_micros("us")).withWatermark("at", lateness).select("src_ip", "us", "tie", "item", "at")
+    return limited.groupBy("src_ip").transformWithStateInPandas(
+        statefulProcessor=_FirstRows(n, None if idle is None else int(pd.Timedelta(idle) / pd.Timedelta(milliseconds=1))),
+        outputStructType="src_ip string, rank int, us bigint, item string",
+        outputMode="append",
+        timeMode="none" if idle is None else "eventTime",
     )
 
 
@@ -85,20 +127,20 @@ SEQUENCE_ITEM = "eventid string, hour int, username string, password string"
 LOGIN_ITEM = "password string"
 
 
-def sequence_stream(stream: DataFrame, seq_len: int) -> DataFrame:
+def sequence_stream(stream: DataFrame, seq_len: int, **options) -> DataFrame:
     """The first ``seq_len`` events (of any type) of each address, as rows for the batch vectors."""
     item = F.to_json(F.struct("eventid", "hour", "username", "password"))
-    rows = first_n_stream(stream, seq_len, item)
+    rows = first_n_stream(stream, seq_len, item, **options)
     fields = F.from_json("item", SEQUENCE_ITEM)
     return rows.select("src_ip", "rank", F.timestamp_micros("us").alias("timestamp"), fields.alias("e")).select(
         "src_ip", "rank", "timestamp", "e.*"
     )
 
 
-def early_warning_stream(stream: DataFrame, n: int) -> DataFrame:
+def early_warning_stream(stream: DataFrame, n: int, **options) -> DataFrame:
     """The first ``n`` logins of each address as soon as the n-th arrives."""
     logins = stream.filter(is_login("eventid"))
-    rows = first_n_stream(logins, n, F.to_json(F.struct("password")))
+    rows = first_n_stream(logins, n, F.to_json(F.struct("password")), **options)
     return rows.select("src_ip", "rank", "us", F.from_json("item", LOGIN_ITEM)["password"].alias("password"))
 
 
@@ -160,19 +202,36 @@ def to_parquet(stream: DataFrame, path: str, checkpoint: str, partition_by: Sequ
     return writer.trigger(availableNow=True).start(path)
 
 
-def latest_counts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the changed counts of each trigger as one folder per batch id.
+def latest_counts(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str]) -> StreamingQuery:
+    """Keep the changed counts of each trigger in a table of the newest row per key, see ``Snapshots``.
 
-    A replayed batch overwrites its own folder, so a restart after a lost executor adds nothing twice.
+    A replayed batch changes nothing, so a restart after a lost executor adds nothing twice.
     """
+    table = Snapshots(stream.sparkSession, path, list(keys))
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(table.add)
+    return writer.trigger(availableNow=True).start()
 
-    def store(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(store)
-    return writer.trigger(availableNow=True).start()
+def current_counts(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame | None:
+    """The newest count per key that ``latest_counts`` has written."""
+    return Snapshots(spark, path, list(keys)).read()
 
 
-def current_counts(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """The newest count per key from the folders ``latest_counts`` wrote."""
-    return spark.read.parquet(path).groupBy(key).agg(F.max_by("n", "batch").alias("n"))
+def scored_warnings(stream: DataFrame, n: int, model: Transformer, path: str, checkpoint: str, names: Sequence[str] = (), **options) -> StreamingQuery:
+    """Score each address with a fitted model as soon as its n-th login arrives.
+
+    ``model`` takes the columns of ``early_warning_features`` and adds ``prediction``, ``names`` are its classes. Each
+    batch overwrites its own folder of ``path``, so a replayed one adds nothing twice.
+    """
+    classes = F.array(*map(F.lit, names))
+
+    def score(rows: DataFrame, batch: int) -> None:
+        scored = model.transform(early_warning_features(rows, n)).withColumn("prediction", F.col("prediction").cast("int"))
+        if names:
+            scored = scored.withColumn("predicted", F.get(classes, F.col("prediction")))
+        kept = [c for c, kind in scored.dtypes if kind != "vector"]
+        scored.select(kept).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    rows = early_warning_stream(stream, n, **options)
+    writer = rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(score)
+    return writer.trigger(availableNow=True).start()

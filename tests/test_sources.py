@@ -1,5 +1,6 @@
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,9 +50,82 @@ def test_session_logs(spark, tmp_path):
     (tmp_path / "sessions_2019-05-01.json").write_text(json.dumps(good))
     (tmp_path / "sessions_2019-05-02.json").write_text(json.dumps(good)[:-9])
     events, rejected = L.read_session_logs(spark, str(tmp_path))
+    assert [r.path.rsplit("/", 1)[1] for r in rejected.collect()] == ["sessions_2019-05-02.json"]
+    assert events.count() == 4 + 4  # the cut file lost its last member only
+    events, rejected = L.read_session_logs(spark, str(tmp_path / "sessions_2019-05-01.json"))
+    events = L.allow_listed(events)
     got = sorted((r.session, r.src_ip, r.geo_country_code, r.geo_latitude, r.geo_longitude, r.duration) for r in events.fillna("-", ["geo_country_code"]).collect() if r.geo_latitude)
     assert got == [("s1", "h1", "TUR", 1.5, 2.5, None), ("s2", "own", "-", 3.0, 4.0, None)]
-    assert events.count() == 3 and rejected.count() == 1
+    assert events.count() == 3 and rejected.count() == 0
+
+
+SIGNS = ["}", "{", "[", "]", '"', "\\", "\\\\", '\\"', ",", "é", "漢", "\n", "a", "b:", " "]
+
+
+def _sessions(rng, n):
+    """Session objects whose strings hold brackets, quotes and backslashes, next to members of other shapes."""
+    word = lambda: "".join(rng.choices(SIGNS, k=rng.randrange(12)))
+    event = lambda i: {"eventid": "cowrie.login.failed", "username": f"{i}", "password": word(), "geolocation_data": {"country_name": word(), "location": {"lat": 1.5, "lon": i}}, "extra": [[word()], {word(): {}}]}
+    members = []
+    for i in range(n):
+        members += rng.choice([[], [], [], [{"note": word()}], [{}], [7, "x}{"], [[{"a": 1}]], [{"s": {"not": "a list"}}]])
+        members.append({f"s{i}{word()}": [event(f"{i}-{j}") for j in range(rng.randrange(4))], f"t{i}": [event(f"{i}-t"), 3, None]})
+    return members
+
+
+def _events_of(members):
+    lists = [(sid, e) for m in members if isinstance(m, dict) for sid, events in m.items() if isinstance(events, list) for e in events if isinstance(e, dict)]
+    return sorted((sid, e["username"], e["password"], e["geolocation_data"]["country_name"]) for sid, e in lists)
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_session_files_are_read_in_ranges(spark, tmp_path, indent):
+    rng = random.Random(17)
+    whole = {f"sessions_{k}.json": _sessions(rng, n) for k, n in enumerate((0, 1, 40, 150))}
+    for name, members in whole.items():
+        (tmp_path / name).write_text(json.dumps(members, indent=indent, ensure_ascii=False), encoding="utf-8")
+    with gzip.open(tmp_path / "sessions_9.json.gz", "wt", encoding="utf-8") as packed:
+        json.dump(whole["sessions_2.json"], packed)
+    expected = sorted(x for m in [*whole.values(), whole["sessions_2.json"]] for x in _events_of(m))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        pieces = L.session_pieces(spark, str(tmp_path))
+        assert pieces.rdd.getNumPartitions() > 20 and pieces.select("path", "block").distinct().count() > 20
+        events, cut = L.read_session_logs(spark, str(tmp_path))
+        assert sorted(map(tuple, events.select("session", "username", "password", "geo_country_name").collect())) == expected
+        assert cut.count() == 0
+        text, members = (tmp_path / "sessions_3.json").read_text(encoding="utf-8"), whole["sessions_3.json"]
+        folder = tmp_path / "cut"
+        folder.mkdir()
+        kept = {}
+        for at in rng.sample(range(1, len(text) - 3), 12):
+            (folder / f"c{at}.json").write_text(text[:at], encoding="utf-8")
+            kept[at] = []
+            for n in range(len(members), 0, -1):  # the members that are there in full
+                start = json.dumps(members[:n], indent=indent, ensure_ascii=False).rstrip("]").rstrip("\n")
+                if len(start) <= at:
+                    kept[at] = members[:n]
+                    break
+        events, cut = L.read_session_logs(spark, str(folder))
+        assert sorted(map(tuple, events.select("session", "username", "password", "geo_country_name").collect())) == sorted(x for m in kept.values() for x in _events_of(m))
+        assert sorted(r.path.rsplit("/", 1)[1] for r in cut.collect()) == sorted(f"c{at}.json" for at in kept)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_first_days_of_each_sensor_are_read(spark, tmp_path):
+    for sensor, day, port in [("s1", "d1", 1), ("s1", "d2", 2), ("s1", "d3", 4), ("s2", "d2", 8), ("s2", "d9", 16), ("s3", "d7", 32)]:
+        folder = tmp_path / sensor / day
+        folder.mkdir(parents=True)
+        (folder / "conn.log.log").write_text(_flow(orig_bytes=port) + "\n")
+        (folder / "x.json").write_text(json.dumps([{"s": [{"eventid": "e", "username": f"{port}"}]}]))
+    flows, _ = L.read_flow_logs(spark, str(tmp_path), max_days=1)
+    assert sorted(r.orig_bytes for r in flows.filter("orig_bytes > 0").collect()) == [1, 8, 32]
+    events, cut = L.read_session_logs(spark, [r.path for r in L.list_files(spark, str(tmp_path)).filter("path LIKE '%.json'").collect()], max_days=2)
+    assert sorted(int(r.username) for r in events.collect()) == [1, 2, 8, 16, 32] and cut.count() == 0
+    with pytest.raises(ValueError):
+        L.selected(spark, str(tmp_path / "s1" / "d1" / "x.json"), 0)
 
 
 def test_reconcile(spark):
