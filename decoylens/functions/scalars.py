@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from .vocabulary import PRIVATE_PREFIXES
@@ -76,6 +78,48 @@ def address_number(address: Column | str) -> Column:
     return F.when(valid, number)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: the expression holds it once, however often ``use`` does."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def address_hex(address: Column | str) -> Column:
+    """IPv6 or dotted IPv4 text as the 32 hex digits of its 128 bits, IPv4 in its mapped form; null for anything else."""
+    address = F.lower(F.col(address) if isinstance(address, str) else address)
+
+    def plain(text: Column) -> Column:
+        """A dotted end as two groups; one that is no address leaves a text that is none either."""
+        number = lambda n: F.lpad(F.lower(F.hex(n)), 8, "0")
+        four = bound(F.regexp_extract(text, r"([0-9.]+)$", 1), address_number)
+        groups = bound(number(four), lambda d: F.concat(F.substring(d, 1, 4), F.lit(":"), F.substring(d, 5, 4)))
+        return F.when(text.contains("."), F.concat(F.regexp_replace(text, r"[0-9.]+$", ""), groups)).otherwise(text)
+
+    def digits(sides: Column) -> Column:
+        groups = lambda side: F.when(F.length(side) > 0, F.split(side, ":")).otherwise(F.array().cast("array<string>"))
+        pair = F.struct(groups(F.get(sides, F.lit(0))).alias("left"), groups(F.get(sides, F.lit(1))).alias("right"), F.size(sides).alias("n"))
+        return bound(pair, filled)
+
+    def filled(p: Column) -> Column:
+        missing = 8 - F.size(p["left"]) - F.size(p["right"])
+        valid = F.when(p["n"] == 2, missing >= 1).otherwise((p["n"] == 1) & (missing == 0))
+        whole = F.concat(p["left"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), p["right"])
+        good = bound(whole, lambda w: F.when(F.forall(w, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(w, lambda g: F.lpad(g, 4, "0")), "")))
+        return F.when(valid, good)
+
+    mapped = bound(address, lambda a: F.when(~a.contains(":"), F.concat(F.lit("::ffff:"), a)).otherwise(a))
+    return bound(bound(mapped, plain), lambda text: bound(F.split(text, "::"), digits))
+
+
+def hex_prefix(digits: Column, bits: int) -> Column:
+    """The first ``bits`` bits of hex digits, as hex digits, the last one filled with zero bits."""
+    whole, rest = divmod(bits, 4)
+    head = F.substring(digits, 1, whole)
+    if not rest:
+        return head
+    masked = "".join(f"{i & (15 << 4 - rest & 15):x}" for i in range(16))
+    return F.concat(head, F.translate(F.substring(digits, whole + 1, 1), "0123456789abcdef", masked))
+
+
 def is_private(address: Column | str, rfc1918: bool = False) -> Column:
     """Private address by string prefix; ``rfc1918`` adds 172.17 to 172.31."""
     address = F.col(address) if isinstance(address, str) else address

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.scalars import address_number, clamp, is_private, valid_point
+from ..functions.scalars import address_hex, address_number, clamp, hex_prefix, is_private, valid_point
 
 # Columns of a geography row and what they hold when nothing is known.
 GEO_DEFAULTS = {
@@ -47,6 +47,38 @@ def block_lookup(addresses: DataFrame, blocks: DataFrame, ip: str = "src_ip", ho
     return found.select(ip, *[c for c in blocks.columns if c not in ("start_ip", "end_ip")])
 
 
+def network_lookup(addresses: DataFrame, networks: DataFrame, ip: str = "src_ip", how: str = "inner") -> DataFrame:
+    """Longest-prefix lookup of distinct IPv6 and IPv4 addresses in ``networks(network, <geography>)``, text like
+    ``2001:db8::/32``; networks may nest, and an IPv4 address is in IPv4 networks only.
+
+    Each address becomes one row per prefix length that occurs (129 at most), which makes the lookup one equi-join on
+    length and prefix; the longest hit stands.
+    """
+    fields = [c for c in networks.columns if c != "network"]
+    base, bits = F.substring_index("network", "/", 1), F.substring_index("network", "/", -1).try_cast("int")
+    # No null is left in what is joined: a test for it would be pushed down and repeat the parsing.
+    keyed = networks.withColumn("_hex", F.coalesce(address_hex(base), F.lit(""))).withColumn("_six", base.contains(":")).withColumn("_bits", F.when(base.contains(":"), bits).otherwise(bits + 96))
+    lengths = sorted(r[0] for r in keyed.filter(F.col("_bits").between(0, 128)).select("_bits").distinct().collect())
+    prefixes = F.array(*[F.struct(F.lit(n).alias("_bits"), hex_prefix(F.col("_hex"), n).alias("_prefix")) for n in lengths or [128]])
+    spread = addresses.select(ip).distinct().withColumn("_hex", F.coalesce(address_hex(ip), F.lit("")))
+    spread = spread.select(ip, F.coalesce(F.col(ip).contains(":"), F.lit(False)).alias("_six"), F.inline(prefixes))
+    # A network has the prefix of its own length among those of all lengths.
+    right = keyed.select("_six", F.col("_bits").alias("_own"), F.struct(*fields).alias("_place"), F.inline(prefixes))
+    right = right.filter((F.col("_own") == F.col("_bits")) & (F.col("_prefix") != "")).drop("_own").dropDuplicates(["_six", "_bits", "_prefix"])
+    found = spread.join(right, ["_six", "_bits", "_prefix"], how)
+    best = found.groupBy(ip).agg(F.max_by("_place", F.when(F.col("_place").isNotNull(), F.col("_bits"))).alias("_place"))
+    return best.select(ip, *[F.col("_place").getField(c).alias(c) for c in fields])
+
+
+def lookup(addresses: DataFrame, blocks: DataFrame, networks: DataFrame | None = None, ip: str = "src_ip", how: str = "inner") -> DataFrame:
+    """Dotted addresses from ``blocks``, those with a colon from ``networks`` where these are given."""
+    if networks is None:
+        return block_lookup(addresses, blocks, ip, how)
+    six = F.coalesce(F.col(ip).contains(":"), F.lit(False))
+    four = block_lookup(addresses.filter(~six), blocks, ip, how)
+    return four.unionByName(network_lookup(addresses.filter(six), networks, ip, how).select(four.columns))
+
+
 def lookup_tiers(addresses: DataFrame, tiers: Sequence[Callable[[DataFrame], DataFrame]], ip: str = "src_ip") -> DataFrame:
     """Geography and ``tier`` per distinct address: private prefixes first, then tier after tier.
 
@@ -68,10 +100,10 @@ def lookup_tiers(addresses: DataFrame, tiers: Sequence[Callable[[DataFrame], Dat
     return table.withColumns(filled)
 
 
-def resolve(addresses: DataFrame, blocks: DataFrame, ip: str = "src_ip") -> DataFrame:
-    """One geography row per distinct address: the private ones as such, sentinels where no block holds it."""
+def resolve(addresses: DataFrame, blocks: DataFrame, networks: DataFrame | None = None, ip: str = "src_ip") -> DataFrame:
+    """One geography row per distinct address: the private ones as such, sentinels where no block or network holds it."""
     own = lambda k, v: F.when(is_private(ip), F.lit(PRIVATE.get(k, v))).otherwise(F.coalesce(F.col(k), F.lit(v)))
-    return block_lookup(addresses, blocks, ip, "left").select(ip, *[own(k, v).alias(k) for k, v in GEO_DEFAULTS.items()])
+    return lookup(addresses, blocks, networks, ip, "left").select(ip, *[own(k, v).alias(k) for k, v in GEO_DEFAULTS.items()])
 
 
 def enrich(df: DataFrame, resolved: DataFrame, ip: str = "src_ip", prefix: str = "geo_") -> DataFrame:
@@ -111,6 +143,44 @@ def counts_by_place(
     return counts_with_geo(df, keys, look_up(df.select(ip)), ip).select(field, *keys, "weight")
 
 
+def country_map(pairs: DataFrame, countries: DataFrame, look_up: Callable[[DataFrame], DataFrame], own: str, ip: str = "src_ip") -> DataFrame:
+    """``(ip, own, country_code, origin)`` of distinct pairs: the row's own code, else the address's country, else XX.
+
+    ``countries(code2, code3, name)`` is the one key table: an own value may be any of the three, in any case, and
+    becomes the two-letter code. Only addresses whose rows bring no known code are looked up.
+    """
+    keys = countries.select(F.upper("code2").alias("_key"), "code2")
+    for other in ("code3", "name"):
+        keys = keys.unionByName(countries.select(F.upper(other).alias("_key"), "code2"))
+    keys = keys.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("code2").alias("_own"))
+    known = pairs.select(ip, own).distinct().withColumn("_key", F.upper(F.trim(own))).join(keys, "_key", "left")
+    places = look_up(known.filter(F.col("_own").isNull()).select(ip)).select(ip, F.col("country_code").alias("_place"))
+    both = known.join(places, ip, "left")
+    origin = F.when(F.col("_own").isNotNull(), "own").when(~F.col("_place").isin(*UNRESOLVED), "address").otherwise("unknown")
+    return both.select(ip, own, F.coalesce("_own", "_place", F.lit("XX")).alias("country_code"), origin.alias("origin"))
+
+
+def counts_by_country(
+    df: DataFrame, keys: Sequence[str], countries: DataFrame, look_up: Callable[[DataFrame], DataFrame], own: str = "geo_country_code", ip: str = "src_ip"
+) -> DataFrame:
+    """``(country_code, origin, *keys, weight)``: rows are counted per (address, own code, keys) before any join."""
+    counted = df.groupBy(ip, own, *keys).agg(F.count(F.lit(1)).alias("weight"))
+    return _joined(counted, country_map(counted, countries, look_up, own, ip), own, ip).select("country_code", "origin", *keys, "weight")
+
+
+def with_country(
+    df: DataFrame, countries: DataFrame, look_up: Callable[[DataFrame], DataFrame], own: str = "geo_country_code", ip: str = "src_ip", name: str = "src_country_code"
+) -> DataFrame:
+    """Every row with its country by ``country_map``."""
+    found = country_map(df, countries, look_up, own, ip)
+    return _joined(df, found, own, ip).select(*df.columns, F.col("country_code").alias(name))
+
+
+def _joined(df: DataFrame, found: DataFrame, own: str, ip: str) -> DataFrame:
+    side = found.select(F.col(ip).alias("_ip"), F.col(own).alias("_code"), "country_code", "origin")
+    return df.join(side, df[ip].eqNullSafe(side["_ip"]) & df[own].eqNullSafe(side["_code"])).drop("_ip", "_code")
+
+
 def sensor_city(df: DataFrame, cities: DataFrame, ip: str = "dst_ip", name: str = "honeypot_city") -> DataFrame:
     """Attach the city of the sensor that was addressed, ``Unknown`` when it is not listed."""
     side = cities.select(ip, F.col("city").alias(name))

@@ -23,13 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _address(number: Column) -> Column:
-    """Entity number to dotted text, one /24 per entity: inside 11.0.0.0/8 and up, every 41st in 10.0.0.0/8."""
+    """Entity number to dotted text, one /24 per entity: inside 11.0.0.0/8 and up, every 41st in 10.0.0.0/8; every 29th
+    has an IPv6 address."""
     first = F.when(number % 41 == 40, F.lit(10)).otherwise(11) + F.floor(number / 65536)
-    return F.concat_ws(".", first.cast("string"), (F.floor(number / 256) % 256).cast("string"), (number % 256).cast("string"), F.lit("1"))
+    dotted = F.concat_ws(".", first.cast("string"), (F.floor(number / 256) % 256).cast("string"), (number % 256).cast("string"), F.lit("1"))
+    return F.when(number % 29 == 28, F.concat(F.lit("2001:db8:"), F.lower(F.hex(number.cast("bigint"))), F.lit("::1"))).otherwise(dotted)
 
 
-def events_from(raw: DataFrame) -> DataFrame:
-    """Session events from rows of the ``events`` table, batch or streaming."""
+def events_from(raw: DataFrame, located: bool = False) -> DataFrame:
+    """Session events from rows of the ``events`` table, batch or streaming.
+
+    ``located`` adds the country code that an event brings: three letters, one that no table knows, or none.
+    """
+    own = F.when(F.col("user_id") % 4 == 0, F.concat(F.lit("C"), (F.col("user_id") % 25).cast("string"), F.lit("N"))).when(F.col("user_id") % 4 == 1, "ZZZ")
     k = F.get_json_object("props", "$.k").cast("bigint")
     g = F.col("user_id") % 3
     kind = F.col("event_type")
@@ -57,11 +63,12 @@ def events_from(raw: DataFrame) -> DataFrame:
         F.when(login, F.concat(F.lit("user"), (F.col("k") % 12).cast("string"))).alias("username"),
         F.when(login & (F.col("k") % 20 != 0), secret).alias("password"),
         F.when(F.col("eventid") == "cowrie.session.closed", F.col("value")).alias("duration"),
+        *([own.alias("geo_country_code")] if located else []),
     )
 
 
-def attack_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_from(table(spark, sf_dir, "events"))
+def attack_events(spark: SparkSession, sf_dir: str, located: bool = False) -> DataFrame:
+    return events_from(table(spark, sf_dir, "events"), located)
 
 
 def flow_source(lineitem: DataFrame) -> DataFrame:
@@ -117,11 +124,33 @@ def geo_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _block_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many blocks as the entities of both logs need."""
+def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key table of countries: two letters, three letters, name."""
+    dim = geo_dim(spark, sf_dir)
+    return dim.select(F.col("country_code").alias("code2"), F.concat("country_code", F.lit("N")).alias("code3"), F.col("country_name").alias("name"))
+
+
+def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest entity number of both logs."""
     users = table(spark, sf_dir, "events").agg(F.max("user_id").alias("top"))
     sources = flow_source(table(spark, sf_dir, "lineitem")).agg(F.max("src").alias("top"))
-    top = users.union(sources).agg(F.coalesce(F.max("top"), F.lit(0)).alias("top"))
+    return users.union(sources).agg(F.coalesce(F.max("top"), F.lit(0)).alias("top"))
+
+
+def geo_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IPv6 networks that nest: a /48 for every other entity with such an address, and a /38 for every other 1024 numbers."""
+    n = F.col("n")
+    top = _top(spark, sf_dir)
+    own = top.select(F.explode(F.sequence(F.lit(0).cast("bigint"), "top")).alias("n")).filter(n % 58 == 28)
+    own = own.select(F.concat(F.lit("2001:db8:"), F.lower(F.hex("n")), F.lit("::/48")).alias("network"), (n % 25).cast("int").alias("nationkey"))
+    wide = top.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.shiftright("top", 10))).alias("n")).filter(n % 2 == 0)
+    wide = wide.select(F.concat(F.lit("2001:db8:"), F.lower(F.hex(n * 1024)), F.lit("::/38")).alias("network"), F.lit(3).alias("nationkey"))
+    return own.union(wide).join(geo_dim(spark, sf_dir), "nationkey").drop("nationkey")
+
+
+def _block_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many blocks as the entities of both logs need."""
+    top = _top(spark, sf_dir)
     return top.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("top") / PER_BLOCK))).alias("id"))
 
 
@@ -160,11 +189,17 @@ def sensor_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_address(number: str) -> str:
     first = f"CASE WHEN ({number}) % 41 = 40 THEN 10 ELSE 11 END + ({number}) // 65536"
-    return f"concat_ws('.', CAST({first} AS VARCHAR), CAST(({number}) // 256 % 256 AS VARCHAR), CAST(({number}) % 256 AS VARCHAR), '1')"
+    dotted = f"concat_ws('.', CAST({first} AS VARCHAR), CAST(({number}) // 256 % 256 AS VARCHAR), CAST(({number}) % 256 AS VARCHAR), '1')"
+    return f"CASE WHEN ({number}) % 29 = 28 THEN '2001:db8:' || lower(to_hex(CAST({number} AS BIGINT))) || '::1' ELSE {dotted} END"
 
 
 def _sql_number(number: str) -> str:
-    return f"CASE WHEN ({number}) % 41 = 40 THEN {PRIVATE_ADDRESS} ELSE {FIRST_ADDRESS} END + ({number}) * 256 + 1"
+    return f"CASE WHEN ({number}) % 29 = 28 THEN NULL WHEN ({number}) % 41 = 40 THEN {PRIVATE_ADDRESS} ELSE {FIRST_ADDRESS} END + ({number}) * 256 + 1"
+
+
+def _sql_six(number: str) -> str:
+    """Nation of the longest IPv6 network that holds an entity's address."""
+    return f"CASE WHEN ({number}) % 58 = 28 THEN ({number}) % 25 WHEN ({number}) % 29 = 28 AND (({number}) // 1024) % 2 = 0 THEN 3 END"
 
 
 EV = f"""
@@ -185,7 +220,8 @@ ev0 AS (
   SELECT event_id, "timestamp", CAST("timestamp" AS DATE) AS date, CAST(hour("timestamp") AS INT) AS hour,
     dayname("timestamp") AS day_of_week,
     {_sql_address('user_id')} AS src_ip,
-    {_sql_number('user_id')} AS ip_num, eventid,
+    {_sql_number('user_id')} AS ip_num, {_sql_six('user_id')} AS six, eventid,
+    CASE user_id % 4 WHEN 0 THEN 'C' || CAST(user_id % 25 AS VARCHAR) || 'N' WHEN 1 THEN 'ZZZ' END AS own_code,
     CASE WHEN contains(eventid, 'login') THEN 'user' || CAST(k % 12 AS VARCHAR) END AS username,
     CASE WHEN contains(eventid, 'login') AND k % 20 <> 0
          THEN substring(md5(CAST(k AS VARCHAR)), 1, CAST(4 + k % 9 AS INT)) END AS password,
@@ -202,7 +238,7 @@ fl0 AS (
 ), fl AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS flow_id,
     "timestamp", CAST("timestamp" AS DATE) AS date, CAST(hour("timestamp") AS INT) AS hour, dayname("timestamp") AS day_of_week,
-    {_sql_address('src')} AS src_ip, {_sql_number('src')} AS ip_num,
+    {_sql_address('src')} AS src_ip, {_sql_number('src')} AS ip_num, {_sql_six('src')} AS six,
     '203.0.113.' || CAST(l_suppkey % 65 AS VARCHAR) AS dst_ip,
     CAST(1024 + l_partkey % 60000 AS INT) AS src_port,
     CAST(CASE WHEN src % 3 = 0 THEN CASE l_linenumber % 3 WHEN 0 THEN 22 WHEN 1 THEN 23 ELSE 445 END
@@ -250,8 +286,8 @@ def resolved_sql(name: str, source: str) -> str:
     return f"""
 {name} AS (
   SELECT a.src_ip, {GEO_SELECT}
-  FROM (SELECT DISTINCT src_ip, ip_num FROM {source}) a
-  LEFT JOIN blocks g ON a.ip_num BETWEEN g.start_ip AND g.end_ip
+  FROM (SELECT DISTINCT src_ip, ip_num, six FROM {source}) a
+  LEFT JOIN blocks b ON a.ip_num BETWEEN b.start_ip AND b.end_ip LEFT JOIN dim g ON g.nationkey = coalesce(b.nationkey, a.six)
 )"""
 
 

@@ -8,7 +8,7 @@ from ..functions.vocabulary import CONTINENTS, EVENT_CODES, PROTOCOL_CODES, STAT
 from ..functions.scalars import valid_point
 from ..operators import features as FT, geo as G, rollups as R, sampling
 from .adapters import (
-    BLOCKS, CITIES, EV, FL, SECOND, attack_events, flows, geo_blocks, resolved_sql, second_blocks, sensor_cities, with_ctes,
+    BLOCKS, CITIES, EV, FL, SECOND, attack_events, countries, flows, geo_blocks, geo_networks, resolved_sql, second_blocks, sensor_cities, with_ctes,
 )
 from .catalog import query
 
@@ -19,12 +19,18 @@ EFG = with_ctes(EV, FL, BLOCKS, resolved_sql("ge", "ev"), resolved_sql("gf", "fl
 
 
 def _resolved(spark, sf, df):
-    return G.resolve(df.select("src_ip"), geo_blocks(spark, sf))
+    return G.resolve(df.select("src_ip"), geo_blocks(spark, sf), geo_networks(spark, sf))
 
 
 def _event_counts(spark, sf, *keys):
-    events = attack_events(spark, sf)
-    return G.counts_with_geo(events, list(keys), _resolved(spark, sf, events))
+    """Events per country and keys: by the code that an event brings, else by its address."""
+    events = attack_events(spark, sf, located=True)
+    return G.counts_by_country(events, list(keys), countries(spark, sf), lambda addresses: _resolved(spark, sf, addresses))
+
+
+# Events with their country: their own code, else their address's.
+_PLACED = """
+, pe AS (SELECT ev.*, coalesce(d.country_code, ge.country_code) AS country_code FROM ev JOIN ge USING (src_ip) LEFT JOIN dim d ON ev.own_code = d.country_code || 'N')"""
 
 
 # --- lookups and joins ---------------------------------------------------------------------------
@@ -43,13 +49,14 @@ def geo_enrichment(spark, sf):
 
 
 @query("j02_two_tier_lookup", with_ctes(FL, BLOCKS, SECOND) + """
-, a AS (SELECT DISTINCT src_ip, ip_num FROM fl),
-g AS (SELECT a.src_ip, b1.country_code AS c1, b2.country_code AS c2 FROM a
-  LEFT JOIN blocks b1 ON ip_num BETWEEN b1.start_ip AND b1.end_ip LEFT JOIN blocks2 b2 ON ip_num BETWEEN b2.start_ip AND b2.end_ip)
+, a AS (SELECT DISTINCT src_ip, ip_num, six FROM fl),
+g AS (SELECT a.src_ip, coalesce(b1.country_code, d.country_code) AS c1, b2.country_code AS c2 FROM a
+  LEFT JOIN blocks b1 ON ip_num BETWEEN b1.start_ip AND b1.end_ip LEFT JOIN dim d ON d.nationkey = six LEFT JOIN blocks2 b2 ON ip_num BETWEEN b2.start_ip AND b2.end_ip)
 SELECT src_ip, CASE WHEN src_ip LIKE '10.%' THEN '--' ELSE coalesce(c1, c2, 'XX') END AS country_code, CASE WHEN src_ip LIKE '10.%' THEN 'private' WHEN c1 IS NOT NULL THEN 'tier1' WHEN c2 IS NOT NULL THEN 'tier2' ELSE 'default' END AS tier FROM g""")
 def two_tier_lookup(spark, sf):
     rows = flows(spark, sf).select("src_ip")
-    tiers = [lambda a, b=blocks: G.block_lookup(a, b) for blocks in (geo_blocks(spark, sf), second_blocks(spark, sf))]
+    tables = ((geo_blocks(spark, sf), geo_networks(spark, sf)), (second_blocks(spark, sf), None))
+    tiers = [lambda a, t=pair: G.lookup(a, *t) for pair in tables]
     return G.lookup_tiers(rows, tiers).select("src_ip", "country_code", "tier")
 
 
@@ -120,8 +127,8 @@ def code_maps(spark, sf):
 
 # --- spatial rollups -------------------------------------------------------------------------------
 
-@query("a10_country_hourly", EG + """
-, c AS (SELECT country_code, hour, count(*) AS n FROM ev JOIN ge USING (src_ip) GROUP BY 1, 2),
+@query("a10_country_hourly", EG + _PLACED + """
+, c AS (SELECT country_code, hour, count(*) AS n FROM pe GROUP BY 1, 2),
 t AS (SELECT country_code FROM c GROUP BY 1 ORDER BY sum(n) DESC, country_code LIMIT 10)
 SELECT t.country_code, CAST(h AS INT) AS hour, coalesce(n, 0) AS n FROM t CROSS JOIN range(24) r(h) LEFT JOIN c ON c.country_code = t.country_code AND c.hour = h""")
 def country_hourly(spark, sf):
@@ -134,14 +141,14 @@ t AS (SELECT continent_code FROM c GROUP BY 1 ORDER BY sum(n) DESC, continent_co
 g AS (SELECT t.continent_code, CAST(h AS INT) AS hour, coalesce(n, 0) AS n FROM t CROSS JOIN range(24) r(h) LEFT JOIN c ON c.continent_code = t.continent_code AND c.hour = h)
 SELECT continent_code, hour, n, round(n * 100.0 / sum(n) OVER (PARTITION BY continent_code), 6) AS pct FROM g""")
 def continent_hourly(spark, sf):
-    look_up = lambda addresses: G.resolve(addresses, geo_blocks(spark, sf))
+    look_up = lambda addresses: _resolved(spark, sf, addresses)
     counts = G.counts_by_place(attack_events(spark, sf), ("geo_continent", "geo_continent_code"), ["hour"], look_up, "continent_code")
     profile = R.hourly_share_profile(counts, "continent_code", 6, "weight")
     return profile.withColumn("pct", F.round("pct", 6))
 
 
-@query("a12_country_daily", EG + """
-, c AS (SELECT country_code, date, count(*) AS n FROM ev JOIN ge USING (src_ip) GROUP BY 1, 2),
+@query("a12_country_daily", EG + _PLACED + """
+, c AS (SELECT country_code, date, count(*) AS n FROM pe GROUP BY 1, 2),
 t AS (SELECT country_code FROM c GROUP BY 1 ORDER BY sum(n) DESC, country_code LIMIT 5)
 SELECT country_code, CAST(date AS VARCHAR) AS date, n, CASE WHEN count(*) OVER w = 3 THEN round(avg(n) OVER w, 6) END AS mean_3d
 FROM c WHERE country_code IN (SELECT country_code FROM t) WINDOW w AS (PARTITION BY country_code ORDER BY date ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
@@ -160,13 +167,13 @@ def city_rollup(spark, sf):
     return G.city_rollup(placed, cities).withColumn("radius", F.round("radius", 6))
 
 
-@query("a19_country_intensity", EFG + """
-, u AS (SELECT country_code, count(*) AS n FROM fl JOIN gf USING (src_ip) GROUP BY 1 UNION ALL SELECT country_code, count(*) FROM ev JOIN ge USING (src_ip) GROUP BY 1),
+@query("a19_country_intensity", EFG + _PLACED + """
+, u AS (SELECT country_code, count(*) AS n FROM fl JOIN gf USING (src_ip) GROUP BY 1 UNION ALL SELECT country_code, count(*) FROM pe GROUP BY 1),
 s AS (SELECT country_code, CAST(sum(n) AS BIGINT) AS n, log10(sum(n) + 1) AS log_n FROM u GROUP BY 1)
 SELECT country_code, n, round(log_n, 6) AS log_n, round(log_n / max(log_n) OVER (), 6) AS intensity, round(least(greatest(4 * log_n, 3), 25), 6) AS radius FROM s""")
 def country_intensity(spark, sf):
     f = flows(spark, sf)
-    both = G.counts_with_geo(f, [], _resolved(spark, sf, f)).unionByName(_event_counts(spark, sf))
+    both = G.counts_with_geo(f, [], _resolved(spark, sf, f)).select("country_code", "weight").unionByName(_event_counts(spark, sf).select("country_code", "weight"))
     table = G.country_intensity(both.select("country_code", F.col("weight").alias("n")))
     return table.select("country_code", "n", *[F.round(c, 6).alias(c) for c in ("log_n", "intensity", "radius")])
 

@@ -8,7 +8,7 @@ from ..functions.scalars import as_count, from_epoch, time_columns
 from ..operators import features as FT, geo as G
 from ..session import scratch_path
 from ..sources import logs as L, tables as T
-from .adapters import BLOCKS, EV, FL, attack_events, flows, geo_blocks, resolved_sql, table, with_ctes
+from .adapters import BLOCKS, EV, FL, attack_events, countries, flows, geo_blocks, geo_networks, resolved_sql, table, with_ctes
 from .catalog import query
 from .features import ACT, R3
 
@@ -245,14 +245,17 @@ def label_discovery(spark, sf):
     return T.read_labels(spark, path, ("threat_label", "level", "label"))
 
 
-@query("s15_unified_table", with_ctes(EV, FL, BLOCKS, resolved_sql("ge", "ev")) + """
-, u AS (SELECT 'flows' AS dataset, src_ip, dst_port, proto AS protocol, NULL AS src_country FROM fl
-  UNION ALL SELECT 'events', ev.src_ip, NULL, NULL, ge.country_code FROM ev JOIN ge USING (src_ip) WHERE eventid = 'cowrie.session.connect')
+@query("s15_unified_table", with_ctes(EV, FL, BLOCKS, resolved_sql("ge", "ev"), resolved_sql("gf", "fl")) + """
+, u AS (SELECT 'flows' AS dataset, src_ip, dst_port, proto AS protocol, gf.country_code AS src_country FROM fl JOIN gf USING (src_ip)
+  UNION ALL SELECT 'events', ev.src_ip, NULL, NULL, coalesce(d.country_code, ge.country_code) FROM ev JOIN ge USING (src_ip)
+    LEFT JOIN dim d ON ev.own_code = d.country_code || 'N' WHERE eventid = 'cowrie.session.connect')
 SELECT dataset, coalesce(protocol, 'none') AS protocol, coalesce(src_country, 'none') AS src_country, count(*) AS n, count(DISTINCT src_ip) AS ips, count(dst_port) AS ports FROM u GROUP BY ALL""")
 def unified_table(spark, sf):
-    events = attack_events(spark, sf)
-    places = G.resolve(events.select("src_ip"), geo_blocks(spark, sf)).select("src_ip", F.col("country_code").alias("geo_country_code"))
-    unified = T.unify(flows(spark, sf), events.join(places, "src_ip", "left"))
+    """Both logs on one key space: the events' own three-letter codes become the two letters of the address lookup."""
+    look_up = lambda addresses: G.resolve(addresses.select("src_ip"), geo_blocks(spark, sf), geo_networks(spark, sf))
+    events = G.with_country(attack_events(spark, sf, located=True), countries(spark, sf), look_up, name="_code")
+    rows = flows(spark, sf)
+    unified = T.unify(G.enrich(rows, look_up(rows)), events.drop("geo_country_code").withColumnRenamed("_code", "geo_country_code"))
     none = lambda c: F.coalesce(c, F.lit("none")).alias(c)
     return unified.groupBy("dataset", none("protocol"), none("src_country")).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("src_ip").alias("ips"), F.count("dst_port").alias("ports")
@@ -260,10 +263,11 @@ def unified_table(spark, sf):
 
 
 @query("s16_geo_cache", with_ctes(EV, FL, BLOCKS) + """
-, a AS (SELECT src_ip, ip_num FROM ev UNION SELECT src_ip, ip_num FROM fl)
-SELECT a.src_ip, CASE WHEN a.src_ip LIKE '10.%' THEN '--' ELSE coalesce(g.country_code, 'XX') END AS country_code FROM a LEFT JOIN blocks g ON a.ip_num BETWEEN g.start_ip AND g.end_ip""")
+, a AS (SELECT src_ip, ip_num, six FROM ev UNION SELECT src_ip, ip_num, six FROM fl)
+SELECT a.src_ip, CASE WHEN a.src_ip LIKE '10.%' THEN '--' ELSE coalesce(g.country_code, d.country_code, 'XX') END AS country_code
+FROM a LEFT JOIN blocks g ON a.ip_num BETWEEN g.start_ip AND g.end_ip LEFT JOIN dim d ON d.nationkey = six""")
 def geo_cache(spark, sf):
     path = scratch_path(spark, "geo")
-    look_up = lambda addresses: G.resolve(addresses, geo_blocks(spark, sf))
+    look_up = lambda addresses: G.resolve(addresses, geo_blocks(spark, sf), geo_networks(spark, sf))
     T.extend_geo_cache(spark, path, attack_events(spark, sf), look_up)
     return T.extend_geo_cache(spark, path, flows(spark, sf), look_up).select("src_ip", "country_code")

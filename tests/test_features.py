@@ -1,8 +1,12 @@
 """Feature tables: row order must not matter, edge cases have fixed answers."""
 
+import ipaddress
+import random
+
 from pyspark.sql import functions as F
 
 import harness
+from decoylens.functions import scalars as S
 from decoylens.operators import features as FT, geo as G, sampling, sequences as SQ
 from decoylens.plans import adapters as A
 
@@ -123,3 +127,63 @@ def test_private_and_odd_addresses_resolve(spark):
     codes = {r.src_ip: (r.country_code, r.country_name) for r in G.resolve(addresses, blocks).collect()}
     assert codes["10.1.2.3"] == codes["192.168.1.1"] == ("--", "Private")
     assert codes["8.8.8.8"][0] == "C1" and codes["8.8.8.256"][0] == codes["x"][0] == "XX"
+
+
+SIX = [
+    "::", "::1", "2001:db8::1", "2001:DB8:0:0:1::f", "1:2:3:4:5:6:7:8", "fe80::", "::ffff:1.2.3.4", "64:ff9b::192.0.2.33", "1.2.3.4", "255.255.255.255",
+    "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "12345::", "g::1", ":::", "", "1.2.3", "1.2.3.256", "::1.2.3.300", "1:2:3:4:5:6:7::8", "fe80::1%eth0", " ::1", "::1.2.3.4:5",
+]
+
+
+def test_addresses_as_bits(spark):
+    def expected(text):
+        try:
+            a = ipaddress.ip_address(text)
+        except ValueError:
+            return None
+        return f"{int(a) + (0xFFFF << 32 if a.version == 4 else 0):032x}"
+
+    rng = random.Random(2)
+    texts = SIX + [str(ipaddress.ip_address(rng.getrandbits(128) & rng.getrandbits(128) << rng.choice([0, 16, 64]))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "a string")
+    # Eight groups next to a double colon are no address to Python before 3.13; here a double colon stands for one group at least.
+    got = {r.a: r.h for r in df.select("a", S.address_hex("a").alias("h")).collect()}
+    assert {t: h for t, h in got.items() if t not in ("fe80::1%eth0", "1:2:3:4:5:6:7::8")} == {t: expected(t) for t in got if t not in ("fe80::1%eth0", "1:2:3:4:5:6:7::8")}
+    assert got["fe80::1%eth0"] is None
+
+
+def test_the_longest_network_stands(spark):
+    rng = random.Random(3)
+    nets = {str(ipaddress.ip_network((rng.getrandbits(24) << 104, n), strict=False)): n for n in [0, 3, 5, 7, 8, 9, 13, 16, 21, 24] for _ in range(6)}
+    nets |= {"10.0.0.0/7": 103, "11.5.0.0/17": 113, "11.5.64.0/23": 119, "2001:db8:1::/130": 0, "nonsense/8": 0}
+    networks = spark.createDataFrame([(n, n) for n in nets], "network string, code string")
+    texts = [str(ipaddress.ip_address(rng.getrandbits(128))) for _ in range(200)] + ["11.5.65.1", "11.5.1.1", "11.6.1.1", "12.1.1.1", "x"]
+
+    def longest(text):
+        try:
+            a = ipaddress.ip_address(text)
+        except ValueError:
+            return None
+        own = [ipaddress.ip_network(n) for n in nets if n not in ("2001:db8:1::/130", "nonsense/8")]
+        own = [n for n in own if n.version == a.version and a in n]
+        return str(max(own, key=lambda n: n.prefixlen)) if own else None
+
+    rows = G.network_lookup(spark.createDataFrame([(t,) for t in texts], "src_ip string"), networks, how="left").collect()
+    assert {r.src_ip: r.code for r in rows} == {t: longest(t) for t in texts}
+    assert G.network_lookup(spark.createDataFrame([("::1",)], "src_ip string"), networks.limit(0), how="left").collect() == [("::1", None)]
+
+
+def test_a_country_is_the_rows_own_or_the_addresss(spark):
+    countries = spark.createDataFrame([("TR", "TUR", "Turkey"), ("DE", "DEU", "Germany")], "code2 string, code3 string, name string")
+    rows = [("a", " tur", 1), ("a", "DE", 1), ("a", None, 1), ("a", "germany", 2), ("b", "QQQ", 1), ("b", None, 1), ("c", None, 1), (None, "TUR", 1), (None, None, 1)]
+    df = spark.createDataFrame(rows, "src_ip string, geo_country_code string, hour int")
+    asked = []
+
+    def look_up(addresses):
+        asked.extend(sorted({r[0] for r in addresses.collect()}, key=str))
+        return spark.createDataFrame([("a", "DE"), ("b", "FR"), ("c", "XX")], "src_ip string, country_code string")
+
+    counts = G.counts_by_country(df, ["hour"], countries, look_up).groupBy("country_code", "origin", "hour").agg(F.sum("weight").alias("n"))
+    assert sorted(map(tuple, counts.select("country_code", "origin", "hour", "n").collect())) == sorted([("TR", "own", 1, 2), ("DE", "own", 1, 1), ("DE", "address", 1, 1), ("DE", "own", 2, 1), ("FR", "address", 1, 2), ("XX", "unknown", 1, 2)])
+    assert set(asked) == {None, "a", "b", "c"}
+    assert G.with_country(df, countries, look_up).count() == len(rows)
