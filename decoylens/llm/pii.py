@@ -36,7 +36,8 @@ INVISIBLE = "­​‌‍⁠﻿"
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 _ODD = re.compile("[" + re.escape("".join(LOOK_ALIKES) + "".join(PLAIN) + INVISIBLE) + "]")
-_ODD_WORD = re.compile(r"\S*[" + re.escape("".join(LOOK_ALIKES)) + r"]\S*")
+_LOOK_ALIKE = re.compile("[" + re.escape("".join(LOOK_ALIKES)) + "]")
+_WORD = re.compile(r"\S+")
 _HIDDEN = re.compile("[" + INVISIBLE + "]+")
 _TO_PLAIN = str.maketrans(PLAIN)
 _TO_LATIN = str.maketrans(LOOK_ALIKES)
@@ -44,8 +45,10 @@ _DIGIT = "(?:" + "|".join(SPELLED) + ")"
 _DIGIT_RUN = re.compile(rf"(?<![^\W_]){_DIGIT}(?:[ \t-]+{_DIGIT})*(?![^\W_])", re.I)
 _DIGIT_WORD = re.compile(_DIGIT, re.I)
 _LETTER_DIGIT = re.compile(r"(?<=[0-9])[OolI](?=[0-9])")
-_BRACKETED_AT = re.compile(r"\s*(?:\(\s*(?:at|@)\s*\)|\[\s*(?:at|@)\s*\]|\{\s*(?:at|@)\s*\}|<\s*(?:at|@)\s*>)\s*", re.I)
-_BRACKETED_DOT = re.compile(r"\s*(?:\(\s*(?:dot|\.)\s*\)|\[\s*(?:dot|\.)\s*\]|\{\s*(?:dot|\.)\s*\}|<\s*(?:dot|\.)\s*>)\s*", re.I)
+# A run of blanks is tried from its start only, or not at all.
+_BLANKS = r"(?:(?<!\s)\s*+|)"
+_BRACKETED_AT = re.compile(_BLANKS + r"(?:\(\s*(?:at|@)\s*\)|\[\s*(?:at|@)\s*\]|\{\s*(?:at|@)\s*\}|<\s*(?:at|@)\s*>)\s*", re.I)
+_BRACKETED_DOT = re.compile(_BLANKS + r"(?:\(\s*(?:dot|\.)\s*\)|\[\s*(?:dot|\.)\s*\]|\{\s*(?:dot|\.)\s*\}|<\s*(?:dot|\.)\s*>)\s*", re.I)
 #: Last parts of domains that a spoken address may have; none of them is a common word.
 SPOKEN_ENDS = "com org net edu gov mil int info biz dev app io co uk de fr es eu ch at nl se pl jp cn ru br ca au nz za kr tv cc example test invalid"
 #: A spoken address has both words: "name at host dot end"; the name may have spoken dots, too.
@@ -54,7 +57,7 @@ _SPOKEN = re.compile(
     r"(?P<host>[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)*(?:[ \t]+dot[ \t]+|\.)(?:" + "|".join(SPOKEN_ENDS.split()) + r"))(?![^\W_])",
     re.I,
 )
-_SPOKEN_DOT = re.compile(r"[ \t]+dot[ \t]+", re.I)
+_SPOKEN_DOT = re.compile(r"(?<![ \t])[ \t]++dot[ \t]+", re.I)
 _DIGIT_DOT = re.compile(r"(?<=[0-9])[ \t]+(?:dot|point)[ \t]+(?=[0-9])", re.I)
 _PLUS = re.compile(r"(?<![^\s(:,;])plus[ \t]+(?=[0-9])", re.I)
 
@@ -91,7 +94,7 @@ def emails(text: str) -> Iterable[Span]:
 def detect(text: str) -> dict[str, list[Span]]:
     """The spans of each kind in a text as it stands."""
     found: dict[str, list[Span]] = {"email": list(emails(text)), "ip": [], "card": [], "phone": []}
-    found["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())]
+    found["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (g.lstrip("0") for g in m.groups()))]
     for match in _CARD.finditer(text):
         if match.end() - match.start() >= 16:
             digits = _NOT_DIGIT.sub("", match[0])
@@ -145,7 +148,8 @@ def fold(text: Rewritten) -> None:
     text.each(_HIDDEN, lambda m: "")
     plain = text.text.translate(_TO_PLAIN)
     mixed = lambda w: any(c.isascii() and (c.isalpha() or c == "@") for c in w)
-    plain = _ODD_WORD.sub(lambda m: m[0].translate(_TO_LATIN) if mixed(m[0]) else m[0], plain)
+    if _LOOK_ALIKE.search(plain):
+        plain = _WORD.sub(lambda m: m[0].translate(_TO_LATIN) if _LOOK_ALIKE.search(m[0]) and mixed(m[0]) else m[0], plain)
     text.text = plain  # character by character, so offsets stay
 
 
