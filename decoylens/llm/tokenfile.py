@@ -45,8 +45,8 @@ from .tables import stored
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-#: About 200 bytes per piece are kept in each worker.
-CACHE_PIECES, CACHE_PIECE_CHARS = 400_000, 64
+#: Pieces in each of the two generations of a worker's cache, at about 200 bytes each.
+CACHE_PIECES, CACHE_PIECE_CHARS = 300_000, 64
 MARKS = ".,;:!?"
 IDS_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 BATCH_CHARS, BATCH_DOCS = 1 << 20, 4096
@@ -64,6 +64,7 @@ def _byte_level() -> dict[int, str]:
 
 
 BYTE_LEVEL = _byte_level()
+BLANK = BYTE_LEVEL[32]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -82,6 +83,24 @@ def pieces(text: str) -> list[str]:
     return parts[not parts[0] : len(parts) - (not parts[-1])]
 
 
+class Generations(dict):
+    """A bounded cache in two generations: what is asked for moves to the young one, so common pieces outlive rare ones."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = code = self.old[piece]
+        return code
+
+    def turn(self) -> None:
+        """The young generation becomes the old one if it is full."""
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Ids of texts as bytes; built once per worker and path."""
 
@@ -91,7 +110,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
+        self.known = Generations(CACHE_PIECES)
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
@@ -100,11 +119,12 @@ class Encoder:
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         """Encode pieces that are not known. A mark after a final letter is always a token of its own."""
         marked = {p: p[:-1] for p in new if len(p) > 1 and p[-1] in MARKS and p[-2].isalpha()}
-        stems = [p for p in {*new.difference(marked), *marked.values(), *(p[-1] for p in marked)} if p not in self.known]
+        stems = [p for p in {*new.difference(marked), *marked.values(), *(p[-1] for p in marked)} if p not in self.known and p not in self.known.old]
         # A blank and letters are one pre-token, which the library's model encodes without the steps around it.
         single = filter(_LATIN.fullmatch, stems)
         tokenize, pack = self.model.tokenize, struct.Struct("<I").pack
-        codes = {p: b"".join([pack(t.id) for t in tokenize(p.encode().decode("latin-1").translate(BYTE_LEVEL))]) for p in single}
+        shown = lambda p: p.replace(" ", BLANK) if p.isascii() else p.encode().decode("latin-1").translate(BYTE_LEVEL)
+        codes = {p: b"".join([pack(t.id) for t in tokenize(shown(p))]) for p in single}
         other = [p for p in stems if p not in codes]
         codes |= {p: self._packed(e.ids) for p, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False))}
         of = lambda p: codes[p] if p in codes else self.known[p]
@@ -114,12 +134,12 @@ class Encoder:
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         end = struct.pack("<I", END_ID)
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
+        self.known.turn()
         cut = [pieces(t or "") for t in texts]
-        codes = self._learn(set(chain.from_iterable(cut)).difference(self.known))
-        known = self.known if all(len(p) <= CACHE_PIECE_CHARS for p in codes) else self.known | codes
-        return [b"".join(map(known.__getitem__, parts)) + end for parts in cut]
+        codes = self._learn(set(chain.from_iterable(cut)).difference(self.known, self.known.old))
+        long = {p: c for p, c in codes.items() if len(p) > CACHE_PIECE_CHARS}
+        code = (lambda p: long[p] if p in long else self.known[p]) if long else self.known.__getitem__
+        return [b"".join(map(code, parts)) + end for parts in cut]
 
 
 @cache

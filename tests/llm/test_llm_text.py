@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import brute
 import cases
@@ -53,6 +54,36 @@ def test_long_runs_take_linear_time():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "@" * 300_000, "+1" * 150_000, "a@" * 150_000, "one " * 80_000):
         base, _ = pii.find_spans(text)
         assert isinstance(base, dict)
+    for text in (" " * 300_000, "a@b.cd" + " \n" * 150_000 + "(at)", "\uff0c" + "\u6f22" * 300_000, "\u0430" + "b" * 300_000, "( at " * 60_000):
+        begun = time.perf_counter()
+        pii.find_spans(text)
+        assert time.perf_counter() - begun < 3
+
+
+def test_blanks_and_zeros_keep_their_spans():
+    base, _ = pii.find_spans("0" * 5000 + "1.2.3.4 and 0256.1.1.1 and 000.00.0.00255")
+    assert base["ip"] == [(0, 5007), (5027, 5041)]
+    _, found = pii.find_spans("bob  [at]  host (dot) org! (at)  ann (at) host.org")
+    assert found["email"] == [(0, 25), (33, 50)]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from([" ", "\n", "\t", "(at)", "[ @ ]", "(dot)", "{.}", "dot", "a", "("]), max_size=14).map("".join))
+def test_patterns_that_take_blanks_once_match_as_before(text):
+    at = r"(?:\(\s*(?:at|@)\s*\)|\[\s*(?:at|@)\s*\]|\{\s*(?:at|@)\s*\}|<\s*(?:at|@)\s*>)\s*"
+    dot = r"(?:\(\s*(?:dot|\.)\s*\)|\[\s*(?:dot|\.)\s*\]|\{\s*(?:dot|\.)\s*\}|<\s*(?:dot|\.)\s*>)\s*"
+    for mine, plain in ((pii._BRACKETED_AT, r"\s*" + at), (pii._BRACKETED_DOT, r"\s*" + dot), (pii._SPOKEN_DOT, r"[ \t]+dot[ \t]+")):
+        assert [m.span() for m in mine.finditer(text)] == [m.span() for m in re.finditer(plain, text, re.I)]
+
+
+def test_common_pieces_outlive_rare_ones():
+    cache = tokenfile.Generations(3)
+    for n in range(40):
+        cache.turn()
+        new = {"common", f"rare{n}"}.difference(cache, cache.old)
+        assert "common" not in new or n == 0
+        cache.update((p, p.encode()) for p in new)
+        assert cache["common"] == b"common" and len(cache) + len(cache.old) <= 9
 
 
 def test_pii_rows(spark):
