@@ -8,7 +8,6 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark import inheritable_thread_target
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.rules import bot_score
 from ..functions.scalars import finite
-from .evaluate import calinski_harabasz, davies_bouldin
+from .evaluate import clustering_metrics
 from .ordered import group_medians
 
 
@@ -94,22 +93,19 @@ def best_kmeans(vectors: DataFrame, k: int, inits: int = 10, max_iter: int = 300
     return min(models, key=lambda model: model.summary.trainingCost)
 
 
-def k_sweep(vectors: DataFrame, ks: Iterable[int] = range(2, 11), inits: int = 10) -> DataFrame:
+def k_sweep(vectors: DataFrame, ks: Iterable[int] = range(2, 11), inits: int = 10, key: str = "src_ip") -> DataFrame:
     """Inertia, silhouette, Davies-Bouldin and Calinski-Harabasz for each k, one row each.
 
-    The two indices are computed for all k in one pass over the stacked assignments.
+    The indices are computed for all k at once over the stacked assignments.
     """
     spark = vectors.sparkSession
-    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
     fitted, stacked = [], []
     for k in ks:
         model = best_kmeans(vectors, k, inits)
-        assigned = model.transform(vectors)
-        fitted.append((k, float(model.summary.trainingCost), float(evaluator.evaluate(assigned))))
-        stacked.append(assigned.select(F.lit(k).alias("k"), "cluster", vector_to_array("features").alias("x")))
+        fitted.append((k, float(model.summary.trainingCost)))
+        stacked.append(model.transform(vectors).select(F.lit(k).alias("k"), key, "cluster", vector_to_array("features").alias("x")))
     points = reduce(DataFrame.unionByName, stacked)
-    table = spark.createDataFrame(fitted, "k int, inertia double, silhouette double")
-    return table.join(davies_bouldin(points, by=["k"]), "k").join(calinski_harabasz(points, by=["k"]), "k")
+    return spark.createDataFrame(fitted, "k int, inertia double").join(clustering_metrics(points, key, ["k"]), "k")
 
 
 def centres_in_units(model: KMeansModel, scaling: Scaling, like: DataFrame) -> DataFrame:

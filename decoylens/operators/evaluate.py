@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import written
+
+#: Numbers of a table of cluster centres that every task may hold, and slices of the points beyond.
+TABLE_CELLS, SALTS = 2_000_000, 64
+
 
 # --- clusterings -------------------------------------------------------------------------------
 # Input: one row per point with an integer cluster column and an array<double> column ``x``.
@@ -14,13 +21,21 @@ def _distance(a, b):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
 
 
+def cluster_sums(points: DataFrame, cluster: str = "cluster", x: str = "x", by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, cluster, n, centre, within, q)``: size, mean, squared distances to the mean and mean squared norm.
+
+    One pass over the points with a partial sum per cluster on the map side; vectors stay whole.
+    """
+    moments = Summarizer.metrics("mean", "variance").summary(F.col("_v"))
+    norm = F.aggregate(F.col(x), F.lit(0.0), lambda s, v: s + v * v)
+    sums = points.withColumn("_v", array_to_vector(x)).groupBy(*by, cluster).agg(F.count(F.lit(1)).alias("n"), F.avg(norm).alias("q"), moments.alias("_m"))
+    spread = F.aggregate(vector_to_array("_m.variance"), F.lit(0.0), lambda s, v: s + v)
+    return sums.select(*by, cluster, "n", vector_to_array("_m.mean").alias("centre"), ((F.col("n") - 1) * spread).alias("within"), "q")
+
+
 def centroids(points: DataFrame, cluster: str = "cluster", x: str = "x", by: Sequence[str] = ()) -> DataFrame:
-    """``(*by, cluster, n, centre)``; the shuffle carries one partial mean per cluster and dimension."""
-    keys = [*by, cluster]
-    cells = points.select(*keys, F.posexplode(x).alias("dim", "v"))
-    means = cells.groupBy(*keys, "dim").agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    packed = F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"])
-    return means.groupBy(*keys).agg(F.max("n").alias("n"), packed.alias("centre"))
+    """``(*by, cluster, n, centre)``; the shuffle carries one partial mean per cluster."""
+    return cluster_sums(points, cluster, x, by).select(*by, cluster, "n", "centre")
 
 
 def davies_bouldin(points: DataFrame, cluster: str = "cluster", x: str = "x", by: Sequence[str] = ()) -> DataFrame:
@@ -50,45 +65,62 @@ def davies_bouldin(points: DataFrame, cluster: str = "cluster", x: str = "x", by
 
 def calinski_harabasz(points: DataFrame, cluster: str = "cluster", x: str = "x", by: Sequence[str] = ()) -> DataFrame:
     """Between over within dispersion, each over its degrees of freedom, from sums only."""
-    cells = points.select(*by, cluster, F.posexplode(x).alias("dim", "v"))
-    sums = cells.groupBy(*by, cluster, "dim").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("var")
-    )
-    whole = Window.partitionBy(*by, "dim")
-    grand = F.sum(F.col("n") * F.col("m")).over(whole) / F.sum("n").over(whole)
-    parts = sums.withColumn("g", grand).groupBy(*by).agg(
-        F.sum(F.col("n") * F.pow(F.col("m") - F.col("g"), 2)).alias("between"),
-        F.sum(F.col("n") * F.col("var")).alias("within"),
-        F.count_distinct(cluster).alias("_k"),
-        F.sum(F.when(F.col("dim") == 0, F.col("n"))).alias("n"),
+    return _dispersion(cluster_sums(points, cluster, x, by), by)
+
+
+def _dispersion(sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    """From rows per cluster: the squared norms of the centres less that of the grand mean are the between part."""
+    square = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v)
+    weighted = Summarizer.metrics("mean").summary(array_to_vector("centre"), F.col("n").cast("double"))
+    parts = sums.groupBy(*by).agg(
+        weighted.alias("_m"), F.sum(F.col("n") * square("centre")).alias("_norms"), F.sum("within").alias("within"),
+        F.count(F.lit(1)).alias("_k"), F.sum("n").alias("n"),
     )
-    score = (F.col("between") / (F.col("_k") - 1)) / (F.col("within") / (F.col("n") - F.col("_k")))
+    between = F.col("_norms") - F.col("n") * square(vector_to_array("_m.mean"))
+    score = (between / (F.col("_k") - 1)) / (F.col("within") / (F.col("n") - F.col("_k")))
     return parts.select(*by, score.alias("calinski_harabasz"))
 
 
-def silhouette_points(points: DataFrame, key: str, cluster: str = "cluster", x: str = "x") -> DataFrame:
+def silhouette_points(points: DataFrame, key: str, cluster: str = "cluster", x: str = "x", by: Sequence[str] = ()) -> DataFrame:
     """Silhouette per point with squared Euclidean distance, linear in the points.
 
     The mean squared distance to a cluster follows from its size, mean and mean squared norm, so
-    each point meets k summaries (a scalar subquery), not the other points.
+    each point meets k summaries, not the other points. They travel as one row per clustering up to
+    ``TABLE_CELLS`` numbers; beyond, each point meets them one by one in a join salted against hot
+    clusterings, and keeps its own and its nearest other.
     """
     norm = F.aggregate(F.col(x), F.lit(0.0), lambda s, v: s + v * v)
-    norms = points.groupBy(cluster).agg(F.avg(norm).alias("q"))
-    stats = centroids(points, cluster, x).join(norms, cluster)
-    table = stats.agg(F.collect_list(F.struct(F.col(cluster).alias("id"), "n", "q", "centre")).alias("t"))
+    sums = written(cluster_sums(points, cluster, x, by), "cluster-sums")
+    cells = sums.agg(F.coalesce(F.sum(F.size("centre")), F.lit(0))).first()[0]
     mean_to = lambda s: (
         F.col("_norm") + s["q"] - 2 * F.aggregate(F.zip_with(F.col(x), s["centre"], lambda p, c: p * c), F.lit(0.0), lambda a, v: a + v)
     )
-    own = F.filter("_t", lambda s: s["id"] == F.col(cluster))[0]
-    others = F.array_min(F.transform(F.filter("_t", lambda s: s["id"] != F.col(cluster)), mean_to))
-    placed = points.withColumn("_norm", norm).withColumn("_t", table.scalar())
-    inner = placed.withColumn("_own", own).withColumn("_b", others)
-    a = F.greatest(mean_to(F.col("_own")), F.lit(0.0)) * F.col("_own.n") / (F.col("_own.n") - 1)
-    scored = inner.withColumn("_a", F.when(F.col("_own.n") > 1, a))
+    placed = points.withColumn("_norm", norm)
+    summary = F.struct(F.col(cluster).alias("id"), "n", "q", "centre")
+    if cells <= TABLE_CELLS:
+        table = sums.groupBy(*by).agg(F.collect_list(summary).alias("_t"))
+        placed = placed.join(F.broadcast(table), list(by)) if by else placed.withColumn("_t", table.select("_t").scalar())
+        own = F.filter("_t", lambda s: s["id"] == F.col(cluster))[0]
+        others = F.array_min(F.transform(F.filter("_t", lambda s: s["id"] != F.col(cluster)), mean_to))
+        inner = placed.withColumn("_own", own).withColumn("_b", others).withColumns({"_n": F.col("_own.n"), "_to": mean_to(F.col("_own"))})
+    else:
+        salted = sums.select(*by, summary.alias("_s")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = placed.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, [*by, "_salt"])
+        mine = F.col("_s.id") == F.col(cluster)
+        met = met.select(*by, key, cluster, F.when(mine, F.col("_s.n")).alias("_n"), F.when(mine, mean_to(F.col("_s"))).alias("_to"), F.when(~mine, mean_to(F.col("_s"))).alias("_b"))
+        inner = met.groupBy(*by, key, cluster).agg(F.max("_n").alias("_n"), F.max("_to").alias("_to"), F.min("_b").alias("_b"))
+    a = F.greatest(F.col("_to"), F.lit(0.0)) * F.col("_n") / (F.col("_n") - 1)
+    scored = inner.withColumn("_a", F.when(F.col("_n") > 1, a))
     value = F.when(F.col("_a").isNull(), 0.0).otherwise(
         F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b")), F.lit(0.0))
     )
-    return scored.select(key, cluster, value.alias("silhouette"))
+    return scored.select(*by, key, cluster, value.alias("silhouette"))
+
+
+def clustering_metrics(points: DataFrame, key: str, by: Sequence[str], cluster: str = "cluster", x: str = "x") -> DataFrame:
+    """Silhouette, Davies-Bouldin and Calinski-Harabasz of several clusterings of the same points, told apart by ``by``."""
+    silhouettes = silhouette_points(points, key, cluster, x, by).groupBy(*by).agg(F.avg("silhouette").alias("silhouette"))
+    return silhouettes.join(davies_bouldin(points, cluster, x, by), list(by)).join(calinski_harabasz(points, cluster, x, by), list(by))
 
 
 def consensus_k(metrics: DataFrame) -> DataFrame:

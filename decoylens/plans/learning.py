@@ -85,6 +85,35 @@ def silhouette_points(spark, sf):
     return E.silhouette_points(_labelled_points(spark, sf), "vec_id").withColumn("silhouette", F.round("silhouette", 5))
 
 
+# The clusterings to rank, one per k: the given points by their label modulo k, so that the twin can state them.
+@query("m06_consensus_k", """
+WITH cells AS (SELECT k, vec_id, label % k AS cluster, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings, range(2, 11) r(k)),
+ctr AS (SELECT k, cluster, dim, avg(v) AS m, count(*) AS n, avg(v * v) AS q FROM cells GROUP BY ALL),
+grand AS (SELECT k, dim, avg(v) AS g FROM cells GROUP BY ALL),
+d AS (SELECT c.k, vec_id, c.cluster AS own, o.cluster AS other, any_value(o.n) AS n, sum(v * v + o.q - 2 * v * o.m) AS far, sum((v - o.m) * (v - o.m)) AS near
+  FROM cells c JOIN ctr o ON o.k = c.k AND o.dim = c.dim GROUP BY ALL),
+s AS (SELECT k, vec_id, max(CASE WHEN own = other AND n > 1 THEN greatest(far, 0) * n / (n - 1) END) AS a, min(CASE WHEN own <> other THEN far END) AS b FROM d GROUP BY ALL),
+sil AS (SELECT k, avg(CASE WHEN a IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END) AS silhouette FROM s GROUP BY k),
+sc AS (SELECT k, own AS cluster, avg(sqrt(near)) AS s FROM d WHERE own = other GROUP BY ALL),
+pr AS (SELECT a.k, a.cluster AS i, b.cluster AS j, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS dist FROM ctr a JOIN ctr b ON a.k = b.k AND a.dim = b.dim AND a.cluster <> b.cluster GROUP BY ALL),
+db AS (SELECT k, avg(w) AS davies_bouldin FROM (SELECT pr.k, i, max((x.s + y.s) / dist) AS w FROM pr JOIN sc x ON x.k = pr.k AND x.cluster = i JOIN sc y ON y.k = pr.k AND y.cluster = j GROUP BY ALL) GROUP BY k),
+bt AS (SELECT ctr.k, sum(n * (m - g) * (m - g)) AS bt, count(DISTINCT cluster) AS kk FROM ctr JOIN grand ON grand.k = ctr.k AND grand.dim = ctr.dim GROUP BY ALL),
+wt AS (SELECT k, sum(near) AS wt, count(*) AS n FROM d WHERE own = other GROUP BY k),
+m AS (SELECT k, silhouette, davies_bouldin, (bt / (kk - 1)) / (wt / (n - kk)) AS calinski_harabasz FROM sil JOIN db USING (k) JOIN bt USING (k) JOIN wt USING (k)),
+r AS (SELECT *, row_number() OVER (ORDER BY silhouette DESC, k) + row_number() OVER (ORDER BY davies_bouldin, k) + row_number() OVER (ORDER BY calinski_harabasz DESC, k) - 3 AS rank_sum FROM m)
+SELECT CAST(k AS INT) AS k, round(silhouette, 6) AS silhouette, round(davies_bouldin, 5) AS davies_bouldin, round(calinski_harabasz, 5) AS calinski_harabasz, CAST(rank_sum AS BIGINT) AS rank_sum,
+  CAST(row_number() OVER (ORDER BY rank_sum, k) = 1 AS INT) AS is_best FROM r""")
+def consensus_k(spark, sf):
+    points = _labelled_points(spark, sf)
+    stacked = points.select(F.explode(F.sequence(F.lit(2), F.lit(10))).alias("k"), "vec_id", "cluster", "x")
+    stacked = stacked.withColumn("cluster", F.col("cluster") % F.col("k"))
+    ranked = E.consensus_k(E.clustering_metrics(stacked, "vec_id", ["k"]))
+    return ranked.select(
+        "k", F.round("silhouette", 6).alias("silhouette"), *[F.round(c, 5).alias(c) for c in ("davies_bouldin", "calinski_harabasz")],
+        F.col("rank_sum").cast("bigint").alias("rank_sum"), "is_best",
+    )
+
+
 @query("m07_final_kmeans")
 def final_kmeans(spark, sf):
     _, vectors, _ = _session_vectors(spark, sf)

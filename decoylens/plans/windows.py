@@ -55,7 +55,6 @@ def _consensus(spark, sf):
 
 
 query("n07_rank_consensus", _METRICS_SQL)(_consensus)
-query("m06_consensus_k", _METRICS_SQL)(_consensus)
 
 PROFILE = ("n", "bytes", "duration", "ports")
 _CENTRES_SQL = F_ + """

@@ -42,6 +42,18 @@ def test_cluster_indices_against_numpy(blobs):
     assert dict(E.davies_bouldin(both, by=["k"]).collect())[3] == pytest.approx(np.mean(worst))
 
 
+def test_many_centres_are_met_one_by_one(blobs, monkeypatch):
+    """The salted join beyond the size of the table gives the same silhouettes, for one clustering and for several."""
+    both = blobs.select(F.lit(3).alias("k"), "src_ip", "cluster", "x").unionByName(blobs.select(F.lit(2).alias("k"), "src_ip", F.least("cluster", F.lit(1)).alias("cluster"), "x"))
+    small = {tuple(r)[:2]: r.silhouette for r in E.silhouette_points(both, "src_ip", by=["k"]).collect()}
+    one = dict(E.silhouette_points(blobs, "src_ip").select("src_ip", "silhouette").collect())
+    monkeypatch.setattr(E, "TABLE_CELLS", 3)
+    large = {tuple(r)[:2]: r.silhouette for r in E.silhouette_points(both, "src_ip", by=["k"]).collect()}
+    assert large == pytest.approx(small, abs=1e-9) and len(small) == 360
+    assert dict(E.silhouette_points(blobs, "src_ip").select("src_ip", "silhouette").collect()) == pytest.approx(one, abs=1e-9)
+    assert {ip: v for (k, ip), v in small.items() if k == 3} == pytest.approx(one, abs=1e-9)
+
+
 def test_singleton_cluster_has_zero_silhouette(spark):
     df = spark.createDataFrame([("a", 0, [0.0]), ("b", 0, [1.0]), ("c", 1, [9.0])], "src_ip string, cluster int, x array<double>")
     assert dict(E.silhouette_points(df, "src_ip").select("src_ip", "silhouette").collect())["c"] == 0.0
