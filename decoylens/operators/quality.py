@@ -21,14 +21,17 @@ def _verdict(good: Column, bad: str = "warn") -> Column:
     return F.when(good, "ok").otherwise(bad)
 
 
-def schema_report(spark: SparkSession, df: DataFrame, expected: Sequence[str]) -> DataFrame:
-    """Expected columns and the types they have; absent ones are errors, others are listed."""
+def schema_report(df: DataFrame, expected: Sequence[str]) -> DataFrame:
+    """Expected columns, the types they have and the values they hold over all rows; absent ones are errors, others are listed.
+
+    All columns are counted in one aggregate, so the table is read once.
+    """
     types = dict(df.dtypes)
-    rows = [(c, types.get(c, ""), "ok" if c in types else "missing") for c in expected]
-    rows += [(c, t, "extra") for c, t in types.items() if c not in expected]
-    return spark.createDataFrame(rows, "subject string, type string, status string").select(
-        F.lit("schema").alias("check"), "subject", "type", "status"
-    )
+    found = [(c, types.get(c, ""), "ok" if c in types else "missing") for c in expected]
+    found += [(c, t, "extra") for c, t in types.items() if c not in expected]
+    count = lambda c: F.count(df[c]) if c in types else F.lit(None).cast("bigint")
+    rows = [F.struct(F.lit(c).alias("subject"), F.lit(t).alias("type"), F.lit(s).alias("status"), count(c).alias("n_values")) for c, t, s in found]
+    return df.agg(F.array(*rows).alias("r")).select(F.inline("r")).select(F.lit("schema").alias("check"), "subject", "type", "status", "n_values")
 
 
 def row_count_report(df: DataFrame, name: str, low: int, high: int) -> DataFrame:

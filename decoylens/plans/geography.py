@@ -11,6 +11,7 @@ from .adapters import (
     BLOCKS, CITIES, EV, FL, SECOND, attack_events, countries, flows, geo_blocks, geo_networks, resolved_sql, second_blocks, sensor_cities, with_ctes,
 )
 from .catalog import query
+from .rollups import sample_facts_of
 
 E_ = with_ctes(EV)
 EG = with_ctes(EV, BLOCKS, resolved_sql("ge", "ev"))
@@ -203,8 +204,19 @@ def resolution_stats(spark, sf):
     return G.resolution_stats(counted, weight="weight").withColumn("resolve_ratio", F.round("resolve_ratio", 6))
 
 
-@query("a27_sampled_points")
-def sampled_points(spark, sf):
+def _valid_points(spark, sf):
     rows = flows(spark, sf).select("flow_id", "src_ip")
     points = rows.join(_resolved(spark, sf, rows).select("src_ip", "latitude", "longitude"), "src_ip")
-    return sampling.sample_rows(points.filter(valid_point("latitude", "longitude")), "flow_id", 5000)
+    return points.filter(valid_point("latitude", "longitude"))
+
+
+@query("a27_sampled_points")
+def sampled_points(spark, sf):
+    return sampling.sample_rows(_valid_points(spark, sf), "flow_id", 5000)
+
+
+@query("a27b_sample_facts", FG + """
+, p AS (SELECT flow_id FROM fl JOIN gf USING (src_ip) WHERE latitude <> 0 AND longitude <> 0 AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180)
+SELECT least(count(*), 5000) AS n, least(count(*), 5000) AS n_distinct, least(count(*), 5000) AS n_members, count(*) AS n_source FROM p""")
+def sampled_point_facts(spark, sf):
+    return sample_facts_of(sampled_points(spark, sf), _valid_points(spark, sf))

@@ -18,9 +18,14 @@ FLOW_COLUMNS = (
 )
 
 
-@query("v01_schema_report")
+_FLOW_TYPES = {"timestamp": "timestamp", "date": "date", "duration": "double", "hour": "int", "src_port": "int", "dst_port": "int", "orig_bytes": "bigint", "resp_bytes": "bigint"}
+
+
+@query("v01_schema_report", F_ + "\nUNION ALL ".join(
+    f"""SELECT 'schema' AS "check", '{c}' AS subject, '{'' if c == 'service' else _FLOW_TYPES.get(c, 'string')}' AS type, '{status}' AS status, {'CAST(nullif(count(*), count(*)) AS BIGINT)' if c == 'service' else f'count("{c}")'} AS n_values FROM fl"""
+    for names, status in ((FLOW_COLUMNS, "ok"), (("flow_id", "orig_bytes", "resp_bytes"), "extra")) for c, status in [(n, "missing" if n == "service" else status) for n in names]))
 def schema_report(spark, sf):
-    return Q.schema_report(spark, flows(spark, sf), FLOW_COLUMNS)
+    return Q.schema_report(flows(spark, sf), FLOW_COLUMNS)
 
 
 @query("v02_row_count", EF + """

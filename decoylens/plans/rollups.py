@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S
 from ..functions.vocabulary import TARGET_EVENTS
-from ..operators import quality as Q, rollups as R, sampling
+from ..operators import features as FT, quality as Q, rollups as R, sampling
 from ..operators.ordered import centred_mean, first_n, share, with_total_share
 from ..sources.logs import is_allowed
 from .adapters import EV, FL, attack_events, flows, table, with_ctes
@@ -105,6 +105,16 @@ def drop_null_columns(spark, sf):
     return kept.agg(F.lit(",".join(empty)).alias("dropped"), F.count(F.lit(1)).alias("n"), F.count("username").alias("usernames"))
 
 
+@query("p07_numeric_features", F_ + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS feature, count({c}) AS n, round(CAST(sum({c}) AS DOUBLE), 3) AS total FROM fl" for c in ("src_port", "dst_port", "duration", "orig_bytes", "resp_bytes")))
+def numeric_features(spark, sf):
+    """The columns fit for a model, chosen by type and name, with what they hold."""
+    rows = flows(spark, sf).withColumn("_reference", F.lit(1))
+    chosen = FT.numeric_features(rows, exclude=("hour",))
+    totals = [F.struct(F.lit(c).alias("feature"), F.count(c).alias("n"), F.round(F.sum(c).cast("double"), 3).alias("total")) for c in chosen]
+    return rows.agg(F.array(*totals).alias("r")).select(F.inline("r"))
+
+
 @query("p09_top_set_filter", F_ + """
 , top AS (SELECT dst_port FROM fl GROUP BY dst_port ORDER BY count(*) DESC, dst_port LIMIT 10)
 SELECT src_ip, count(*) AS n FROM fl WHERE dst_port IN (SELECT dst_port FROM top) GROUP BY src_ip""")
@@ -306,6 +316,20 @@ def uniform_sample(spark, sf):
     return sampling.sample_rows(flows(spark, sf).select("flow_id", "src_ip", "dst_port"), "flow_id", 1000)
 
 
+@query("t04b_sample_facts", F_ + "SELECT least(count(*), 1000) AS n, least(count(*), 1000) AS n_distinct, least(count(*), 1000) AS n_members, count(*) AS n_source FROM fl")
+def sample_facts(spark, sf):
+    """The sample's size, that no row is in it twice, and that all its rows are the source's."""
+    source = flows(spark, sf).select("flow_id", "src_ip", "dst_port")
+    return sample_facts_of(uniform_sample(spark, sf), source)
+
+
+def sample_facts_of(sample, source):
+    """Size, distinct rows and rows of the source of a sample, and the source's size."""
+    keyed = sample.join(source.select("flow_id", F.lit(1).alias("_in")), "flow_id", "left")
+    facts = keyed.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("flow_id").alias("n_distinct"), F.count("_in").alias("n_members"))
+    return facts.select("*", source.agg(F.count(F.lit(1))).scalar().alias("n_source"))
+
+
 @query("t05_group_cap", F_ + """
 , r AS (SELECT proto, flow_id, row_number() OVER (PARTITION BY proto ORDER BY "timestamp", flow_id) AS rank FROM fl)
 SELECT proto, flow_id, rank FROM r WHERE rank <= 200""")

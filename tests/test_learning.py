@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -122,6 +123,43 @@ def test_classifiers_learn(spark):
     assert all(r.weighted_f1 > 0.85 and r.fit_seconds > 0 for r in table)
 
 
+def test_a_grown_forest_answers_for_tighter_limits(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 4))
+    y = ((x[:, 0] + x[:, 1] > 0).astype(int) + (rng.random(300) < 0.2)) % 3
+    df = spark.createDataFrame([(f"p{i}", "abc"[c], float(c), [float(v) for v in r]) for i, (r, c) in enumerate(zip(x, y))], "src_ip string, label string, label_id double, x array<double>")
+    df = C.training_set(df.withColumn("features", array_to_vector("x")))
+    model = K.random_forest(12, None).fit(df)
+    forest = K.GrownForest(spark, model)
+    whole = {r.src_ip: int(r.prediction) for r in model.transform(df).select("src_ip", "prediction").collect()}
+    settings = [(12, None, 2), (12, 2, 2), (5, None, 40), (12, 0, 2)]
+    found = forest.predict(x, settings)
+    assert np.mean([whole[f"p{i}"] == found[i, 0] for i in range(300)]) > 0.99  # ties may go another way
+
+    def plain(row, trees, depth, split):
+        votes = np.zeros(3)
+        for tree in range(trees):
+            node, level = forest.first[tree], 0
+            while forest.left[node] >= 0 and forest.count[node] >= split and (depth is None or level < depth):
+                node = forest.left[node] if row[forest.column[node]] <= forest.threshold[node] else forest.right[node]
+                level += 1
+            votes += forest.shares[node]
+        return votes.argmax()
+
+    for k, s in enumerate(settings):
+        assert [plain(row, *s) for row in x] == found[:, k].tolist()
+    table = K.forest_grid(df.filter("src_ip < 'p3'"), df.filter("src_ip >= 'p3'"), "label", {"trees": (4, 12), "depth": (2, None), "min_split": (2, 10)}, folds=3).collect()
+    assert len(table) == 8 and sum(r.is_best for r in table) == 1 and all(0.3 < r.cv_f1 <= 1 and 0.3 < r.test_f1 <= 1 for r in table)
+
+
+def test_weighted_f1_equals_the_report(spark):
+    rng = random.Random(2)
+    pairs = [(float(rng.randrange(3)), float(rng.randrange(3))) for _ in range(200)]
+    counts = pd.DataFrame([(0, a, b, 1) for a, b in pairs], columns=["point", "label", "prediction", "n"]).groupby(["point", "label", "prediction"], as_index=False)["n"].sum()
+    expected = E.weighted_scores(spark.createDataFrame(pairs, "label double, prediction double")).first()["weighted_f1"]
+    assert K.weighted_f1(counts, 1)[0] == pytest.approx(expected)
+
+
 def test_sequence_scenario(spark):
     table = learning.sequence_scenarios(spark, SF, epochs=10, rounds=2, only=("events actor",)).collect()
     assert {r.model for r in table} == {"Perceptron", "Boosted Trees"} and all(0 <= r.f1 <= 1 for r in table)
