@@ -11,7 +11,7 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.rules import bot_score
 from ..functions.scalars import finite
@@ -122,6 +122,22 @@ def centres_in_units(model: KMeansModel, scaling: Scaling, like: DataFrame) -> D
     return raw.withColumns({c: restored(c) for c in scaling.columns})
 
 
+def store_clusters(model: KMeansModel, scaling: Scaling, features: DataFrame, vectors: DataFrame, path: str, key: str = "src_ip") -> None:
+    """Write a clustering for later joins: the model, its centres in units with scores and names, and every address's cluster."""
+    centres = centres_in_units(model, scaling, features)
+    centres = centres.join(name_clusters(centres), "cluster")
+    centres.write.mode("overwrite").parquet(f"{path}/centres")
+    model.write().overwrite().save(f"{path}/model")
+    model.transform(vectors).select(key, "cluster").write.mode("overwrite").parquet(f"{path}/assignment")
+
+
+def stored_clusters(spark: SparkSession, path: str) -> tuple[KMeansModel, DataFrame, DataFrame]:
+    """``(model, centres, assignment)`` as ``store_clusters`` wrote them; the assignment carries the clusters' names."""
+    centres = spark.read.parquet(f"{path}/centres")
+    assignment = spark.read.parquet(f"{path}/assignment").join(centres.select("cluster", "cluster_label"), "cluster")
+    return KMeansModel.load(f"{path}/model"), centres, assignment
+
+
 def name_clusters(centres: DataFrame, cluster: str = "cluster") -> DataFrame:
     """``(cluster, bot_score, cluster_label)``: rank by bot score, highest first."""
     scored = centres.select(cluster, bot_score(centres.columns).alias("bot_score"))

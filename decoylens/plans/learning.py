@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import bot_score
 from ..operators import classify as K, cluster as C, evaluate as E, features as FT, sampling, sequences as SQ
+from ..session import scratch_path
 from .adapters import EV, FL, FLOW_ORDER, attack_events, flows, table, with_ctes
 from .catalog import query
 from .features import (
@@ -317,14 +318,25 @@ def agreement(spark, sf):
     return _rounded(E.agreement(_predictions(spark, sf), "label", "prediction"))
 
 
+def _stored_clusters(spark, sf):
+    """The two-cluster solution, written once and read back."""
+    features, vectors, scaling = _session_vectors(spark, sf)
+    path = scratch_path(spark, "clusters")
+    C.store_clusters(C.best_kmeans(vectors, 2, inits=20), scaling, features, vectors, path)
+    return C.stored_clusters(spark, path)
+
+
+@query("j05b_rule_and_cluster")
+def rule_and_cluster(spark, sf):
+    """Rule labels joined with the names of the stored clusters, one row per address that has both."""
+    _, _, assignment = _stored_clusters(spark, sf)
+    rules = FT.labelled_sessions(attack_events(spark, sf)).select("src_ip", F.col("label").alias("rule_label"))
+    return rules.join(assignment.select("src_ip", "cluster_label"), "src_ip")
+
+
 @query("m25b_rule_against_clusters")
 def rule_against_clusters(spark, sf):
-    features, vectors, scaling = _session_vectors(spark, sf)
-    model = C.best_kmeans(vectors, 2, inits=20)
-    names = C.name_clusters(C.centres_in_units(model, scaling, features)).select("cluster", "cluster_label")
-    assigned = model.transform(vectors).join(names, "cluster").select("src_ip", "cluster_label")
-    rules = FT.labelled_sessions(attack_events(spark, sf)).select("src_ip", "label")
-    return E.agreement(rules.join(assigned, "src_ip"), "label", "cluster_label")
+    return E.agreement(rule_and_cluster(spark, sf), "rule_label", "cluster_label")
 
 
 # --- windows, sequences, comparison --------------------------------------------------------------------

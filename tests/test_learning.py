@@ -69,6 +69,24 @@ def test_kmeans_is_repeatable_and_best_of_inits(blobs):
     assert sweep.filter("is_best = 1").first().k == 3
 
 
+def test_stored_clusters_are_those_of_the_model(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(f"{g}-{i}", float(rng.normal(50 * g, 1)), float(rng.normal(9 * g, 1))) for g in (1, 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "src_ip string, total_attempts double, hour_entropy double")
+    columns = ["total_attempts", "hour_entropy"]
+    scaled, scaling = C.preprocess(df, columns)
+    vectors = C.training_set(C.assemble(scaled, columns).select("src_ip", "features"))
+    model = C.best_kmeans(vectors, 2, 2)
+    C.store_clusters(model, scaling, df, vectors, str(tmp_path / "c"))
+    again, centres, assignment = C.stored_clusters(spark, str(tmp_path / "c"))
+    expected = dict(model.transform(vectors).select("src_ip", "cluster").collect())
+    assert dict(assignment.select("src_ip", "cluster").collect()) == expected == dict(again.transform(vectors).select("src_ip", "cluster").collect())
+    names = dict(centres.select("cluster", "cluster_label").collect())
+    assert sorted(names.values()) == ["Bot", "Manual"]
+    assert {r.src_ip: r.cluster_label for r in assignment.collect()} == {ip: names[c] for ip, c in expected.items()}
+    assert len({(ip[0], label) for ip, label in assignment.select("src_ip", "cluster_label").collect()}) == 2
+
+
 def test_centres_return_to_units(spark):
     rows = [(f"{i}", float(i % 7) * 100, float(i % 3)) for i in range(60)]
     df = spark.createDataFrame(rows, "src_ip string, big double, small double")
