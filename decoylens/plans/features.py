@@ -492,10 +492,10 @@ def labelled_sequences(spark, sf):
 
 @query("m27_sequence_zscore", with_ctes(FL, FLOW_STEPS) + ", m AS (SELECT " + ", ".join(
     f"avg(v{i}) AS a{i}, stddev_pop(v{i}) + 1e-8 AS d{i}" for i in range(8)
-) + " FROM st WHERE CAST(split_part(src_ip, '.', 2) AS INT) % 5 <> 0)\nSELECT src_ip, count(*) AS n_steps, "
+) + " FROM st WHERE coalesce(TRY_CAST(split_part(src_ip, '.', 2) AS INT) % 5 <> 0, true))\nSELECT src_ip, count(*) AS n_steps, "
     + ", ".join(f"round(sum((v{i} - a{i}) / d{i}), 4) AS z{i}" for i in (0, 1, 3, 5)) + " FROM st, m GROUP BY src_ip")
 def sequence_zscore(spark, sf):
-    training = F.split("src_ip", r"\.")[1].cast("int") % 5 != 0
+    training = F.coalesce(F.get(F.split("src_ip", r"\."), F.lit(1)).try_cast("int") % 5 != 0, F.lit(True))
     z = SQ.standardise_sequences(flow_sequences(spark, sf), training)
     total = lambda i: F.aggregate(F.transform("seq", lambda s: s[i]), F.lit(0.0), lambda a, v: a + v)
     return z.select("src_ip", "n_steps", *[F.round(total(i), 4).alias(f"z{i}") for i in (0, 1, 3, 5)])
