@@ -203,15 +203,14 @@ def forest(spark, sf):
 def boosted(spark, sf):
     df, columns, label = _early_table(spark, sf)
     train, test, names = K.prepared(df, columns, label)
-    return K.scored(K.boosted_trees(10, 3, 0.1, len(names)).fit(train), test, "Boosted Trees")
+    return K.scored(K.boosted_trees(30, 6, 0.1, len(names)).fit(train), test, "Boosted Trees")
 
 
 @query("m16b_boosted_search")
 def boosted_search(spark, sf):
     df, columns, label = _flow_table(spark, sf)
-    train, test, _ = K.prepared(df, columns, label)
-    search, table_ = K.boost_search(train, label, {"rounds": (10,), "depth": (3,), "rate": (0.01, 0.1)}, folds=3)
-    return table_.withColumn("test_f1", K.scored(search.bestModel, test, "Boosted Trees").select("weighted_f1").scalar())
+    train, test, names = K.prepared(df, columns, label)
+    return K.boost_grid(train, test, label, len(names), {**K.BOOST_GRID, "rounds": (10, 20)})
 
 
 @query("m17_kernel_svm")
@@ -306,7 +305,7 @@ def importances(spark, sf):
     df, columns, label = _events_table(spark, sf)
     train, _, names = K.prepared(df, columns, label)
     forest = K.importances(spark, K.random_forest().fit(train), columns).select(F.lit("Random Forest").alias("model"), "*")
-    boosted = K.importances(spark, K.boosted_trees(20, 3, 0.1, len(names)).fit(train), columns).select(F.lit("Boosted Trees").alias("model"), "*")
+    boosted = K.importances(spark, K.boosted_trees(30, 6, 0.1, len(names)).fit(train), columns).select(F.lit("Boosted Trees").alias("model"), "*")
     return forest.unionByName(boosted).orderBy("model", F.desc("importance"), "feature")
 
 
@@ -378,17 +377,17 @@ def sequence_scenarios(spark, sf, seq_len: int = SEQ_LEN, epochs: int = 50, roun
 
 @query("m29_sequence_models")
 def sequence_models(spark, sf):
-    return sequence_scenarios(spark, sf, epochs=30, rounds=5)
+    return sequence_scenarios(spark, sf, epochs=30)
 
 
 @query("m29b_sequence_length")
 def sequence_length(spark, sf):
     """The ablation over the sequence length on the hardest scenario."""
-    short, long = (sequence_scenarios(spark, sf, n, epochs=20, rounds=3, only=("events threat",)) for n in (20, 50))
+    short, long = (sequence_scenarios(spark, sf, n, epochs=20, only=("events threat",)) for n in (20, 50))
     return short.unionByName(long)
 
 
 @query("m30_model_comparison")
 def model_comparison(spark, sf):
     df, columns, label = _early_table(spark, sf)
-    return K.compare_models(df.persist(), columns, label, rounds=5)
+    return K.compare_models(df.persist(), columns, label, rounds=20)
