@@ -5,13 +5,15 @@ Phrases are matched on words: A-Z are lower-cased and everything between words i
 punctuation do not hide a notice. Tags are matched on the text itself, since expressions need their brackets, dashes
 and dots. A whole text is scanned in one pass of each automaton.
 
-An expression is operands joined by ``and``, ``or`` and ``with`` (binding: with, and, or; brackets allowed) and ends
-at the line's end or where the grammar ends. ``score`` says how freely the text may be used: each licence family has a
+An expression is operands joined by ``and``, ``or`` (also ``/``) and ``with`` (binding: with, and, or; brackets allowed)
+and ends at the line's end or where the grammar ends. Behind the tags of SPDX (``STRICT_TAGS``) any word is an operand.
+Behind ``license:`` prose is as likely, so there an operand must be a known identifier or a usual short form (GPLv3,
+Apache2, BSD3), and an exception behind ``with`` must have a dash; the first other word ends the expression. ``score`` says how freely the text may be used: each licence family has a
 degree (``DEGREES``), ``and`` takes the lower, ``or`` the higher, and ``with`` an exception half the way up to 1. Over
 a document the lowest of its expressions, or of its notices where it has no expression; 0 where nothing was found.
 
-Defined cases: a null or empty text has no words and no labels, and score 0; an unknown operand of an expression is
-labelled ``other`` and has degree 0.2; a tag without an operand behind it adds nothing; repeated rows and rows with a
+Defined cases: a null or empty text has no words and no labels, and score 0; an unknown operand behind a
+strict tag is labelled ``other`` and has degree 0.2; a tag without an operand behind it adds nothing; repeated rows and rows with a
 null id are scanned like others; an empty table gives no rows; other columns do not matter.
 """
 
@@ -60,41 +62,98 @@ NOTICES = {
     "cc0": "cc0",
     "all rights reserved": "proprietary",
 }
-#: Tags before an expression, lower case.
-TAGS = ("spdx-license-identifier:", "license-expression:", "license:", "licence:")
+#: Tags before an expression, lower case. A tag that ends in a plain one counts as itself.
+STRICT_TAGS = ("spdx-license-identifier:", "license-expression:")
+PLAIN_TAGS = ("license:", "licence:")
 #: How freely a family's works may be used, from 0 to 1.
 DEGREES = {
     "unlicense": 1.0,
     "cc0": 1.0,
+    "wtfpl": 1.0,
+    "pddl": 1.0,
     "isc": 0.95,
     "mit": 0.95,
     "bsd": 0.95,
     "bsl": 0.95,
+    "zlib": 0.95,
+    "libpng": 0.95,
+    "ncsa": 0.95,
+    "postgresql": 0.95,
+    "upl": 0.95,
+    "blueoak": 0.95,
+    "hpnd": 0.95,
+    "w3c": 0.95,
+    "curl": 0.95,
+    "unicode": 0.95,
+    "icu": 0.95,
     "apache": 0.9,
+    "psf": 0.9,
+    "ecl": 0.9,
+    "mulanpsl": 0.9,
+    "ruby": 0.9,
+    "openssl": 0.9,
+    "afl": 0.85,
     "cc-by": 0.85,
+    "odc-by": 0.85,
+    "ofl": 0.8,
+    "ms-pl": 0.8,
     "mpl": 0.7,
+    "artistic": 0.7,
+    "lppl": 0.7,
     "epl": 0.65,
+    "cpl": 0.65,
+    "cddl": 0.65,
     "lgpl": 0.6,
+    "ms-rl": 0.6,
+    "apsl": 0.6,
+    "vim": 0.6,
     "cc-by-sa": 0.55,
+    "eupl": 0.55,
+    "odbl": 0.55,
     "gfdl": 0.5,
     "gpl": 0.45,
+    "osl": 0.45,
+    "cecill": 0.45,
+    "qpl": 0.4,
     "agpl": 0.35,
     "cc-by-nd": 0.3,
     "cc-by-nc": 0.25,
     "cc-by-nc-sa": 0.2,
-    "cc-by-nc-nd": 0.15,
+    "sspl": 0.2,
+    "busl": 0.2,
+    "elastic": 0.2,
     "other": 0.2,
+    "cc-by-nc-nd": 0.15,
     "proprietary": 0.0,
 }
+#: Identifiers whose family has another name.
+ALIASES = {
+    "0bsd": "bsd",
+    "expat": "mit",
+    "x11": "mit",
+    "python": "psf",
+    "psfl": "psf",
+    "boost": "bsl",
+    "mozilla": "mpl",
+    "ccby": "cc-by",
+    "public-domain": "unlicense",
+}
 BINDING = {"or": 1, "and": 2, "with": 3}
-_TOKEN = re.compile(r"[ \t]*([()]|[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?)")
+_VERSION = re.compile(r"v?[0-9]+(\.[0-9]+)*$")
+_TOKEN = re.compile(r"[ \t]*([()/]|[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?)")
 
 
 def family(identifier: str) -> str:
-    """The family of a licence identifier: its longest known prefix of dash-separated parts."""
+    """The family of a licence identifier: its longest known prefix of dash-separated parts, of which the last may end
+    in a version (GPLv3, LGPLv2.1, Apache2)."""
     parts = identifier.lower().rstrip("+").split("-")
-    names = ("-".join(parts[:n]) for n in range(len(parts), 0, -1))
-    return next((n for n in names if n in DEGREES and n != "other"), "other")
+    for n in range(len(parts), 0, -1):
+        name = "-".join(parts[:n])
+        for form in (name, _VERSION.sub("", name)):
+            form = ALIASES.get(form, form)
+            if form in DEGREES and form != "other":
+                return form
+    return "other"
 
 
 def tokens(text: str, at: int) -> Iterator[str]:
@@ -103,18 +162,23 @@ def tokens(text: str, at: int) -> Iterator[str]:
         at = match.end()
 
 
-def postfix(stream: Iterator[str]) -> list[str]:
-    """Shunting-yard: operands and operators in evaluation order, up to where the grammar ends; operators lower case."""
+def postfix(stream: Iterator[str], strict: bool = True) -> list[str]:
+    """Shunting-yard: operands and operators in evaluation order, up to where the grammar ends; operators lower case.
+
+    Unless ``strict``, an operand that names no known licence ends the expression, as prose does.
+    """
     out: list[str] = []
     held: list[str] = []
     operand_next = True
     for token in stream:
-        low = token.lower()
+        low = "or" if token == "/" else token.lower()
         if operand_next:
             if token == "(":
                 held.append(token)
             elif token == ")" or low in BINDING:
                 break
+            elif not strict and ("-" not in token if held and held[-1] == "with" else family(token) == "other"):
+                break
             else:
                 out.append(token)
                 operand_next = False
@@ -160,7 +224,7 @@ def automata() -> tuple:
     phrases, tags = ahocorasick.Automaton(), ahocorasick.Automaton()
     for phrase, label in (NOTICES | BASE_PHRASES).items():
         phrases.add_word(f" {phrase} ", (label, phrase in BASE_PHRASES, len(phrase) + 1))
-    for tag in TAGS:
+    for tag in STRICT_TAGS + PLAIN_TAGS:
         tags.add_word(tag, tag)
     phrases.make_automaton()
     tags.make_automaton()
@@ -183,11 +247,11 @@ def scan_text(text: str | None) -> dict:
     places = sorted(bisect_right(starts, at + 1) - 1 for at, _, base in found if base)
     plain = data.decode("latin-1")
     expressions = []
-    last = -1
+    strict: dict[int, bool] = {}
     for end, tag in tags.iter(data.lower().decode("latin-1")):
-        if end != last:  # a tag that ends another one
-            expressions.append(evaluate(postfix(tokens(plain, end + 1))))
-        last = end
+        strict[end] = strict.get(end, False) or tag in STRICT_TAGS  # one tag may end another one
+    for end, any_word in strict.items():
+        expressions.append(evaluate(postfix(tokens(plain, end + 1), any_word)))
     expressions = [e for e in expressions if e[1]]
     notices = {label for _, label, _ in found}
     labels = notices.union(*(names for _, names in expressions))
