@@ -14,8 +14,9 @@ sets. Equal sets are one node, told apart by 128 bits; nodes are numbered as the
 
 A bucket of up to ``TASK_NODES`` nodes is one task, and buckets of the same nodes are one. In a task, links are walked
 outwards from a node, and what was reached is not compared again. A larger bucket is dealt in slices that all hold the
-same ``PIVOTS`` nodes, so what hangs together with a pivot in any slice hangs together; the nodes that do not
-(leftovers) are compared with all other slices. So a crowd of near copies costs a pass over it and one over its loners.
+same ``PIVOTS`` nodes, so what hangs together with one pivot in any slice hangs together. The largest such part of a bucket is
+connected; all other nodes (leftovers, those that hang together with other pivots too) are compared with all other
+slices. So a crowd of near copies costs a pass over it and one over its loners.
 
 Defined cases: null texts, empty ones and those without words have no shingles, link with nothing and are components of
 their own; a text of fewer words than a shingle is one shingle; rows with a null id take part and never name a
@@ -194,23 +195,31 @@ def connect(rows: pa.Table) -> pa.Table:
 
 
 def connect_slice(rows: pa.Table) -> pa.Table:
-    """Links within a slice, and as ``loner`` its nodes that hang together with no pivot."""
+    """Links within a slice; then each ``node`` dealt to it, and each of its pivots, with the ``head`` it hangs together with."""
     group = Group.of(rows)
-    marked = {n for n, p in zip(rows.column("node").to_pylist(), rows.column("pivot").to_pylist()) if p}
+    flags = list(zip(rows.column("node").to_pylist(), rows.column("pivot").to_pylist()))
+    marked, dealt = {n for n, p in flags if p}, {n for n, p in flags if not p}
     pivot = np.array([n in marked for n in group.names])
     parts = group.walk(np.argsort(~pivot, kind="stable"))
-    left = [i for h, part in parts if not pivot[h] for i in (h, *part)]
-    key = rows.column("key")[0].as_py()
     pairs = [(group.names[h], group.names[i]) for h, part in parts for i in part]
-    return _link_table(pairs, loner=[group.names[i] for i in left], key=[key] * len(left), n=group.sizes[left].tolist())
+    heads = [(i, h) for h, part in parts for i in (h, *part)]
+    told = [(i, h, p) for i, h in heads for p, of in ((0, dealt), (1, marked)) if group.names[i] in of]
+    key, piece = (rows.column(c)[0].as_py() for c in ("key", "slice"))
+    return _link_table(
+        pairs, key=[key] * len(told), slice=[piece] * len(told), node=[group.names[i] for i, _, _ in told],
+        n=[int(group.sizes[i]) for i, _, _ in told], head=[group.names[h] for _, h, _ in told],
+        hung=[int(pivot[h]) for _, h, _ in told], pivot=[p for _, _, p in told],
+    )
 
 
 def connect_left(rows: pa.Table) -> pa.Table:
-    """Links between the leftovers of a chunk and the nodes of a slice."""
+    """Links between the leftovers of a chunk and the nodes of a slice that hang together with other heads."""
     group = Group.of(rows)
-    marked = {n for n, p in zip(rows.column("node").to_pylist(), rows.column("pivot").to_pylist()) if p}
-    every = np.arange(len(group.names))
-    return _link_table([(name, group.names[j]) for i, name in enumerate(group.names) if name in marked for j in group.near(i, every[every != i])])
+    columns = [rows.column(c).to_pylist() for c in ("node", "pivot", "head")]
+    marked, head = {n for n, p, _ in zip(*columns) if p}, {n: h for n, _, h in zip(*columns)}
+    heads = np.array([head[n] for n in group.names])
+    left = [i for i, n in enumerate(group.names) if n in marked]
+    return _link_table([(group.names[i], group.names[j]) for i in left for j in group.near(i, np.flatnonzero(heads != heads[i]))])
 
 
 def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -241,20 +250,27 @@ def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFram
     pivots = pivots.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))).withColumn("pivot", F.lit(True))
     cut = members.withColumn("slice", F.pmod(rank("node"), F.col("slices")))
     dealt = cut.unionByName(pivots).select("key", "slice", "node", "pivot")
-    found = with_sets(dealt).groupBy("key", "slice").applyInArrow(connect_slice, f"{LINKS}, loner long, key long, n long")
-    found = stored(found, "slice-links")
-    result = result.unionByName(found.filter("loner is null").select("a", "b"))
-
-    left = found.filter("loner is not null").select("key", F.col("loner").alias("node"), "n")
+    told = f"{LINKS}, key long, slice long, node long, n long, head long, hung long, pivot long"
+    found = stored(with_sets(dealt).groupBy("key", "slice").applyInArrow(connect_slice, told), "slice-links")
+    result = result.unionByName(found.filter("node is null").select("a", "b"))
+
+    # All slices hold the same pivots, so what hangs together with one of them in any slice hangs together: of each
+    # bucket the largest such part is connected. All other nodes have yet to meet the other slices.
+    dealt = found.filter("pivot = 0")
+    core = dealt.filter("hung = 1").groupBy("key", "head").agg(F.count(F.lit(1)).alias("size"))
+    core = core.groupBy("key").agg(F.max(F.struct("size", "head"))["head"].alias("node"))
+    core = found.filter("pivot = 1").join(core, ["key", "node"]).select("key", "slice", F.col("head").alias("core"))
+    left = dealt.join(core, ["key", "slice"]).filter("head <> core").select("key", "node", "n", "head", F.col("slice").alias("own"))
+    left = stored(left, "slice-leftovers")
     chunks = F.greatest(F.ceil(F.count(F.lit(1)) / TASK_NODES), F.ceil(F.sum("n") / TASK_SHINGLES)).alias("chunks")
     chunks = stored(left.groupBy("key").agg(chunks), "left-chunks")
     if chunks.isEmpty():
         return result
     number = lambda column: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(column) - 1))
     loners = left.join(chunks, "key").join(large, "key").withColumn("chunk", F.pmod(F.xxhash64(F.lit(SEED + 1), "node"), F.col("chunks")))
-    loners = loners.withColumn("slice", number("slices")).withColumn("pivot", F.lit(True))
-    others = cut.join(chunks, "key").withColumn("chunk", number("chunks"))
-    names = ["key", "slice", "chunk", "node", "pivot"]
+    loners = loners.withColumn("slice", number("slices")).filter("slice <> own").withColumn("pivot", F.lit(True))
+    others = dealt.drop("pivot").withColumn("pivot", F.lit(False)).join(chunks, "key").withColumn("chunk", number("chunks"))
+    names = ["key", "slice", "chunk", "node", "pivot", "head"]
     pairs = with_sets(loners.select(names).unionByName(others.select(names)))
     return result.unionByName(pairs.groupBy("key", "slice", "chunk").applyInArrow(connect_left, LINKS))
 
