@@ -18,7 +18,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8) the document with the smallest id stays."""
+    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8) the document with the smallest id stays.
+
+    Fingerprint groups and, for what those miss, MinHash bands find the pairs; whole shingle sets decide."""
     return neardup.deduplicate(docs)
 
 

@@ -1,8 +1,11 @@
-"""Near-duplicate groups by the Jaccard similarity of word shingles: MinHash bands find pairs, whole sets decide.
+"""Near-duplicate groups by the Jaccard similarity of word shingles: fingerprints and MinHash bands find pairs, whole sets decide.
 
 Two documents are linked if their sets of five-word shingles (XXH64, seed 42, words as in ``simhash``) overlap by at
 least four fifths of their union; groups are what links connect. Equal sets are one node.
 
+The fingerprints of ``simhash`` (three words, radius 3) are linked first: documents of one of its groups are a bucket,
+however far apart. They miss some pairs, so buckets of MinHash bands add to them.
+
 Each node enters ``BANDS`` buckets, one per band of ``BAND_ROWS`` MinHash values. Two sets of similarity s share no
 bucket with a chance of (1 - s^4)^30: 1.4e-7 at 0.8, less above. Every pair of a bucket is decided on the whole sets,
 however large the bucket: one above the limit of nodes or shingles is dealt in slices, and each pair of slices is a
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
+from . import simhash
 from .simhash import SEED, shingle_hashes
 from .tables import row_key, stored
 
@@ -98,9 +102,14 @@ def links_within(nodes: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int],
     return heads, tails
 
 
-def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links ``a, b`` of distinct ``node, n, bands``; ``texts`` gives a ``text`` of each of the ``node`` it gets."""
+def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], groups: DataFrame | None = None) -> DataFrame:
+    """Links ``a, b`` of distinct ``node, n, bands``; ``texts`` gives a ``text`` of each of the ``node`` it gets.
+
+    ``groups``, distinct ``node, n, key``, are more buckets.
+    """
     entries = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    if groups is not None:
+        entries = entries.unionByName(groups.select("node", "n", F.lit(BANDS).alias("band"), "key"))
     sizes = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).filter("size > 1")
     slices = F.greatest(F.ceil(F.col("size") / SLICE_NODES), F.ceil(F.col("total") / SLICE_SHINGLES))
     sizes = stored(sizes.select("band", "key", slices.alias("slices")), "band-sizes")
@@ -142,7 +151,10 @@ def groups(docs: DataFrame) -> DataFrame:
         same = keyed["_id"].eqNullSafe(few["first_id"]) & (keyed["_text_key"] == few["first_key"])
         return keyed.join(few, same).dropDuplicates(["node"]).select("text")
 
-    roots = components(links(nodes.select("node", "n", "bands"), texts))
+    prints = simhash.groups(docs).select("_id", "_text_key", F.col("group").alias("key")).distinct()
+    near = rows.filter("n > 0").join(prints, rows["_id"].eqNullSafe(prints["_id"]) & (rows["_text_key"] == prints["_text_key"]))
+    near = stored(near.select("node", "n", "key").distinct(), "fingerprint-buckets")
+    roots = components(links(nodes.select("node", "n", "bands"), texts, near))
     named = nodes.select(F.col("node").alias("own")).join(roots, F.col("own") == roots["node"], "left")
     named = named.select(F.col("own").alias("node"), F.coalesce("root", "own").alias("group"))
     return rows.join(named, "node").select("_id", "_text_key", "group")
