@@ -28,6 +28,24 @@ def written_as(lines, folder, name, per_file: int = 0):
         store.rename(part, jvm.org.apache.hadoop.fs.Path(root, name.format(number)))
 
 
+def written_by(lines, folder, by, name):
+    """Write lines in one pass as text files in a folder per values of ``by``; only names go through the driver."""
+    spark = lines.sparkSession
+    lines.write.partitionBy(*by).text(folder)
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    below = [root]
+    for _ in by:  # a folder ``column=value`` becomes ``value``
+        found = [s.getPath() for at in below for s in store.listStatus(at) if s.isDirectory()]
+        below = [jvm.org.apache.hadoop.fs.Path(at.getParent(), at.getName().partition("=")[2]) for at in found]
+        for old, new in zip(found, below):
+            store.rename(old, new)
+    for at in below:
+        for number, part in enumerate(sorted((s.getPath() for s in store.listStatus(at)), key=str)):
+            store.rename(part, jvm.org.apache.hadoop.fs.Path(at, name.format(number)))
+
+
 def flow_lines(spark, sf, *more):
     """The flows as raw log lines, with indented, comment, blank and cut-off lines among them, and ``more`` columns."""
     c = F.col
@@ -89,12 +107,8 @@ def first_days_read(spark, sf):
     root = scratch_path(spark, "sensor-logs")
     lines = flow_lines(spark, sf, "dst_ip", F.year("date").alias("year"))
     sensor = F.substring("dst_ip", 11, 9).cast("int") % 3
-    years = [r[0] for r in flows(spark, sf).select(F.year("date").alias("y")).distinct().orderBy("y").collect()]
-    for number in range(3):
-        for year in years:  # a few dozen folders
-            here = lines.filter((sensor == number) & (F.col("year") == year)).select("value")
-            if not here.isEmpty():
-                written_as(here, f"{root}/sensor-{number}/{year}", "conn.{0}.log")
+    lines = lines.filter("year is not null").select("value", F.concat(F.lit("sensor-"), sensor.cast("string")).alias("sensor"), "year")
+    written_by(lines, root, ["sensor", "year"], "conn.{0}.log")
     rows, _ = L.read_flow_logs(spark, root, max_days=2)
     return rows.groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src_ip").alias("ips"))
 
