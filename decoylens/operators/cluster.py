@@ -85,12 +85,23 @@ def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> Da
     return VectorAssembler(inputCols=list(columns), outputCol=out).transform(df)
 
 
+def fitted_starts(vectors: DataFrame, ks: Iterable[int], inits: int, max_iter: int = 300, seed: int = 42) -> dict[int, list[KMeansModel]]:
+    """The models of ``inits`` seeds for every k, in the order of the seeds; pass a ``training_set``.
+
+    All starts share one pool, so none waits for the last start of another k. A fit gets the rows as a view of the
+    cached table: then it keeps them decoded, with their norms, while it runs.
+    """
+    view = vectors.select("features")
+    start = lambda one: KMeans(k=one[0], seed=seed + one[1], maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(view)
+    starts = [(k, i) for k in ks for i in range(inits)]
+    with ThreadPool(max(1, min(len(starts), PARALLEL_FITS))) as pool:  # each start is a chain of small jobs
+        models = pool.map(inheritable_thread_target(vectors.sparkSession)(start), starts, chunksize=1)
+    return {k: [model for (own, _), model in zip(starts, models) if own == k] for k, _ in starts}
+
+
 def best_kmeans(vectors: DataFrame, k: int, inits: int = 10, max_iter: int = 300, seed: int = 42) -> KMeansModel:
     """The model with the least training cost over ``inits`` seeds; pass a ``training_set``."""
-    start = lambda i: KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(vectors)
-    with ThreadPool(min(inits, PARALLEL_FITS)) as pool:  # each start is a chain of small jobs
-        models = pool.map(inheritable_thread_target(vectors.sparkSession)(start), range(inits))
-    return min(models, key=lambda model: model.summary.trainingCost)
+    return min(fitted_starts(vectors, [k], inits, max_iter, seed)[k], key=lambda model: model.summary.trainingCost)
 
 
 def k_sweep(vectors: DataFrame, ks: Iterable[int] = range(2, 11), inits: int = 10, key: str = "src_ip") -> DataFrame:
@@ -100,8 +111,8 @@ def k_sweep(vectors: DataFrame, ks: Iterable[int] = range(2, 11), inits: int = 1
     """
     spark = vectors.sparkSession
     fitted, stacked = [], []
-    for k in ks:
-        model = best_kmeans(vectors, k, inits)
+    for k, models in fitted_starts(vectors, ks, inits).items():
+        model = min(models, key=lambda model: model.summary.trainingCost)
         fitted.append((k, float(model.summary.trainingCost)))
         stacked.append(model.transform(vectors).select(F.lit(k).alias("k"), key, "cluster", vector_to_array("features").alias("x")))
     points = reduce(DataFrame.unionByName, stacked)

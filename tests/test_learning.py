@@ -3,8 +3,10 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 import harness
@@ -200,3 +202,18 @@ def test_roc_of_crowded_and_unbounded_scores(spark):
     df = spark.createDataFrame(rows, "label double, score double")
     expected = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", numBins=0).evaluate(df)
     assert E.roc_auc(df, "label", "score").first()[0] == pytest.approx(expected)
+
+
+def test_all_starts_of_a_sweep_share_one_pool(spark, monkeypatch):
+    """Each k had a pool of its own, and its last start kept the others waiting."""
+    rng = np.random.default_rng(4)
+    rows = [(str(i), Vectors.dense(rng.normal(i % 4 * 3, 1, 3))) for i in range(80)]
+    vectors = C.training_set(spark.createDataFrame(rows, ["src_ip", "features"]))
+    pools = []
+    monkeypatch.setattr(C, "ThreadPool", lambda n, make=C.ThreadPool: pools.append(n) or make(n))
+    swept = {r["k"]: r["inertia"] for r in C.k_sweep(vectors, range(2, 4), inits=3).collect()}
+    assert pools == [6]
+    for k, inertia in swept.items():
+        costs = [KMeans(k=k, seed=42 + i, maxIter=300).fit(vectors).summary.trainingCost for i in range(3)]
+        assert inertia == pytest.approx(min(costs), rel=1e-12)
+    vectors.unpersist()
