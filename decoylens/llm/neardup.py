@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .components import components
 from . import simhash
 from .simhash import SEED, shingle_hashes
-from .tables import row_key, stored
+from .tables import PLAIN_KEY, of_rows, plain_key, row_key, stored
 
 SHINGLE = 5
 #: Least overlap as a part of the union, in whole numbers.
@@ -143,13 +143,12 @@ def groups(docs: DataFrame) -> DataFrame:
     one = F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_text_key")).alias("one")
     nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), one)
     nodes = stored(nodes, "sketch-nodes")
-    first = nodes.select("node", F.col("one._id").alias("first_id"), F.col("one._text_key").alias("first_key"))
-    keyed = docs.select(*row_key(docs), "text")
+    first = nodes.select("node", "one._id", "one._text_key").select("node", *plain_key())
+    keyed = docs.select(*row_key(docs), "text").select("text", *plain_key())
 
     def texts(wanted: DataFrame) -> DataFrame:
-        few = first.join(wanted, "node")
-        same = keyed["_id"].eqNullSafe(few["first_id"]) & (keyed["_text_key"] == few["first_key"])
-        return keyed.join(few, same).dropDuplicates(["node"]).select("text")
+        few = first.join(wanted, "node").select(*PLAIN_KEY)
+        return keyed.join(few, PLAIN_KEY, "left_semi").dropDuplicates(PLAIN_KEY).select("text")
 
     prints = simhash.groups(docs).select("_id", "_text_key", F.col("group").alias("key")).distinct()
     near = rows.filter("n > 0").join(prints, rows["_id"].eqNullSafe(prints["_id"]) & (rows["_text_key"] == prints["_text_key"]))
@@ -164,6 +163,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each group, the one with the smallest id (null only where there is no other); columns as before."""
     member = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_text_key")
     first = groups(docs).groupBy("group").agg(F.min(member).alias("first")).select("first._id", "first._text_key")
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), *row_key(docs))
-    kept = rows.join(first, rows["_id"].eqNullSafe(first["_id"]) & (rows["_text_key"] == first["_text_key"]), "left_semi")
-    return kept.dropDuplicates(["_id", "_text_key"]).select("_doc.*")
+    return of_rows(docs, first)

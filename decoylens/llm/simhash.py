@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
-from .tables import row_key, stored
+from .tables import of_rows, row_key, stored
 
 BITS = 64
 SEED = 42
@@ -156,9 +156,7 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, the one with the smallest id (null only where there is no other); columns as before."""
     member = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_text_key")
     first = groups(docs, **options).groupBy("group").agg(F.min(member).alias("first")).select("first._id", "first._text_key")
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), *row_key(docs))
-    kept = rows.join(first, rows["_id"].eqNullSafe(first["_id"]) & (rows["_text_key"] == first["_text_key"]), "left_semi")
-    return kept.dropDuplicates(["_id", "_text_key"]).select("_doc.*")
+    return of_rows(docs, first)
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -41,6 +41,21 @@ def same_key(left: DataFrame, right: DataFrame) -> Column:
     return left["_id"].eqNullSafe(right["_id"]) & (left["_text_key"] == right["_text_key"])
 
 
+def plain_key() -> list[Column]:
+    """``_id, _text_key`` as columns without nulls, so that joins and groupings by them share one shuffle."""
+    return [F.col("_id").isNull().alias("_no_id"), F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_own_id"), F.col("_text_key")]
+
+
+PLAIN_KEY = ["_no_id", "_own_id", "_text_key"]
+
+
+def of_rows(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The documents among the row keys ``first`` (``_id, _text_key``), repeated rows once. Texts are shuffled once."""
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), *row_key(docs)).select("_doc", *plain_key())
+    kept = rows.join(first.select(*plain_key()), PLAIN_KEY, "left_semi")
+    return kept.dropDuplicates(PLAIN_KEY).select("_doc.*")
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """Write a table to the cluster's shared folder and read it again: later jobs start from files, not from lineage."""
     path = scratch_path(frame.sparkSession, name)

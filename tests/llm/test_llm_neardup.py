@@ -7,7 +7,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from decoylens.llm import neardup
+from decoylens.llm import neardup, tables
 
 VOCABULARY = [f"w{i}" for i in range(3000)]
 
@@ -76,3 +76,18 @@ def test_rows_without_words_or_ids(spark):
     assert kept.columns == frame.columns
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(3, text), (None, docs[4][1]), (7, None)], key=str)
     assert neardup.deduplicate(frame.limit(0)).count() == 0
+
+
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    """Keeping the first documents and dropping repeated rows took two shuffles of whole documents."""
+    docs = cases.documents(spark, [(5, "one two"), (3, "one two"), (3, "one two"), (None, "alone"), (None, "alone"), (0, ""), (None, "")])
+    first = docs.filter("doc_id is null or doc_id = 3").select(*tables.row_key(docs))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = tables.of_rows(docs, first)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("LeftSemi")]
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, ""), (0, "alone"), (3, "one two")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
