@@ -16,7 +16,7 @@ it under a name of its own attempt and renames it at the end: a repeated or lost
 folder is reached by ``pyarrow.fs`` from its address, which must be one that all executors share.
 
 Texts are cut into pieces at single blanks between other characters and at single line breaks, where byte-level
-pre-tokenising always cuts, and the tokenizers library encodes each distinct piece (without the mark it may end in,
+pre-tokenising always cuts, and the tokenizers library encodes each distinct piece (without the signs it may end in,
 another place of certain cuts); a bounded cache keeps them.
 
 Defined cases: a null or empty text is the end id alone; rows with a null id come first and keep their null; rows
@@ -32,10 +32,10 @@ import struct
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -47,9 +47,10 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Pieces in each of the two generations of a worker's cache, at about 200 bytes each.
 CACHE_PIECES, CACHE_PIECE_CHARS = 300_000, 64
-MARKS = ".,;:!?"
+#: ASCII signs but the apostrophe, which may begin a token with letters behind it, and those of special tokens.
+SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 IDS_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-BATCH_CHARS, BATCH_DOCS = 1 << 20, 4096
+BATCH_CHARS, BATCH_DOCS = 1 << 22, 4096
 _RUN = re.compile(r"\s\s")
 #: Letters in every version of Unicode.
 _LATIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
@@ -83,6 +84,15 @@ def pieces(text: str) -> list[str]:
     return parts[not parts[0] : len(parts) - (not parts[-1])]
 
 
+def cut(texts: Sequence[str | None]) -> pa.ListArray:
+    """The ``pieces`` of every text, and perhaps empty ones."""
+    texts = [t or "" for t in texts]
+    if any("\0" in t for t in texts):
+        return pa.array(map(pieces, texts), pa.list_(pa.large_string()))
+    marked = ["\0".join(_CUT.split(t)) if _RUN.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0") for t in texts]
+    return pc.split_pattern(pa.array(marked, pa.large_string()), "\0")
+
+
 class Generations(dict):
     """A bounded cache in two generations: what is asked for moves to the young one, so common pieces outlive rare ones."""
 
@@ -110,36 +120,45 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.packed = [struct.pack("<I", i) for i in range(1 + max(self.tokenizer.get_vocab().values()))]
         self.known = Generations(CACHE_PIECES)
 
-    @staticmethod
-    def _packed(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Encode pieces that are not known. A mark after a final letter is always a token of its own."""
-        marked = {p: p[:-1] for p in new if len(p) > 1 and p[-1] in MARKS and p[-2].isalpha()}
-        stems = [p for p in {*new.difference(marked), *marked.values(), *(p[-1] for p in marked)} if p not in self.known and p not in self.known.old]
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Encode pieces that are not known. Signs after a final letter are always a token or tokens of their own."""
+        stems = [p.rstrip(SIGNS) for p in new]
+        signed = {p: s for p, s in zip(new, stems) if len(s) < len(p) and s[-1:].isalpha()}
+        more = {*signed.values(), *(p[len(s) :] for p, s in signed.items())}.difference(new)
+        stems = [p for p in new if p not in signed] + [p for p in more if p not in self.known and p not in self.known.old]
         # A blank and letters are one pre-token, which the library's model encodes without the steps around it.
-        single = filter(_LATIN.fullmatch, stems)
-        tokenize, pack = self.model.tokenize, struct.Struct("<I").pack
+        tokenize, packed, latin = self.model.tokenize, self.packed, _LATIN.fullmatch
         shown = lambda p: p.replace(" ", BLANK) if p.isascii() else p.encode().decode("latin-1").translate(BYTE_LEVEL)
-        codes = {p: b"".join([pack(t.id) for t in tokenize(shown(p))]) for p in single}
+        codes = {p: b"".join([packed[t.id] for t in tokenize(shown(p))]) for p in stems if latin(p)}
         other = [p for p in stems if p not in codes]
-        codes |= {p: self._packed(e.ids) for p, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False))}
+        codes.update((p, b"".join([packed[i] for i in e.ids])) for p, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)))
         of = lambda p: codes[p] if p in codes else self.known[p]
-        codes |= {p: of(stem) + of(p[-1]) for p, stem in marked.items()}
+        codes.update([(p, of(stem) + of(p[len(stem) :])) for p, stem in signed.items()])
         self.known.update((p, c) for p, c in codes.items() if len(p) <= CACHE_PIECE_CHARS)
         return codes
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+        """Each distinct piece of the texts is looked up once; its ids then go to all its places at once."""
         end = struct.pack("<I", END_ID)
         self.known.turn()
-        cut = [pieces(t or "") for t in texts]
-        codes = self._learn(set(chain.from_iterable(cut)).difference(self.known, self.known.old))
-        long = {p: c for p, c in codes.items() if len(p) > CACHE_PIECE_CHARS}
-        code = (lambda p: long[p] if p in long else self.known[p]) if long else self.known.__getitem__
-        return [b"".join(map(code, parts)) + end for parts in cut]
+        lists = cut(texts)
+        coded = lists.values.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, names))
+        missing = [i for i, code in enumerate(found) if code is None]
+        codes = self._learn([names[i] for i in missing if names[i] not in self.known.old])
+        for i in missing:
+            found[i] = codes[names[i]] if names[i] in codes else self.known[names[i]]
+        ids, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        place = coded.indices.to_numpy()
+        ends = np.cumsum(sizes[place])
+        rows = np.repeat((np.cumsum(sizes) - sizes)[place] - (ends - sizes[place]), sizes[place])
+        placed = ids[rows + np.arange(len(rows))].tobytes()
+        bounds = (4 * np.concatenate([[0], ends])[lists.offsets.to_numpy()]).tolist()
+        return [placed[a:b] + end for a, b in zip(bounds, bounds[1:])]
 
 
 @cache

@@ -173,6 +173,31 @@ def test_pieces_encode_as_whole_texts(text):
     assert encoder.encode([text]) == [whole]
 
 
+def test_a_batch_looks_each_piece_up_once():
+    """Before, every place of a piece was a look-up of its own."""
+
+    class Counting(tokenfile.Generations):
+        asked = 0
+
+        def get(self, *piece):
+            self.asked += 1
+            return super().get(*piece)
+
+        def __getitem__(self, piece):
+            self.asked += 1
+            return super().__getitem__(piece)
+
+    encoder = tokenfile.Encoder(tokenfile.tokenizer_path())
+    encoder.known = Counting(100)
+    texts = ["red blue green " * 400 + "end"] * 5 + [None, "", "blue\x00red", "blue  red", "blue!!! red.<|endoftext|>", "ab;:<|endoftext|>."]
+    whole = [np.array([*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
+    for batch in (texts, texts[:7], texts):  # new, known, and from the old generation
+        Counting.asked = 0
+        assert encoder.encode(batch) == whole[: len(batch)] and encoder.known.asked < 60
+        encoder.known.size = 0
+    assert encoder.encode([None, ""]) == [whole[5]] * 2
+
+
 def test_token_files_round_trip(spark, tmp_path):
     texts = [(i, t) for i, t in cases.AWKWARD if i is not None and i != 6] + [(100 + i, f"text number {i} " * i) for i in range(50)]
     docs = cases.documents(spark, texts, extra=True).repartition(5)
