@@ -57,6 +57,9 @@ EVENT_SCHEMA = T.StructType(
     ]
 )
 
+# The first name of a member that begins right at its text, without escapes or control signs, between what surrounds it.
+FIRST_NAME = r'^(\s*[\[,]?\s*\{\s*)"([^"\\\x00-\x1f]+)"(?=\s*:)'
+
 
 # --- file selection ------------------------------------------------------------------------------
 
@@ -163,14 +166,15 @@ def session_objects(pieces: DataFrame) -> DataFrame:
     """
     bare = F.regexp_replace("value", r"(?s)\\.", "")  # an escaped sign neither ends a string nor nests
     outside = lambda text: F.regexp_replace(text, r'"[^"]*("|$)', "")
-    level = lambda text: F.length(F.translate(text, "}]", "")) - F.length(F.translate(text, "{[", ""))
-    marked = pieces.withColumn("_bare", bare)
-    marked = marked.withColumn("_odd", F.pmod(F.length("_bare") - F.length(F.replace("_bare", F.lit('"'), F.lit(""))), F.lit(2)))
+    number = lambda text, sign: F.octet_length(text) - F.octet_length(F.replace(text, F.lit(sign), F.lit("")))
+    level = lambda text: number(text, "{") + number(text, "[") - number(text, "]")  # noqa: E731  # a piece has no closing brace
+    marked = pieces.withColumn("_bare", bare).withColumn("_all", level(F.col("_bare"))).withColumn("_outer", outside(F.col("_bare")))
+    marked = marked.withColumn("_odd", F.pmod(number(F.col("_bare"), '"'), F.lit(2))).withColumn("_outer", level(F.col("_outer")))
     closes = lambda before: (F.pmod(F.col("_odd") + before, F.lit(2)) == 0).cast("int")
     marked = marked.select(
         "value", "path", "block", "pos", "_odd",
-        (level(outside(F.col("_bare"))) - closes(0)).alias("_plain"),
-        (level(outside(F.concat(F.lit('"'), "_bare"))) - closes(1)).alias("_quoted"),
+        (F.col("_outer") - closes(0)).alias("_plain"),
+        (F.col("_all") - F.col("_outer") - closes(1)).alias("_quoted"),  # what one state takes for a string is outside in the other
     )
     block = ["path", "block"]
     order = Window.partitionBy(*block).orderBy("pos")
@@ -204,18 +208,24 @@ def parse_session_objects(objects: DataFrame) -> DataFrame:
 
     Members of another shape than ``{session: [event, ...]}`` are skipped without a word.
     """
+    # Spark's parser keeps a table of all field names and copies it for each new one, so a plain session name is taken out first.
+    objects = objects.withColumn("_name", F.regexp_extract("text", FIRST_NAME, 2))
+    text = F.when(F.col("_name") == "", F.col("text")).otherwise(F.regexp_replace("text", FIRST_NAME, '$1"session"'))
     opened = F.ltrim("text").startswith("[") & (F.col("member") == 0)
-    array = F.when(opened, F.concat("text", F.lit("]"))).otherwise(F.concat(F.lit("[null"), "text", F.lit("]")))
+    array = F.when(opened, F.concat(text, F.lit("]"))).otherwise(F.concat(F.lit("[null"), text, F.lit("]")))
     whole = F.when(F.col("closed"), F.from_json(array, T.ArrayType(T.StringType())))
     # Behind the last member: the closing bracket, or the text of an array without members.
     ending = ~F.col("closed") & (F.col("text").rlike(r"^\s*\]\s*$") | (opened & F.from_json("text", T.ArrayType(T.StringType())).isNotNull()))
-    judged = objects.select("path", ((F.col("closed") & whole.isNotNull()) | ending).alias("ok"), whole.alias("_members"))
+    judged = objects.select("path", ((F.col("closed") & whole.isNotNull()) | ending).alias("ok"))
     lists = F.from_json("_m", T.MapType(T.StringType(), T.StringType()))
-    members = judged.filter("ok").select("path", F.explode("_members").alias("_m")).filter(F.ltrim("_m").startswith("{"))
-    bodies = members.select("path", F.explode(lists).alias("session", "_body")).filter(F.col("_body").startswith("["))
+    # No test on a parsed column, not even the one that comes with its explosion: Spark would parse once more for each.
+    members = objects.select("path", "_name", F.explode(whole).alias("_m")).filter(F.ltrim("_m").startswith("{"))
+    lists = members.select("path", "_name", F.posexplode(lists).alias("_at", "_key", "_body")).filter(F.col("_body").startswith("["))
+    named = F.when((F.col("_at") == 0) & (F.col("_name") != ""), F.col("_name")).otherwise(F.col("_key"))
+    bodies = lists.select("path", named.alias("session"), "_body")
     texts = bodies.select("path", "session", F.explode(F.from_json("_body", T.ArrayType(T.StringType()))).alias("_e"))
     events = texts.filter(F.col("_e").startswith("{")).select("path", "session", F.from_json("_e", EVENT_SCHEMA).alias("e"))
-    good = events.filter(F.col("e").isNotNull()).select("path", F.lit(True).alias("ok"), "session", "e")
+    good = events.select("path", F.lit(True).alias("ok"), "session", "e")
     bad = judged.filter("NOT ok").select("path", "ok", F.lit(None).cast("string").alias("session"), F.lit(None).cast(EVENT_SCHEMA).alias("e"))
     return good.unionByName(bad)
 
