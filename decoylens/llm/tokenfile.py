@@ -52,6 +52,8 @@ SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 IDS_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 BATCH_CHARS, BATCH_DOCS = 1 << 22, 4096
 _RUN = re.compile(r"\s\s")
+#: White space but the blank and the line break.
+OTHER_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters in every version of Unicode.
 _LATIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -74,11 +76,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def has_run(text: str) -> bool:
+    """Whether one white space follows another; texts with none but blanks and line breaks need no pattern."""
+    if any(pair in text for pair in ("  ", "\n\n", " \n", "\n ")):
+        return True
+    return any(space in text for space in OTHER_SPACE) and _RUN.search(text) is not None
+
+
 def pieces(text: str) -> list[str]:
     """A text in parts that pre-tokenise alone as they do together."""
     if not text:
         return []
-    if "\0" in text or _RUN.search(text):
+    if "\0" in text or has_run(text):
         return _CUT.split(text)
     parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
     return parts[not parts[0] : len(parts) - (not parts[-1])]
@@ -89,7 +98,7 @@ def cut(texts: Sequence[str | None]) -> pa.ListArray:
     texts = [t or "" for t in texts]
     if any("\0" in t for t in texts):
         return pa.array(map(pieces, texts), pa.list_(pa.large_string()))
-    marked = ["\0".join(_CUT.split(t)) if _RUN.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0") for t in texts]
+    marked = ["\0".join(_CUT.split(t)) if has_run(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0") for t in texts]
     return pc.split_pattern(pa.array(marked, pa.large_string()), "\0")
 
 
