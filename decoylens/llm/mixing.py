@@ -34,7 +34,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators.ordered import bucketed_rank
 from .tables import stored
 
-SLICE_ROWS = 20_000
+#: Documents of one source that one slice of its random order holds: many small slices fill all tasks alike.
+SLICE_ROWS = 1_000
 #: Blocks in one row of the plan, in one piece of it on the driver, and in a plan that is surely small enough to broadcast.
 PART, CHUNK, BROADCAST = 4096, 500_000, 1_000_000
 SEED = 9
@@ -136,7 +137,9 @@ def mix(
     if weights is not None and not all(0 <= w < math.inf for w in weights.values()):
         raise ValueError("weights are finite and not below zero")
     spark = docs.sparkSession
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("mix_group"))
+    # The text is a column of its own, so that sorting by it needs no second copy.
+    rest = F.struct(*(docs[c] for c in docs.columns if c.lower() != "text")).alias("_rest")
+    rows = docs.select(rest, docs["text"].alias("_text"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("mix_group"))
     counted = rows.groupBy("mix_group").agg(F.count(F.lit(1)).alias("n"))
     if weights is None and max_sources and len(counted.limit(max_sources + 1).take(max_sources + 1)) > max_sources:
         folded = F.pmod(F.xxhash64("mix_group"), F.lit(max_sources)).cast("string")
@@ -148,14 +151,15 @@ def mix(
     weights = weights or softened(counts, power)
     sizes = F.broadcast(spark.createDataFrame([(s, max(1, -(-n // SLICE_ROWS))) for s, n in counts.items()], "mix_group string, _slices bigint"))
     plan = planned(spark, counts, weights, block_rows).withColumnRenamed("mix_group", "_group")
-    rows = rows.join(sizes, "mix_group").withColumn("_order", F.xxhash64(F.lit(SEED), F.col("_doc.doc_id")))
+    rows = rows.join(sizes, "mix_group").withColumn("_order", F.xxhash64(F.lit(SEED), F.col("_rest.doc_id")))
     slice_of = F.floor(F.shiftrightunsigned("_order", 33) * F.col("_slices") / F.lit(1 << 31))
-    ranked = bucketed_rank(rows, ["mix_group"], slice_of, ["_order", "_doc.doc_id", "_doc.text"], rank="_rank")
+    ranked = bucketed_rank(rows, ["mix_group"], slice_of, ["_order", "_rest.doc_id", "_text"], rank="_rank")
     ranked = ranked.withColumn("_at", F.col("_rank") - 1).withColumn("block", F.floor(F.col("_at") / block_rows))
     placed = ranked.join(plan, (F.col("mix_group") == F.col("_group")) & (F.floor(F.col("block") / PART) == F.col("_part")))
     placed = placed.withColumn("_place", F.get("_places", F.pmod("block", F.lit(PART)).cast("int")))
     position = F.col("_place.start") + F.pmod("_at", F.lit(block_rows))
-    return placed.select("_doc", "mix_group", F.col("block").cast("bigint").alias("block"), F.col("_place.slot").alias("slot"), position.cast("bigint").alias("position"))
+    doc = F.struct(*((F.col("_text") if c.lower() == "text" else F.col("_rest").getField(c)).alias(c) for c in docs.columns))
+    return placed.select(doc.alias("_doc"), "mix_group", F.col("block").cast("bigint").alias("block"), F.col("_place.slot").alias("slot"), position.cast("bigint").alias("position"))
 
 
 def arrange(docs: DataFrame, **options) -> DataFrame:

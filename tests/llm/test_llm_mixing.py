@@ -77,3 +77,20 @@ def test_each_of_many_sources_keeps_its_own_weight(spark, given):
     part = w["big"] / sum(w.values())
     first = sorted(r["slot"] for r in rows if r["mix_group"] == "big")
     assert all(abs(k - part * (slot + 1)) < 2 for k, slot in enumerate(first[:100]))
+
+
+def test_one_source_is_dealt_in_many_slices_without_a_second_copy_of_its_texts(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("s").alias("source"))
+    mixed = mixing.mix(docs, block_rows=64)
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert "_doc.text" not in plan and "_rest.text" not in plan
+    assert mixing.SLICE_ROWS <= 2000
+    assert sorted(r[0] for r in mixed.select("position").collect()) == list(range(20_000))
+
+
+def test_columns_keep_their_order_and_ties_are_broken_by_text(spark):
+    docs = spark.createDataFrame([("b", 1, "s"), ("a", 1, "s"), (None, 1, "s"), ("c", None, None)], "text string, doc_id long, source string")
+    found = mixing.mix(docs, block_rows=1)
+    assert found.schema["_doc"].dataType.names == ["text", "doc_id", "source"]
+    rows = sorted((r["mix_group"], r["block"], r["_doc"]["text"]) for r in found.collect())
+    assert rows == [("", 0, "c"), ("s", 0, None), ("s", 1, "a"), ("s", 2, "b")]
