@@ -56,15 +56,17 @@ def network_lookup(addresses: DataFrame, networks: DataFrame, ip: str = "src_ip"
     """
     fields = [c for c in networks.columns if c != "network"]
     base, bits = F.substring_index("network", "/", 1), F.substring_index("network", "/", -1).try_cast("int")
+    # 1 for IPv6, 0 for IPv4, -1 for text that is neither: the prefix of no bits is empty for all of them.
+    kind = lambda text: F.when(F.col("_hex") == "", -1).otherwise(F.coalesce(text.contains(":"), F.lit(False)).cast("int"))
     # No null is left in what is joined: a test for it would be pushed down and repeat the parsing.
-    keyed = networks.withColumn("_hex", F.coalesce(address_hex(base), F.lit(""))).withColumn("_six", base.contains(":")).withColumn("_bits", F.when(base.contains(":"), bits).otherwise(bits + 96))
+    keyed = networks.withColumn("_hex", F.coalesce(address_hex(base), F.lit(""))).withColumn("_six", kind(base)).withColumn("_bits", F.when(base.contains(":"), bits).otherwise(bits + 96))
     lengths = sorted(r[0] for r in keyed.filter(F.col("_bits").between(0, 128)).select("_bits").distinct().collect())
     prefixes = F.array(*[F.struct(F.lit(n).alias("_bits"), hex_prefix(F.col("_hex"), n).alias("_prefix")) for n in lengths or [128]])
     spread = addresses.select(ip).distinct().withColumn("_hex", F.coalesce(address_hex(ip), F.lit("")))
-    spread = spread.select(ip, F.coalesce(F.col(ip).contains(":"), F.lit(False)).alias("_six"), F.inline(prefixes))
+    spread = spread.select(ip, kind(F.col(ip)).alias("_six"), F.inline(prefixes))
     # A network has the prefix of its own length among those of all lengths.
     right = keyed.select("_six", F.col("_bits").alias("_own"), F.struct(*fields).alias("_place"), F.inline(prefixes))
-    right = right.filter((F.col("_own") == F.col("_bits")) & (F.col("_prefix") != "")).drop("_own").dropDuplicates(["_six", "_bits", "_prefix"])
+    right = right.filter((F.col("_own") == F.col("_bits")) & (F.col("_six") >= 0)).drop("_own").dropDuplicates(["_six", "_bits", "_prefix"])
     found = spread.join(right, ["_six", "_bits", "_prefix"], how)
     best = found.groupBy(ip).agg(F.max_by("_place", F.when(F.col("_place").isNotNull(), F.col("_bits"))).alias("_place"))
     return best.select(ip, *[F.col("_place").getField(c).alias(c) for c in fields])
